@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int, width: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Larsson-Sadakane refinement: order all suffixes by their first `depth` symbols.
 
     symbols: integers laid end to end; ends: each position's sequence end (exclusive). A suffix stops at the end of its sequence. Returns (order, group): the positions sorted,
@@ -23,7 +23,7 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
     starts = np.flatnonzero(first)
     group = np.empty(n, np.int64)
     group[order] = np.repeat(starts, np.diff(np.append(starts, n)))
-    h = 1
+    h = width
     size = np.diff(np.append(starts, n))
     live = np.repeat(size > 1, size)  # by place in order
     while h < depth and live.any():
@@ -47,11 +47,12 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.
     return order, group
 
 
-def kasai(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
+def kasai(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
     """Common prefixes of neighbours in `order`, up to `limit`: out[i] is that of order[i-1] and order[i].
 
     Kasai's walk: from one position of a sequence to the next the common prefix with the left neighbour
-    shrinks by one symbol at most. The sequences (starts, ends) are walked side by side, one numpy lane
+    shrinks by one symbol at most. Of each sequence the first `walk` positions are walked (the rest of out
+    stays 0). The sequences (starts, ends) are walked side by side, one numpy lane
     each, so a step costs one vector operation for all of them.
     """
     n = len(symbols)
@@ -61,9 +62,9 @@ def kasai(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.n
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     end_of = np.repeat(ends, ends - starts)
-    by = np.argsort(starts - ends, kind="stable")  # longest first: finished lanes fall off the end
+    by = np.argsort(-walk, kind="stable")  # longest first: finished lanes fall off the end
     lane_start, lane_end = starts[by], ends[by]
-    length = lane_end - lane_start
+    length = walk[by]
     h = np.zeros(len(by), np.int64)
     alive = len(by)
     for step in range(int(length[0]) if len(by) else 0):
