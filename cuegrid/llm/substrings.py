@@ -195,7 +195,7 @@ def _sort_shard(length: int):
         for k in range(PACK):
             packed = (packed << np.uint64(8)) | np.where(k < left, b[k : k + n], 0).astype(np.uint64)
         packed = (packed << np.uint64(8)) | left.astype(np.uint64)
-        order, _ = suffix_order(packed, ends, length, PACK)
+        order, _ = suffix_order(packed, ends, int(lens.max()), PACK)  # to the end: Kasai's walk needs the whole order
         walk = lens - length + 1
         common = kasai(b[:n], starts, stops, walk, order, length)
         # the place after needs its common prefix too where its own position was not walked: it can't reach `length`
