@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, packing, pii, quality, secrets, sharding, substrings, toxicity
+from . import decontamination, lines, packing, pii, quality, secrets, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -34,6 +35,11 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2048)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.repetition_rules(documents(spark, sf_dir)).drop("longest_repeat")
 
@@ -47,7 +53,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op6_packing, op8_quality, op9_secrets, op10_substrings)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
