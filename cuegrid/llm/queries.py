@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, lines, packing, pii, quality, secrets, sharding, substrings, toxicity
+from . import decontamination, jaccard, lines, packing, pii, quality, secrets, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir), 24)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(documents(spark, sf_dir), 5, 0.8)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,7 +57,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op5_jaccard_join, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)}
 
 
 def oracle_sql() -> dict[str, str]:
