@@ -265,3 +265,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
     per_text = named.join(classes, "root").select("sid", "tid", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
     return keyed.join(per_text, ["sid", "tid"]).select(own.alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs, with all its columns, with one document of each near-duplicate class: that of the least doc_id.
+
+    Repeated rows of one doc_id in a class leave one row. Rows with a null doc_id can't be told apart by it
+    and stay.
+    """
+    classes = materialise(jaccard_classes(docs, n, threshold).where(F.col("doc_id").isNotNull()))
+    lost = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
+    left = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    again = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return left
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
+        left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    )
