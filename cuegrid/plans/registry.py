@@ -4,12 +4,188 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import curves as C
+from ..operators import moments as M
+from ..sources import views as V
+
+_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+G = Window.partitionBy("track_id")
+O = Window.partitionBy("track_id").orderBy("beat_idx")  # noqa: E741
+K = ("track_id", "beat_idx")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _Q[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+_NORM = "CASE WHEN hi - lo >= 1e-8 THEN least(greatest((rms - lo)/(hi - lo), 0.0), 1.0) ELSE 0.0 END"
+_PCT = "quantile_cont(rms, 0.02) OVER (PARTITION BY track_id) AS lo, quantile_cont(rms, 0.98) OVER (PARTITION BY track_id) AS hi"
+_THIN = """, o AS (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM beats),
+kept(track_id, rn, t, last, keep) AS (SELECT track_id, rn, t, t, true FROM o WHERE rn = 1
+ UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= 0.3 THEN o.t ELSE k.last END, o.t - k.last >= 0.3
+ FROM kept k JOIN o ON o.track_id = k.track_id AND o.rn = k.rn + 1)"""
+
+
+@query(f"""WITH RECURSIVE {V.EVENTS_SQL}{_THIN}, f AS (SELECT DISTINCT track_id, CAST(round_even(t*30.0, 0) AS BIGINT) AS f FROM kept WHERE keep AND t > 0 AND t < 48
+ UNION SELECT DISTINCT track_id, 0 FROM beats UNION SELECT DISTINCT track_id, 1440 FROM beats),
+c AS (SELECT track_id, f AS start_frame, lead(f) OVER w AS z, row_number() OVER w - 1 AS seg_idx FROM f WINDOW w AS (PARTITION BY track_id ORDER BY f))
+SELECT track_id, seg_idx, start_frame, z - start_frame AS n_frames FROM c WHERE z IS NOT NULL""")
+def cue_timeline(spark, d):
+    cuts = C.thin(V.beats(spark, d), "track_id", "t", 0.3)
+    return C.timeline(cuts, "track_id", "t", V.DURATION, V.FPS)
+
+
+@query(f"WITH RECURSIVE {V.EVENTS_SQL}{_THIN} SELECT track_id, round(t, 6) AS t FROM kept WHERE keep")
+def f1_min_gap_thinning(spark, d):
+    return C.thin(V.beats(spark, d), "track_id", "t", 0.3).select("track_id", r6(F.col("t"), "t"))
+
+
+@query(f"WITH {V.EVENTS_SQL}, p AS (SELECT *, {_PCT} FROM curves) SELECT track_id, beat_idx, round({_NORM}, 6) AS x FROM p")
+def c1_robust_normalise(spark, d):
+    return V.curves(spark, d).select(*K, r6(C.normalise(F.col("rms"), G), "x"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, n AS (SELECT *, count(*) OVER g AS n, row_number() OVER o AS rn, first_value(rms) OVER fu AS a, last_value(rms) OVER fu AS z,
+ sum(rms) OVER (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING) AS s FROM curves
+ WINDOW g AS (PARTITION BY track_id), o AS (PARTITION BY track_id ORDER BY beat_idx), fu AS (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT track_id, beat_idx, round(CASE WHEN n < 3 THEN rms ELSE (s + greatest(0, 8-(rn-1))*a + greatest(0, 8-(n-rn))*z)/17 END, 6) AS x FROM n""")
+def c2_smooth(spark, d):
+    return V.curves(spark, d).select(*K, r6(C.smooth(F.col("rms"), "track_id", "beat_idx", 16), "x"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, p AS (SELECT *, round(quantile_cont(rms, .88) OVER g, 9) AS p88, round(quantile_cont(rms, .72) OVER g, 9) AS p72, round(quantile_cont(rms, .30) OVER g, 9) AS p30
+ FROM curves WINDOW g AS (PARTITION BY track_id)) SELECT track_id, beat_idx, CASE WHEN round(rms,9) >= p88 THEN 'peak' WHEN round(rms,9) >= p72 THEN 'high' WHEN round(rms,9) <= p30 THEN 'low' ELSE 'medium' END AS level FROM p""")
+def b7_energy_level(spark, d):
+    x = F.round("rms", 9)
+    p = lambda q: F.round(C.percentile(F.col("rms"), q, G), 9)
+    level = F.when(x >= p(0.88), "peak").when(x >= p(0.72), "high").when(x <= p(0.30), "low").otherwise("medium")
+    return V.curves(spark, d).select(*K, level.alias("level"))
+
+
+@query(f"""WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(kick,9) >= round(quantile_cont(kick,.72) OVER g,9) AS kick, round(clap,9) >= round(quantile_cont(clap,.74) OVER g,9) AS clap,
+ round(hihat,9) >= round(quantile_cont(hihat,.82) OVER g,9) AS hihat, round(bass,9) >= round(quantile_cont(bass,.74) OVER g,9) AS bass FROM curves WINDOW g AS (PARTITION BY track_id)""")
+def b8_strong_hits(spark, d):
+    hit = lambda c, q: (F.round(c, 9) >= F.round(C.percentile(F.col(c), q, G), 9)).alias(c)
+    return V.curves(spark, d).select(*K, hit("kick", 0.72), hit("clap", 0.74), hit("hihat", 0.82), hit("bass", 0.74))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, l AS (SELECT *, lag(rms) OVER w AS a, lead(rms) OVER w AS b FROM curves WINDOW w AS (PARTITION BY track_id ORDER BY beat_idx))
+SELECT track_id, beat_idx, round(CASE WHEN a IS NULL AND b IS NULL THEN 0 WHEN a IS NULL THEN b-rms WHEN b IS NULL THEN rms-a ELSE (b-a)/2 END, 6) AS x FROM l""")
+def c4_gradient(spark, d):
+    return V.curves(spark, d).select(*K, r6(C.gradient(F.col("rms"), "track_id", "beat_idx"), "x"))
+
+
+@query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, beat_idx % 4 = 0 AS bar, beat_idx % 8 = 0 AS phrase FROM beats")
+def c5_anchors(spark, d):
+    at = F.row_number().over(O) - 1
+    return V.beats(spark, d).select(*K, (at % 4 == 0).alias("bar"), (at % 8 == 0).alias("phrase"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY beat_idx) AS dt FROM beats)
+SELECT track_id, round(avg(dt), 6) AS mean_gap, round(quantile_cont(dt, .5), 6) AS median_gap FROM g GROUP BY track_id""")
+def c6_intervals(spark, d):
+    gaps = V.beats(spark, d).select("track_id", (F.col("t") - F.lag("t").over(O)).alias("dt"))
+    return gaps.groupBy("track_id").agg(r6(F.avg("dt"), "mean_gap"), r6(F.percentile("dt", F.lit(0.5)), "median_gap"))
+
+
+@query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(CASE WHEN max(abs(value-35)) OVER (PARTITION BY track_id) = 0 THEN 0 ELSE (value-35)/max(abs(value-35)) OVER (PARTITION BY track_id) END, 6) AS x FROM beats")
+def d1_peak_normalise(spark, d):
+    amp = F.col("value") - 35
+    top = F.max(F.abs(amp)).over(G)
+    return V.beats(spark, d).select(*K, r6(F.when(top == 0, 0.0).otherwise(amp / top), "x"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, f AS (SELECT track_id, unnest(range(greatest(0, CAST(ceil((beat_idx-7)/2.0) AS BIGINT)), beat_idx//2 + 1)) AS frame, value-35 AS amp FROM beats)
+SELECT track_id, frame, round(sqrt(avg(amp*amp)), 6) AS rms FROM f GROUP BY ALL""")
+def d2_sliding_rms(spark, d):
+    first = F.greatest(F.lit(0), F.ceil((F.col("beat_idx") - 7) / 2).cast("int"))
+    rows = V.beats(spark, d).select("track_id", F.explode(F.sequence(first, F.floor(F.col("beat_idx") / 2).cast("int"))).alias("frame"), (F.col("value") - 35).alias("amp"))
+    return rows.groupBy("track_id", "frame").agg(r6(F.sqrt(F.avg(F.col("amp") * F.col("amp"))), "rms"))
+
+
+@query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(pow(greatest(0.0, sin(pi()*least(greatest(t/48.0,0.0),1.0))), 0.65), 6) AS arc FROM beats")
+def b6_position_arc(spark, d):
+    x = F.least(F.greatest(F.col("t") / V.DURATION, F.lit(0.0)), F.lit(1.0))
+    return V.beats(spark, d).select(*K, r6(F.pow(F.greatest(F.lit(0.0), F.sin(F.pi() * x)), F.lit(0.65)), "arc"))
+
+
+@query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(t - 10.0, 6) AS t FROM beats WHERE t >= 10 AND t < 40")
+def a3_time_slice(spark, d):
+    return V.beats(spark, d).where((F.col("t") >= 10) & (F.col("t") < 40)).select(*K, r6(F.col("t") - 10.0, "t"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, q AS (SELECT DISTINCT track_id, unnest(range(0, 48)) + 0.25 AS t FROM beats),
+a AS (SELECT q.track_id, q.t, (SELECT max(b.t) FROM curves b WHERE b.track_id=q.track_id AND b.t<=q.t) AS ta, (SELECT min(b.t) FROM curves b WHERE b.track_id=q.track_id AND b.t>=q.t) AS tb FROM q)
+SELECT a.track_id, round(a.t, 6) AS t, round(CASE WHEN ta IS NULL THEN y.rms WHEN tb IS NULL OR ta=tb THEN x.rms ELSE x.rms+(y.rms-x.rms)*(a.t-ta)/(tb-ta) END, 6) AS rms
+FROM a LEFT JOIN curves x ON x.track_id=a.track_id AND x.t=ta LEFT JOIN curves y ON y.track_id=a.track_id AND y.t=tb""")
+def e3_interpolate(spark, d):
+    curve = V.curves(spark, d)
+    at = curve.select("track_id").distinct().select("track_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: i + F.lit(0.25).cast("double"))).alias("t"))
+    return C.interpolate(curve, at, "track_id", "t", "rms").select("track_id", r6(F.col("t"), "t"), r6(F.col("rms"), "rms"))
+
+
+@query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, CAST(round_even(t*30.0,0) AS BIGINT) AS frame, CAST(greatest(round_even((t+0.25)*30.0,0),0) AS BIGINT) AS middle, round(beat_idx*512/22050.0, 6) AS seconds FROM beats")
+def b4_frame_conversion(spark, d):
+    t, fps = F.col("t"), F.lit(V.FPS)
+    return V.beats(spark, d).select(*K, S.seconds_to_frames(t, fps).alias("frame"), S.middle_frame(t, t + 0.5, fps).alias("middle"), r6(S.frames_to_seconds(F.col("beat_idx")), "seconds"))
+
+
+@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, count(*) AS moments, round(avg(quality),6) AS mean_quality, round(avg(motion),6) AS mean_motion, round(quantile_cont(motion,.9),6) AS p90_motion, round(max(brightness),6) AS max_brightness FROM moments GROUP BY video_id")
+def d10_library_summary(spark, d):
+    return V.moments_big(spark, d).groupBy("video_id").agg(
+        F.count("*").alias("moments"), r6(F.avg("quality"), "mean_quality"), r6(F.avg("motion"), "mean_motion"),
+        r6(F.percentile("motion", F.lit(0.9)), "p90_motion"), r6(F.max("brightness"), "max_brightness"),
+    )
+
+
+@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY round(quality,9) DESC, id) AS place FROM moments")
+def c11_rank_moments(spark, d):
+    by = Window.partitionBy("video_id").orderBy(F.desc(F.round("quality", 9)), "id")
+    return V.moments_big(spark, d).select("video_id", "id", F.row_number().over(by).alias("place"))
+
+
+@query(f"""WITH {V.MOMENTS_SQL}, r AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY video_id ORDER BY id) AS rn,
+ row_number() OVER (PARTITION BY video_id ORDER BY round(motion,9) DESC, id) AS r0, row_number() OVER (PARTITION BY video_id ORDER BY round(saturation,9) DESC, id) AS r1,
+ row_number() OVER (PARTITION BY video_id ORDER BY round(quality,9) DESC, id) AS r2 FROM moments WINDOW g AS (PARTITION BY video_id)),
+c AS (SELECT *, CASE WHEN r0<=40 THEN r0 WHEN r1<=30 THEN 120+r1 WHEN r2<=24 THEN 240+r2 END AS p FROM r),
+e AS (SELECT *, count(p) OVER (PARTITION BY video_id) AS c FROM c),
+f AS (SELECT *, CASE WHEN n<=120 THEN rn WHEN p IS NOT NULL THEN p WHEN c<120 AND (rn-1) % greatest(1, n // greatest(1,120-c)) = 0 THEN 480+rn END AS place FROM e),
+k AS (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY place) AS pos FROM f WHERE place IS NOT NULL) SELECT video_id, id FROM k WHERE pos <= 120""")
+def g2_quota_sample(spark, d):
+    m = V.moments_big(spark, d)
+    m = m.select("video_id", "id", *[F.round(c, 9).alias(c) for c in ("motion", "saturation", "quality")])
+    return M.quota_sample(m, "video_id", "id", ("motion", "saturation", "quality"), 120).select("video_id", "id")
+
+
+@query("SELECT c_custkey, substr(sha1(c_name), 1, 10) AS h FROM customer")
+def b23_text_hash(spark, d):
+    return V.table(spark, d, "customer").select("c_custkey", F.substring(F.sha1("c_name"), 1, 10).alias("h"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars/1000.0 < 1 THEN printf('%.0fms', n_chars*1.0) ELSE printf('%.1fs', n_chars/1000.0) END AS said FROM documents WHERE n_chars % 100 <> 50")
+def b31_duration_text(spark, d):
+    docs = V.table(spark, d, "documents").where("n_chars % 100 <> 50")
+    return docs.select("doc_id", S.duration_text(F.col("n_chars") / 1000.0).alias("said"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
