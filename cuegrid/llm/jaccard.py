@@ -134,6 +134,41 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _groups(batches: Iterator[pd.DataFrame], sets: str) -> Iterator[tuple]:
+    """((leaf, block, block), rows) of a partition that is sorted by these; repeated rows of one set once."""
+
+    def stream():
+        for pdf in batches:
+            yield from zip(*(pdf[c] for c in ("leaf", "ba", "bb", "sid", "w", sets, "leaves", "block")), strict=True)
+
+    for task, rows in groupby(stream(), key=lambda r: r[:3]):
+        yield task, list({r[3]: r[3:] for r in rows}.values())
+
+
+def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sid, leaf, ba, bb, block) of the sets that have a partner here whose sample overlaps theirs by half.
+
+    At similarity 0.8 the samples share about 38 of 48 tokens; fewer than half has a chance under 1e-6. A pair
+    counts only in the least leaf it shares.
+    """
+    out: list[tuple] = []
+    for (leaf, a, b), rows in _groups(batches, "sample"):
+        size = np.array([len(r[2]) for r in rows], np.float32)
+        both = _overlaps([np.asarray(r[2], np.int64).view(np.uint64) for r in rows])
+        x, y = np.nonzero(np.triu(both >= 0.5 * np.minimum(size[:, None], size[None, :]), 1))
+        leaves = [frozenset(r[3]) for r in rows]
+        stay: set[int] = set()
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
+            if (i not in stay or j not in stay) and (a == b or rows[i][4] != rows[j][4]) and min(leaves[i] & leaves[j]) == leaf:
+                stay.update((i, j))
+        out.extend((rows[i][0], leaf, a, b, rows[i][4]) for i in stay)
+        if len(out) > 20_000:
+            yield pd.DataFrame(out, columns=["sid", "leaf", "ba", "bb", "block"])
+            out = []
+    if out:
+        yield pd.DataFrame(out, columns=["sid", "leaf", "ba", "bb", "block"])
+
+
 def _compare(threshold: float):
     """Links of the sets of each (leaf, block, block): to each set its links here and a member it is joined to.
 
@@ -141,7 +176,6 @@ def _compare(threshold: float):
     """
 
     def one(leaf: int, a: int, b: int, rows: list[tuple]) -> list[tuple]:
-        rows = list({r[0]: r for r in rows}.values())  # repeated rows of one text
         sids = [r[0] for r in rows]
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         block = np.array([r[4] for r in rows])
@@ -168,13 +202,9 @@ def _compare(threshold: float):
         return [(sids[i], sids[root(i)], links[i]) for i in range(len(rows)) if links[i]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def stream():
-            for pdf in batches:
-                yield from zip(*(pdf[c] for c in ("leaf", "ba", "bb", "sid", "w", "toks", "leaves", "block")), strict=True)
-
         out: list[tuple] = []
-        for (leaf, a, b), rows in groupby(stream(), key=lambda r: r[:3]):
-            out.extend(one(leaf, a, b, [r[3:] for r in rows]))
+        for (leaf, a, b), rows in _groups(batches, "toks"):
+            out.extend(one(leaf, a, b, rows))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["sid", "to", "links"])
                 out = []
@@ -191,7 +221,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     expected), chosen by a hash all sets share, and starts 12 expected paths from it: a bucket for each
     token. Sets of similarity 0.8 or more share about 10, so the runs miss a pair with a chance under one in
     10,000. 3. Buckets over 64 sets are split: each member goes on by tokens chosen by a hash of the path, to
-    depth 3. 4. Buckets are compared by exact similarity of whole token sets; buckets that even the longest
+    depth 3. 4. Members of a bucket whose samples overlap by half are compared by exact similarity of whole
+    token sets; buckets that even the longest
     paths leave large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
     task. A pair counts in the least bucket it shares, buckets of the same members are compared once.
     5. Union-find over the links gives the classes.
@@ -233,21 +264,26 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
             if large.isEmpty():
                 break
     leaves = materialise(leaves)
-    of_set = leaves.groupBy("sid").agg(F.collect_set("leaf").alias("leaves"), F.collect_set(F.struct("leaf", "m")).alias("at"))
-    wanted = materialise(of_set.join(sets.select("sid", "w", "tag"), "sid"))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = F.broadcast(wanted.select(slot("tag").alias("slot")).distinct())
-    source = docs.select(tag.alias("tag"), text.alias("text")).withColumn("slot", slot("tag")).join(slots, "slot", "left_semi").drop("slot")
-    read = wanted.join(source, "tag").select("sid", "w", "leaves", "text").mapInPandas(_tokens_of(n), "sid long, w long, leaves array<long>, toks binary")
+    of_set = leaves.groupBy("sid").agg(F.collect_set("leaf").alias("leaves"))
+    wanted = materialise(of_set.join(sets.select("sid", "w", "tag", "sample"), "sid"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
     tasks = (
-        read.join(leaves, "sid")
-        .select("sid", "w", "leaves", "toks", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("sid", "w", "leaves", "toks", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
+        wanted.join(leaves, "sid")
+        .select("sid", "w", "leaves", "sample", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("sid", "w", "leaves", "sample", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
+    )
+    order = ("leaf", "ba", "bb")
+    likely = materialise(
+        tasks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_likely, "sid long, leaf long, ba int, bb int, block int")
     )
+    named = materialise(wanted.select("sid", "w", "leaves", "tag").join(likely.select("sid").distinct(), "sid"))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    slots = F.broadcast(named.select(slot("tag").alias("slot")).distinct())
+    source = docs.select(tag.alias("tag"), text.alias("text")).withColumn("slot", slot("tag")).join(slots, "slot", "left_semi").drop("slot")
+    read = named.join(source, "tag").select("sid", "w", "leaves", "text").mapInPandas(_tokens_of(n), "sid long, w long, leaves array<long>, toks binary")
     linked = materialise(
-        tasks.repartition("leaf", "ba", "bb").sortWithinPartitions("leaf", "ba", "bb").mapInPandas(_compare(threshold), "sid long, to long, links long")
+        read.join(likely, "sid").repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "sid long, to long, links long")
     )
     roots = components(linked.select(F.col("sid").alias("a"), F.col("to").alias("b")))
     links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
