@@ -93,11 +93,11 @@ CONTEXT = "key binary, s1 int, s2 int, anchor int, lo int, hi int, ah long, ch l
 
 
 def _scan(length: int):
-    """Contexts of each text, each distinct one once; a row with ah null is a stretch found twice in its own text."""
+    """Contexts of each text, each distinct one once; a row marked `own` is a stretch found twice in its own text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in pdf["text"]:
                 raw = text.encode("utf-8")
                 if len(raw) < length:
@@ -117,18 +117,16 @@ def _scan(length: int):
                     again = ~head
                     again[:-1] |= ~head[1:]
                     a, z = _merge(s1[order[again]], s2[order[again]] + length)
-                    for i, v in enumerate(([key] * len(a), a, z, a, a, a, [None] * len(a), [None] * len(a))):
+                    for i, v in enumerate(([key] * len(a), a, z, a, a, a, [0] * len(a), [0] * len(a), [True] * len(a))):
                         cols[i].extend(v)
                 keep = np.sort(order[head])
                 left = anchor - s1
-                vals = ([key] * len(keep), s1[keep], s2[keep], anchor[keep], (anchor - s2)[keep], left[keep], _signed(ah)[keep], _signed(ch)[keep])
+                vals = ([key] * len(keep), s1[keep], s2[keep], anchor[keep], (anchor - s2)[keep], left[keep], _signed(ah)[keep], _signed(ch)[keep], [False] * len(keep))
                 for i, v in enumerate(vals):
                     cols[i].extend(v)
-            names = ("key", "s1", "s2", "anchor", "lo", "hi", "ah", "ch")
-            out = pd.DataFrame(dict(zip(names, cols, strict=True)))
-            for c in ("ah", "ch"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            if cols[0]:
+                names = ("key", "s1", "s2", "anchor", "lo", "hi", "ah", "ch", "own")
+                yield pd.DataFrame(dict(zip(names, cols, strict=True)))
 
     return run
 
@@ -237,10 +235,10 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_stretches(texts: DataFrame, chosen: DataFrame, length: int, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(key, a, z): stretches of the texts (key, text, tag) whose every byte lies in a `length`-byte string
     that also starts elsewhere in the distinct texts. `chosen` (key, tag) names one row for each key."""
-    rows = materialise(texts.where(F.octet_length("text") >= length).select("text").mapInPandas(_scan(length), CONTEXT))
-    out = rows.where(F.col("ah").isNull()).select("key", F.col("s1").alias("a"), F.col("s2").alias("z"))
-    level = rows.where(F.col("ah").isNotNull())
-    source, deep = None, 0
+    rows = materialise(texts.where(F.octet_length("text") >= length).select("text").mapInPandas(_scan(length), CONTEXT + ", own boolean"))
+    out = rows.where("own").select("key", F.col("s1").alias("a"), F.col("s2").alias("z"))
+    level = rows.where("not own").drop("own")
+    deep = 0
     while True:
         # a context is found twice if its least and greatest places differ; partial results leave each task
         place = F.struct("key", "s1", "s2", "anchor", "lo", "hi", *(["cell_lo", "cell_hi", "bytes"] if deep else []))
