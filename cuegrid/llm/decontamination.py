@@ -116,7 +116,8 @@ def _window_rows(key: str, kind: str, width: int, least_literal: int, bits: np.n
                     out["h"].append(int(h[i].astype(np.int64)))
                     out["pos"].append(int(i))
                     out["slots"].append([EDGE.sub("", words[i + j]).lower() for j in np.flatnonzero(kinds[i : i + width])])
-            yield pd.DataFrame(out)
+            if out["h"]:
+                yield pd.DataFrame(out)
 
     return run, f"{key} {kind}, h long, pos long, slots array<string>"
 

@@ -80,8 +80,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 50) -> tuple[
 
     votes: (rows, voters) in -1, 0, 1; gold: 1, 0 or -1 where unknown (known rows keep their label in the
     expectation). Each voter has its own table P(vote | label). Voters that agree more than the label
-    explains (residual correlation over 0.3 at the last estimate) are taken as one: each of a correlated
-    pair has half a voice. Returns (posterior of label 1, P(vote=1|label 1), P(vote=1|label 0), pairs).
+    explains (residual correlation over 0.3 half-way through) share a voice: each one's is divided by one more
+    than the voters it goes with. Returns (posterior of label 1, P(vote=1|label 1), P(vote=1|label 0), pairs).
     """
     n, m = votes.shape
     p = np.where(gold >= 0, gold, 0.1 + 0.8 * (votes == 1).any(1)).astype(float)
@@ -98,8 +98,8 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 50) -> tuple[
             sd = rest.std(0) + 1e-9
             cor = (rest.T @ rest) / n / np.outer(sd, sd)
             pairs = [(i, j) for i in range(m) for j in range(i + 1, m) if abs(cor[i, j]) > 0.3]
-            for i, j in pairs:
-                voice[[i, j]] *= 0.5
+            for i in range(m):
+                voice[i] = 1 / (1 + sum(i in pair for pair in pairs))
         prior = np.clip(p.mean(), 1e-4, 1 - 1e-4)
         logit = np.full(n, np.log(prior / (1 - prior)))
         for k, v in enumerate((-1, 0, 1)):
