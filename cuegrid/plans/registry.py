@@ -14,11 +14,17 @@ from ..sources import views as V
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-G = Window.partitionBy("track_id")
-O = Window.partitionBy("track_id").orderBy("beat_idx")  # noqa: E741
 K = ("track_id", "beat_idx")
 
 
+def by_track():
+    return Window.partitionBy("track_id")
+
+
+def by_beat():
+    return by_track().orderBy("beat_idx")
+
+
 def query(sql: str | None = None):
     def add(f):
         _Q[f.__name__] = f
@@ -57,7 +63,7 @@ def f1_min_gap_thinning(spark, d):
 
 @query(f"WITH {V.EVENTS_SQL}, p AS (SELECT *, {_PCT} FROM curves) SELECT track_id, beat_idx, round({_NORM}, 6) AS x FROM p")
 def c1_robust_normalise(spark, d):
-    return V.curves(spark, d).select(*K, r6(C.normalise(F.col("rms"), G), "x"))
+    return V.curves(spark, d).select(*K, r6(C.normalise(F.col("rms"), by_track()), "x"))
 
 
 @query(f"""WITH {V.EVENTS_SQL}, n AS (SELECT *, count(*) OVER g AS n, row_number() OVER o AS rn, first_value(rms) OVER fu AS a, last_value(rms) OVER fu AS z,
@@ -72,7 +78,7 @@ def c2_smooth(spark, d):
  FROM curves WINDOW g AS (PARTITION BY track_id)) SELECT track_id, beat_idx, CASE WHEN round(rms,9) >= p88 THEN 'peak' WHEN round(rms,9) >= p72 THEN 'high' WHEN round(rms,9) <= p30 THEN 'low' ELSE 'medium' END AS level FROM p""")
 def b7_energy_level(spark, d):
     x = F.round("rms", 9)
-    p = lambda q: F.round(C.percentile(F.col("rms"), q, G), 9)
+    p = lambda q: F.round(C.percentile(F.col("rms"), q, by_track()), 9)
     level = F.when(x >= p(0.88), "peak").when(x >= p(0.72), "high").when(x <= p(0.30), "low").otherwise("medium")
     return V.curves(spark, d).select(*K, level.alias("level"))
 
@@ -80,7 +86,7 @@ def b7_energy_level(spark, d):
 @query(f"""WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(kick,9) >= round(quantile_cont(kick,.72) OVER g,9) AS kick, round(clap,9) >= round(quantile_cont(clap,.74) OVER g,9) AS clap,
  round(hihat,9) >= round(quantile_cont(hihat,.82) OVER g,9) AS hihat, round(bass,9) >= round(quantile_cont(bass,.74) OVER g,9) AS bass FROM curves WINDOW g AS (PARTITION BY track_id)""")
 def b8_strong_hits(spark, d):
-    hit = lambda c, q: (F.round(c, 9) >= F.round(C.percentile(F.col(c), q, G), 9)).alias(c)
+    hit = lambda c, q: (F.round(c, 9) >= F.round(C.percentile(F.col(c), q, by_track()), 9)).alias(c)
     return V.curves(spark, d).select(*K, hit("kick", 0.72), hit("clap", 0.74), hit("hihat", 0.82), hit("bass", 0.74))
 
 
@@ -92,21 +98,21 @@ def c4_gradient(spark, d):
 
 @query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, beat_idx % 4 = 0 AS bar, beat_idx % 8 = 0 AS phrase FROM beats")
 def c5_anchors(spark, d):
-    at = F.row_number().over(O) - 1
+    at = F.row_number().over(by_beat()) - 1
     return V.beats(spark, d).select(*K, (at % 4 == 0).alias("bar"), (at % 8 == 0).alias("phrase"))
 
 
 @query(f"""WITH {V.EVENTS_SQL}, g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY beat_idx) AS dt FROM beats)
 SELECT track_id, round(avg(dt), 6) AS mean_gap, round(quantile_cont(dt, .5), 6) AS median_gap FROM g GROUP BY track_id""")
 def c6_intervals(spark, d):
-    gaps = V.beats(spark, d).select("track_id", (F.col("t") - F.lag("t").over(O)).alias("dt"))
+    gaps = V.beats(spark, d).select("track_id", (F.col("t") - F.lag("t").over(by_beat())).alias("dt"))
     return gaps.groupBy("track_id").agg(r6(F.avg("dt"), "mean_gap"), r6(F.percentile("dt", F.lit(0.5)), "median_gap"))
 
 
 @query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(CASE WHEN max(abs(value-35)) OVER (PARTITION BY track_id) = 0 THEN 0 ELSE (value-35)/max(abs(value-35)) OVER (PARTITION BY track_id) END, 6) AS x FROM beats")
 def d1_peak_normalise(spark, d):
     amp = F.col("value") - 35
-    top = F.max(F.abs(amp)).over(G)
+    top = F.max(F.abs(amp)).over(by_track())
     return V.beats(spark, d).select(*K, r6(F.when(top == 0, 0.0).otherwise(amp / top), "x"))
 
 
