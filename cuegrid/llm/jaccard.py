@@ -114,6 +114,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     lens = [len(s) for s in sets]
     who = np.repeat(np.arange(m), lens)
     vals = np.concatenate(sets)
+    if not len(vals):
+        return np.zeros((m, m), np.float32)
     by = np.argsort(vals, kind="stable")
     vals, who = vals[by], who[by]
     head = np.concatenate([[True], vals[1:] != vals[:-1]])
@@ -123,7 +125,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     if len(group):
         group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
     out = np.zeros((m, m), np.float32)
-    width = 4096
+    width = max(1, min(4096, int(group[-1]) + 1 if len(group) else 1))
     edges = np.searchsorted(group, np.arange(0, (int(group[-1]) if len(group) else -1) + 1 + width, width))
     for c, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if lo == hi:
@@ -145,6 +147,18 @@ def _groups(batches: Iterator[pd.DataFrame], sets: str) -> Iterator[tuple]:
         yield task, list({r[3]: r[3:] for r in rows}.values())
 
 
+def _counts_here(leaf: int, across: bool, rows: list[tuple]) -> np.ndarray:
+    """Which pairs of a task's sets count in it: other sets, of other blocks if it is a task across two blocks,
+    that share no lesser leaf."""
+    lesser = [np.asarray([x for x in r[3] if x < leaf], np.int64).view(np.uint64) for r in rows]
+    out = _overlaps(lesser) == 0
+    if across:
+        block = np.array([r[4] for r in rows])
+        out &= block[:, None] != block[None, :]
+    np.fill_diagonal(out, False)
+    return out
+
+
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(sid, leaf, ba, bb, block) of the sets that have a partner here whose sample overlaps theirs by half.
 
@@ -155,13 +169,8 @@ def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for (leaf, a, b), rows in _groups(batches, "sample"):
         size = np.array([len(r[2]) for r in rows], np.float32)
         both = _overlaps([np.asarray(r[2], np.int64).view(np.uint64) for r in rows])
-        x, y = np.nonzero(np.triu(both >= 0.5 * np.minimum(size[:, None], size[None, :]), 1))
-        leaves = [frozenset(r[3]) for r in rows]
-        stay: set[int] = set()
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            if (i not in stay or j not in stay) and (a == b or rows[i][4] != rows[j][4]) and min(leaves[i] & leaves[j]) == leaf:
-                stay.update((i, j))
-        out.extend((rows[i][0], leaf, a, b, rows[i][4]) for i in stay)
+        pair = (both >= 0.5 * np.minimum(size[:, None], size[None, :])) & _counts_here(leaf, a != b, rows)
+        out.extend((rows[i][0], leaf, a, b, rows[i][4]) for i in np.flatnonzero(pair.any(axis=1)).tolist())
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["sid", "leaf", "ba", "bb", "block"])
             out = []
@@ -178,28 +187,16 @@ def _compare(threshold: float):
     def one(leaf: int, a: int, b: int, rows: list[tuple]) -> list[tuple]:
         sids = [r[0] for r in rows]
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        block = np.array([r[4] for r in rows])
-        size = np.array([len(s) for s in sets], np.float32)
-        both = _overlaps(sets)
-        x, y = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4, 1))
-        keep = (block[x] != block[y]) if a != b else np.ones(len(x), bool)
-        leaves = [frozenset(r[3]) for r in rows]
-        links, up = [0] * len(rows), list(range(len(rows)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-            inter = int(both[i, j])
-            if inter < threshold * (len(sets[i]) + len(sets[j]) - inter) or min(leaves[i] & leaves[j]) != leaf:
-                continue
-            links[i] += rows[j][1]
-            links[j] += rows[i][1]
-            up[root(i)] = root(j)
-        return [(sids[i], sids[root(i)], links[i]) for i in range(len(rows)) if links[i]]
+        size = np.array([len(t) for t in sets], np.float64)
+        both = _overlaps(sets).astype(np.float64)
+        linked = (both >= threshold * (size[:, None] + size[None, :] - both)) & _counts_here(leaf, a != b, rows)
+        links = linked @ np.array([r[1] for r in rows], np.int64)
+        to, before = np.arange(len(rows)), None
+        while before is None or (to != before).any():  # the least neighbour's label, and that one's own, until nothing moves
+            before = to
+            to = np.minimum(to, np.where(linked, to[None, :], len(rows)).min(axis=1))
+            to = to[to]
+        return [(sids[i], sids[to[i]], int(links[i])) for i in np.flatnonzero(linked.any(axis=1)).tolist()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
