@@ -26,24 +26,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_WORDS: dict[str, int] = {}  # word hashes, kept by the Python worker
+class _Words(dict):
+    """Hashes of words, each made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
+_WORDS = _Words()  # kept by the Python worker
 
 
 def tokens(text: str, n: int) -> np.ndarray:
     """The sorted set of hashes of a text's runs of n words; of a shorter text its only, shorter run."""
-    import xxhash
-
     words = text.split()
     if not words:
         return np.empty(0, np.uint64)
     if len(_WORDS) > 500_000:
         _WORDS.clear()
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = _WORDS.get(w)
-        if x is None:
-            x = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = x
+    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
     out = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
