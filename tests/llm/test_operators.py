@@ -135,6 +135,32 @@ def test_lines_keep_one_of_each_group(spark):
     assert sum(x in (line, " ".join(near)) for x in left) == 1 and all(left.count(o) == 1 for o in other) and left.count("short") == 13
 
 
+def test_line_bands_are_eight_different_keys(spark):
+    line = words(random.Random(7), 60)
+    got = spark.createDataFrame([(line,)], "line string").select(lines._bands(F.col("line")).alias("b")).first().b
+    assert len(set(got)) == lines.BANDS == 8
+
+
+def test_lines_against_all_pairs(spark):
+    rng = random.Random(8)
+    every = []
+    for i in range(60):
+        w = words(rng, rng.randint(15, 60)).split()
+        every.append(" ".join(w))
+        for _ in range(i % 3):  # edits that leave some pairs above and some below the threshold
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(len(w))] = words(rng, 1)
+            every.append(" ".join(w))
+    shingle = re.compile(lines.SHINGLE)
+    sets, up = [set(shingle.findall(x)) for x in every], list(range(len(every)))
+    for a, b in combinations(range(len(every)), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            up = [up[a] if x == up[b] else x for x in up]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), DOC))
+    assert got.agg(F.sum("n_dropped")).first()[0] == len(every) - len(set(up)) > 5
+
+
 def test_decontamination_finds_other_parameters(spark):
     item = "A train leaves the old station at 40 km and reaches the small harbour after 12 minutes with 7 people aboard"
     docs = [(0, "before it " + item), (1, item.replace("40", "55").replace("12", "31")), (2, "a train leaves the old house"), (3, None), (4, item.replace("40", "12"))]
