@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite
+from ..functions.scalars import finite  # noqa: F401
 
 
 def percentile(x: Column, p: float, by: WindowSpec, default: float = 0.0) -> Column:

@@ -11,34 +11,11 @@ from ..functions import scalars as S
 from ..operators import curves as C
 from ..operators import moments as M
 from ..sources import views as V
+from . import cues, library, scenes  # noqa: F401 - they register their queries
+from .base import QUERIES, SQL, by_beat, by_track, query, r6
 
-_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
 K = ("track_id", "beat_idx")
 
-
-def by_track():
-    return Window.partitionBy("track_id")
-
-
-def by_beat():
-    return by_track().orderBy("beat_idx")
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _Q[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
-
-
 _NORM = "CASE WHEN hi - lo >= 1e-8 THEN least(greatest((rms - lo)/(hi - lo), 0.0), 1.0) ELSE 0.0 END"
 _PCT = "quantile_cont(rms, 0.02) OVER (PARTITION BY track_id) AS lo, quantile_cont(rms, 0.98) OVER (PARTITION BY track_id) AS hi"
 _THIN = """, o AS (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM beats),
@@ -190,8 +167,8 @@ def b31_duration_text(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_Q)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -66,3 +66,32 @@ MOMENTS_SQL = """m0 AS (SELECT l_suppkey AS video_id,
  1-(l_quantity-1)/49 AS sharpness, l_tax/0.08 AS colorfulness FROM lineitem),
 moments AS (SELECT *, least(greatest(0.36*sharpness+0.22*contrast+0.18*saturation+0.14*(1-greatest(0.0,(0.25-brightness)/0.25))
  +0.10*(1-greatest(0.0,(brightness-0.86)/0.14)),0.0),1.0) AS quality FROM m0)"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as frames of a video for each label, two a second."""
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("video_id"), at.alias("frame_idx"), (at * 0.5).alias("t"), F.col("embedding").alias("vec"))
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A video for each label: its length follows from its frames."""
+    n = table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("video_id")).agg(F.count("*").alias("n"))
+    return n.select(
+        "video_id", F.concat(F.lit("/src/"), F.col("video_id"), F.lit(".mp4")).alias("path"), F.lit(2.0).alias("fps"),
+        (F.col("n") * 0.5).alias("duration"), (F.col("n") * 1000).alias("length"), (F.col("video_id") + 1704067200).alias("mtime"),
+    )
+
+
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magnitudes by frame and frequency, one row a bin."""
+    f = frames(spark, sf_dir).select("video_id", "frame_idx", F.posexplode("vec").alias("i", "v"))
+    return f.select("video_id", "frame_idx", "i", F.abs(F.col("v").cast("double")).alias("mag"), (20.0 * F.pow(F.lit(1.1), F.col("i"))).alias("freq"))
+
+
+FRAMES_SQL = """frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,
+ (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 0.5 AS t, embedding AS vec FROM embeddings),
+sources AS (SELECT label AS video_id, '/src/' || label || '.mp4' AS path, 2.0 AS fps, count(*) * 0.5 AS duration, count(*) * 1000 AS length, label + 1704067200 AS mtime FROM embeddings GROUP BY label),
+bins AS (SELECT video_id, frame_idx, i - 1 AS i, abs(CAST(vec[i] AS DOUBLE)) AS mag, 20.0 * pow(1.1, i - 1) AS freq FROM (SELECT *, unnest(range(1, len(vec) + 1)) AS i FROM frames)),
+motions AS (SELECT *, coalesce(list_sum([abs(CAST(vec[i] AS DOUBLE) - CAST(p[i] AS DOUBLE)) for i in range(1, len(vec) + 1)]) / len(vec), 0.0) AS motion
+ FROM (SELECT *, lag(vec) OVER (PARTITION BY video_id ORDER BY frame_idx) AS p FROM frames))"""
