@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..operators import curves as C
 from ..operators import moments as M
 from ..sources import views as V
-from . import cues, library, scenes  # noqa: F401 - they register their queries
+from . import cues, library, scenes, streams  # noqa: F401 - they register their queries
 from .base import QUERIES, SQL, by_beat, by_track, query, r6
 
 K = ("track_id", "beat_idx")
