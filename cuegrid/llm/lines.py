@@ -17,6 +17,8 @@ SALTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x7B873593CC9E2D51)
 BANDS = 2 * len(SALTS)
 #: Buckets up to this size are compared pair by pair.
 SMALL = 24
+#: Heads of a larger bucket that its members meet, a round; then what is still apart is compared in blocks of so many.
+HEADS, BLOCK = (1, 4, 8), 200
 #: Slots of the set that thins tables before a shuffle: a bound on what is broadcast, whatever the input.
 SLOTS = 1 << 20
 
@@ -97,28 +99,78 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _rounds(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (x, y) in buckets (band, h) that stay large: members meet representatives, those unlike all of
-    them meet new ones, and so on until none is left. Each round has twice as many representatives as the one before, so
-    the rounds grow with the logarithm of the number of unlike lines. A representative is the least hash of
-    a salted part of its bucket: a partial minimum, never a collected bucket."""
-    rest, edges, number, at = large, None, 4, 0
-    while edges is None or not rest.isEmpty():
+def _heads(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y) of members of large buckets (band, h) to a few heads of their buckets.
+
+    This only joins what is alike throughout before _across() looks at the rest: which links are found here changes the work
+    left to it, not the result. A head is the least hash of a salted part of its bucket: a partial minimum,
+    never a collected bucket. A line that met a head in any bucket leaves.
+    """
+    rest, edges = large, None
+    for at, number in enumerate(HEADS):
         part = F.pmod(F.xxhash64("h", F.lit(at)), F.lit(number)).alias("part")
-        heads = rest.groupBy("band", part).agg(F.min("h").alias("lo"), F.count("*").alias("n"))
-        heads = heads.groupBy("band").agg(F.collect_list("lo").alias("heads"), F.sum("n").alias("n"))
-        rest = materialise(rest.join(heads, "band"))
-        many = rest.where(F.col("n") > SMALL)
-        meets = many.select("band", "h", F.explode("heads").alias("lo")).where("lo <> h").select("band", "h", F.least("lo", "h").alias("x"), F.greatest("lo", "h").alias("y"))
-        asked = _all_pairs(rest.where(F.col("n") <= SMALL).select("band", "h")).unionByName(meets.select("x", "y")).distinct()
-        done = materialise(_verified(asked, sets, threshold))
+        heads = rest.groupBy("band", part).agg(F.min("h").alias("lo"))
+        meets = rest.join(heads.select("band", "lo"), "band").where("lo <> h")
+        done = materialise(_verified(meets.select(F.least("lo", "h").alias("x"), F.greatest("lo", "h").alias("y")).distinct(), sets, threshold))
         edges = done if edges is None else edges.unionByName(done)
-        met = meets.join(done, ["x", "y"], "left_semi").select("band", "h").distinct()
-        rest = materialise(many.where(~F.array_contains("heads", F.col("h"))).select("band", "h").join(met, ["band", "h"], "left_anti"))
-        number, at = min(2 * number, 256), at + 1
+        met = done.select(F.col("x").alias("h")).unionByName(done.select(F.col("y").alias("h"))).distinct()
+        if at + 1 < len(HEADS):
+            rest = materialise(rest.join(met, "h", "left_anti"))
+            if rest.isEmpty():
+                break
     return edges
 
 
+def _across(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components: all pairs of members (h, root, sh) of different roots that are alike.
+
+    Exact, by prefixes: sets alike at `threshold` share one of the rarest |x| - ceil(threshold |x|) + 1 shingles of
+    each, whatever the one order of all shingles is. Members that share such a shingle are dealt to blocks by hash and each pair of blocks
+    is compared in a row of its own; a row gives each pair of roots once, so its links stay few.
+    """
+    token = members.select("h", F.explode("sh").alias("t"))
+    rank = token.groupBy("t").agg(F.count("*").alias("f"))
+    ranked = token.join(rank, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))
+    n = F.size("r")
+    # less a little: a product that is whole must not round up
+    prefix = F.slice("r", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-6).cast("int") + 1)
+    keyed = materialise(ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t")).join(members.select("h", "root"), "h"))
+    mixed = keyed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("h", F.lit("block")), blocks).cast("int")
+    dealt = (
+        keyed.join(mixed.select("t", "n"), "t").select("t", "h", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("t", "h", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block")
+    )
+    row = F.struct(*[F.col(c) for c in ("h", "root", "sh", "block")])
+    tasks = dealt.join(members, "h").groupBy("t", "ba", "bb").agg(F.collect_list(row).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+
+    def like(x: Column, y: Column) -> Column:
+        p, q = F.size(x["sh"]), F.size(y["sh"])
+        near = (x["root"] < y["root"]) & ((x["block"] != y["block"]) | (F.col("ba") == F.col("bb")))
+        near = near & (F.least(p, q) >= F.lit(threshold) * F.greatest(p, q) - 1e-6)
+        return near & bind(F.size(F.array_intersect(x["sh"], y["sh"])), lambda both: both >= F.lit(threshold) * (p + q - both))
+
+    def of(x: Column) -> Column:
+        return F.transform(F.filter(F.col("m"), lambda y: like(x, y)), lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b")))
+
+    links = F.array_distinct(F.flatten(F.transform("m", of)))
+    return tasks.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()
+
+
+def _joined(large: DataFrame, sets: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
+    """(node, root): components of the links (x, y) and of all links among members of large buckets."""
+    roots = materialise(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    members = large.select("h").distinct().join(sets, "h").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    across = materialise(_across(materialise(members.select("h", "sh", F.coalesce("root", "h").alias("root"))), threshold))
+    if across.isEmpty():
+        return roots
+    ends = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
+    known = roots.unionByName(ends.select("node", F.col("node").alias("root"))).distinct()
+    wider = components(across).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+    return materialise(known.join(wider, "root", "left").select("node", F.coalesce("wide", "root").alias("root")))
+
+
 def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
     """(h, g, keep): for every line that has an equal or similar one, the place of the line that is kept."""
     occ = _lines(docs, min_chars)
@@ -136,8 +188,8 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40)
     some, _ = _thin(occ, "h", wanted)
     sets = materialise(some.join(wanted, ["h", "place"]).dropDuplicates(["h"]).select("h", shingles(F.col("line")).alias("sh")))
     edges = materialise(_verified(pairs, sets, threshold))
-    edges = edges.unionByName(_rounds(large, sets, threshold))
-    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    large = materialise(large)
+    roots = _joined(large, sets, edges.unionByName(_heads(large, sets, threshold)), threshold)
     named = lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "g", "n", "place", F.col("root"))
     groups = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("place").alias("keep"))
     fuzzy = named.join(groups, "root").select("h", "g", "keep")
@@ -151,8 +203,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, ke
     Lines (split at \\n) of `min_chars` code points or more take part; shorter ones stay as they are.
     1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives
     eight bands of two MinHash values. 3. Candidates of a bucket are verified by exact Jaccard similarity: pair by pair up to 24 lines;
-    larger buckets are split by their lines' other bands, and what stays large is compared with
-    representatives, those unlike them all with new ones, until none is left. 4. Union-find over the links; of each component the line in the document of least hash, at its
+    larger buckets are split by their lines' other bands. The members of what stays large first meet a few heads, which joins
+    what is alike throughout; then all pairs that are still apart are compared, by exact prefixes. 4. Union-find over the links; of each component the line in the document of least hash, at its
     first place, is kept and all others go.
 
     Returns the columns of docs with `text` without the removed lines, and n_lines and n_dropped (columns of

@@ -161,6 +161,28 @@ def test_lines_against_all_pairs(spark):
     assert got.agg(F.sum("n_dropped")).first()[0] == len(every) - len(set(up)) > 5
 
 
+def test_lines_of_large_buckets_against_all_pairs(spark):
+    """A star of 200 variants, each like the original only, and a chain of 60, all in one bucket."""
+    rng = random.Random(12)
+    base = [rng.getrandbits(62) for _ in range(130)]
+    star = [base] + [[x if x not in gone else rng.getrandbits(62) for x in base] for gone in (set(rng.sample(base, 14)) for _ in range(200))]
+    chain = [[rng.getrandbits(62) for _ in range(100)]]
+    while len(chain) < 60:
+        chain.append(chain[-1][10:] + [rng.getrandbits(62) for _ in range(10)])
+    sets = star + chain
+    up = list(range(len(sets)))
+    like = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    assert not any(like(a, b) for a, b in combinations(star[1:40], 2)) and all(like(base, x) for x in star)
+    for a, b in combinations(range(len(sets)), 2):
+        if like(sets[a], sets[b]):
+            up = [up[a] if x == up[b] else x for x in up]
+    assert len(set(up)) == 2
+    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "h long, sh array<long>").localCheckpoint()
+    large = table.select(F.lit(1).cast("long").alias("band"), "h")
+    roots = lines._joined(large, table, lines._heads(large, table, 0.8), 0.8).collect()
+    assert len(roots) == len(sets) and len({r.root for r in roots}) == 2 and {r.root for r in roots if r.node <= 200} == {0}
+
+
 def test_decontamination_finds_other_parameters(spark):
     item = "A train leaves the old station at 40 km and reaches the small harbour after 12 minutes with 7 people aboard"
     docs = [(0, "before it " + item), (1, item.replace("40", "55").replace("12", "31")), (2, "a train leaves the old house"), (3, None), (4, item.replace("40", "12"))]
