@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of similar lines; documents whose every line went elsewhere go."""
-    out = lines.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    out = lines.dedup_lines(docs, short=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

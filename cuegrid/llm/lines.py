@@ -9,8 +9,11 @@ from .common import materialise
 from .graph import components
 from .spans import bind
 
-# A shingle: 12 characters from each word's start on, and from each 12th character within a longer word.
-SHINGLE = r"(?s)\x20?(?=([^\x20].{0,11}+))[^\x20]{1,12}+"
+# A shingle: 12 characters from each word's start on, and within a longer word from every character after its twelfth, so
+# that a character more or less near the start of a line without spaces shifts none of the later ones.
+SHINGLE = r"(?s)\x20?(?=([^\x20].{0,11}+))(?:(?<![^\x20])[^\x20]{1,12}+|[^\x20])"
+# Of a line under min_chars: 4 characters from every character on.
+SHORT_SHINGLE, SHORT_WIDTH = r"(?s)(?=(.{4})).", 4
 # Constants that reorder the hashes: the least value after an exclusive or is another random element. Their three
 # leading bits differ, so the least and greatest of each come from eight different parts of the hash range.
 SALTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x7B873593CC9E2D51)
@@ -23,11 +26,16 @@ HEADS, BLOCK = (1, 4, 8), 200
 SLOTS = 1 << 20
 
 
-def shingles(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1)), lambda s: F.xxhash64(s)))
+def shingles(line: Column, min_chars: int = 0) -> Column:
+    """Hashes of a line's shingles; of a line under `min_chars` code points those of its short ones, or the whole of it."""
+    cut = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    if min_chars > 0:
+        short = F.when(F.length(line) < SHORT_WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(SHORT_SHINGLE), F.lit(1)))
+        cut = F.when(F.length(line) < min_chars, short).otherwise(cut)
+    return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
 
 
-def _bands(line: Column) -> Column:
+def _bands(line: Column, min_chars: int = 0) -> Column:
     """Eight keys of two MinHash values each: the two least and two greatest of each reordered set."""
 
     # no defaults in the lambdas' parameters: a second parameter would be bound to the element's index
@@ -41,14 +49,14 @@ def _bands(line: Column) -> Column:
     def of(hashes: Column) -> Column:
         return F.flatten(F.array(*[keys(hashes, i) for i in range(len(SALTS))]))
 
-    return bind(shingles(line), of)
+    return bind(shingles(line, min_chars), of)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
     """(d, pos, place, h, g, line): eligible lines. d is the document's hash; place orders by d, then position."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), text)
-    out = docs.select(d.alias("d"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.length("line") >= min_chars)
+    out = docs.select(d.alias("d"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars)
     place = F.shiftleft(F.shiftright("d", 21), 21).bitwiseOR(F.least(F.col("pos"), F.lit((1 << 21) - 1)).cast("long"))
     return out.select("d", "pos", place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), "line")
 
@@ -171,10 +179,11 @@ def _joined(large: DataFrame, sets: DataFrame, edges: DataFrame, threshold: floa
     return materialise(known.join(wider, "root", "left").select("node", F.coalesce("wide", "root").alias("root")))
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40) -> DataFrame:
+def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, short: bool = False) -> DataFrame:
     """(h, g, keep): for every line that has an equal or similar one, the place of the line that is kept."""
-    occ = _lines(docs, min_chars)
-    keys = _bands(F.col("line"))
+    occ = _lines(docs, min_chars, short)
+    cut = min_chars if short else 0
+    keys = _bands(F.col("line"), cut)
     lines = materialise(
         occ.select("h", "g", "place", keys.alias("b")).select("h", "g", "place", *[F.col("b")[i].alias(f"b{i}") for i in range(BANDS)])
         .groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("place"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
@@ -186,7 +195,7 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40)
         pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h"))).unionByName(large.select("h")).distinct().join(lines.select("h", "place"), "h")
     )
     some, _ = _thin(occ, "h", wanted)
-    sets = materialise(some.join(wanted, ["h", "place"]).dropDuplicates(["h"]).select("h", shingles(F.col("line")).alias("sh")))
+    sets = materialise(some.join(wanted, ["h", "place"]).dropDuplicates(["h"]).select("h", shingles(F.col("line"), cut).alias("sh")))
     edges = materialise(_verified(pairs, sets, threshold))
     large = materialise(large)
     roots = _joined(large, sets, edges.unionByName(_heads(large, sets, threshold)), threshold)
@@ -197,10 +206,11 @@ def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40)
     return materialise(fuzzy.unionByName(alone))
 
 
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, keep_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, keep_text: bool = True, short: bool = False) -> DataFrame:
     """Keep one line of each group of equal or similar lines, over the whole corpus.
 
-    Lines (split at \\n) of `min_chars` code points or more take part; shorter ones stay as they are.
+    Lines (split at \\n) of `min_chars` code points or more take part. With `short` so does every other line with a word, by
+    shingles of 4 characters (lines under and over `min_chars` are not alike then); without it shorter ones stay as they are.
     1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives
     eight bands of two MinHash values. 3. Candidates of a bucket are verified by exact Jaccard similarity: pair by pair up to 24 lines;
     larger buckets are split by their lines' other bands. The members of what stays large first meet a few heads, which joins
@@ -214,8 +224,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, ke
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), text)
-    keep = similar_lines(docs, threshold, min_chars)
-    places = _lines(docs, min_chars).select("d", "pos", "place", "h", "g")
+    keep = similar_lines(docs, threshold, min_chars, short)
+    places = _lines(docs, min_chars, short).select("d", "pos", "place", "h", "g")
     places, _ = _thin(places, "h", keep)
     gone = materialise(
         places.join(keep, ["h", "g"]).where(F.col("place") != F.col("keep")).groupBy("d").agg(F.collect_set("pos").alias("__gone"))

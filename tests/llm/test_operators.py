@@ -183,6 +183,18 @@ def test_lines_of_large_buckets_against_all_pairs(spark):
     assert len(roots) == len(sets) and len({r.root for r in roots}) == 2 and {r.root for r in roots if r.node <= 200} == {0}
 
 
+def test_short_lines_and_lines_without_spaces(spark):
+    rng = random.Random(13)
+    solid = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(300))
+    a, b = "share this page with your friends", "share this page with your friends!"
+    texts = [f"{a}\n{solid}", f"{b}\n{solid[:3]}x{solid[3:]}", f"{a}\nok\n\n ", "ok\n\nanother short line here"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = [x for r in lines.dedup_lines(df, short=True).collect() for x in r.text.split("\n")]
+    assert sum(x in (a, b) for x in got) == 1 and got.count("ok") == 1 and sum(len(x) > 200 for x in got) == 1
+    assert "another short line here" in got and got.count(" ") == 1 and got.count("") >= 2
+    assert lines.dedup_lines(df).agg(F.sum("n_dropped")).first()[0] == 1  # the line without spaces
+
+
 def test_decontamination_finds_other_parameters(spark):
     item = "A train leaves the old station at 40 km and reaches the small harbour after 12 minutes with 7 people aboard"
     docs = [(0, "before it " + item), (1, item.replace("40", "55").replace("12", "31")), (2, "a train leaves the old house"), (3, None), (4, item.replace("40", "12"))]
