@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -129,19 +129,20 @@ def find_leaks(
     least_literal: int = 4,
     least_share: float = 0.3,
     least_windows: int = 3,
+    long_run: int = 13,
 ) -> DataFrame:
     """Pairs of documents and benchmark items whose template the document contains.
 
     Words are reduced to templates: numbers, units after a number and capitalised words within a sentence
     become typed placeholders, everything else is lower-cased without outer punctuation. Windows of `width`
-    template tokens with `least_literal` literal words at least are hash-joined. The values in the slots
-    must map consistently: over all joined windows of a pair, an item's slot value stands for one value of
-    the document and the other way round, so the same question with other parameters counts and unrelated
-    text that shares a skeleton does not. A pair is a leak if the joined windows cover at least
-    `least_share` of the item's windows (and `least_windows` of them, or all if it has fewer). Items with
-    fewer than `width` tokens have no window and match nothing: so short a text is no evidence.
-
-    Returns doc_id, item_id, n_windows, share, reworded (slot values differ). Null texts and ids match
+    template tokens with `least_literal` literal words at least are hash-joined. Joined windows of a pair are put
+    into runs: of one alignment (document position minus item position), without a gap of more than `width`. The values in the slots
+    must map consistently within a run: an item's slot value stands for one value of the document, so the same
+    question with other parameters counts and unrelated text that shares a skeleton does not. Runs that don't are left out; they take
+    nothing from others. A pair is a leak if its runs cover at least `least_share` of the item's windows (and `least_windows` of them, or all if it has fewer), or if one run is
+    `long_run` tokens long, whatever the share. Items with fewer than `width` tokens have no window and match nothing: so short a text is no evidence.
+
+    Returns doc_id, item_id, n_windows, share, reworded (the runs with equal slot values are no leak alone). Null texts and ids match
     nothing; repeated rows give one pair; other columns are not read. The documents are scanned once; only
     windows that pass a filter of fixed size (2 MB of bits of the benchmark's hashes) are shuffled.
     """
@@ -165,20 +166,29 @@ def find_leaks(
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
     seen = texts.mapInPandas(scan, f"doc_id {kind_d}, h long, pos long, slots array<string>")
     hits = seen.withColumnRenamed("slots", "got").join(wanted.select("item_id", "h", F.col("pos").alias("item_pos"), "slots"), "h")
-    pairs = hits.groupBy("doc_id", "item_id").agg(
-        F.count_distinct("h").alias("n_windows"),
-        F.flatten(F.collect_set(F.zip_with("slots", "got", lambda a, b: F.struct(a.alias("a"), b.alias("b"))))).alias("map"),
-    )
-    distinct = F.array_distinct("map")
-    consistent = (F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda x: x["a"])))) & (
-        F.size(distinct) == F.size(F.array_distinct(F.transform(distinct, lambda x: x["b"])))
+    pairs = F.zip_with("slots", "got", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    hits = hits.select("doc_id", "item_id", "h", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    along = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
+    hits = hits.withColumn("gap", F.coalesce((F.col("item_pos") - F.lag("item_pos").over(along) > width).cast("int"), F.lit(0)))
+    runs = hits.withColumn("run", F.sum("gap").over(along)).groupBy("doc_id", "item_id", "shift", "run").agg(
+        F.collect_set("h").alias("hs"),
+        (F.max("item_pos") - F.min("item_pos") + width).alias("length"),
+        F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"),
     )
     exact = F.forall("map", lambda x: x["a"] == x["b"])
-    share = F.col("n_windows") / F.col("item_windows")
+    consistent = F.size("map") == F.size(F.array_distinct(F.transform("map", lambda x: x["a"])))
+    runs = runs.withColumn("exact", exact).where(F.col("exact") | consistent)
+    windows = lambda hs: F.size(F.array_distinct(F.flatten(F.collect_list(hs))))
+    found = runs.groupBy("doc_id", "item_id").agg(
+        windows(F.col("hs")).alias("n_windows"), windows(F.when(F.col("exact"), F.col("hs"))).alias("n_exact"),
+        F.max("length").alias("length"), F.max(F.when(F.col("exact"), F.col("length"))).alias("length_exact"),
+    )
+    share = lambda n: F.col(n) / F.col("item_windows")
+    least = F.least(F.lit(least_windows), F.col("item_windows"))
+    leak = lambda n, length: ((share(n) >= least_share) & (F.col(n) >= least)) | (F.coalesce(length, F.lit(0)) >= long_run)
     return (
-        pairs.join(sizes, "item_id")
-        .where((share >= least_share) & (F.col("n_windows") >= F.least(F.lit(least_windows), F.col("item_windows"))) & (exact | consistent))
-        .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), share.alias("share"), (~exact).alias("reworded"))
+        found.join(sizes, "item_id").where(leak("n_windows", F.col("length")))
+        .select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), share("n_windows").alias("share"), (~leak("n_exact", F.col("length_exact"))).alias("reworded"))
     )
 
 

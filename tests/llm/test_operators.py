@@ -202,6 +202,24 @@ def test_decontamination_finds_other_parameters(spark):
     assert set(got) >= {0, 1} and not {2, 3} & set(got) and got[1].reworded and not got[0].reworded
 
 
+def test_decontamination_by_runs(spark):
+    item = "A train leaves the old station at 40 km and reaches the small harbour after 12 minutes with 7 people aboard"
+    rng = random.Random(14)
+    far = " ".join(words(rng, 30).split())
+    other = item.replace("40", "55").replace("12", "31")
+    long = " ".join(f"{w}{i}x" for i, w in enumerate(words(rng, 200).split()))
+    docs = [
+        (0, f"{item} {far} {other}"),  # verbatim, and elsewhere with other numbers
+        (1, item.replace("40", "12")), (2, item.replace("40", "4").replace("12", "4")),  # two values that become one
+        (3, f"{far} {' '.join(long.split()[50:65])} {far}"), (4, f"{far} {' '.join(long.split()[50:61])} {far}"),
+        (5, f"{far} a train leaves the old house"),
+    ]
+    bench = spark.createDataFrame([(9, item), (10, long)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.find_leaks(spark.createDataFrame(docs, DOC), bench).collect()}
+    assert set(got) == {(0, 9), (1, 9), (2, 9), (3, 10)}
+    assert not got[0, 9].reworded and got[0, 9].share == 1 and got[1, 9].reworded and got[2, 9].reworded and got[3, 10].share < 0.3
+
+
 def test_pii_and_secrets_on_edges(spark, docs):
     got = [r for r in pii.find_pii(docs, pii.fit_pii(docs)).collect() if r.doc_id == 4]
     assert len(got) == 2 and (got[0].n_email, got[0].n_ip, got[0].n_phone) == (1, 1, 1)
