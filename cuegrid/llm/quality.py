@@ -38,7 +38,8 @@ def repeats(words: list[list[bytes]], window: int, longest_at: int) -> tuple[np.
     doc = np.repeat(np.arange(len(words)), lens)
     ends = np.repeat(np.cumsum(lens), lens)
     codes += doc * (int(codes.max()) + 1)
-    order, _ = suffix_order(codes, ends, 1 << max(0, (window - 1).bit_length()))
+    # refined as far as a repeat is counted: among three copies the two that share most must be neighbours
+    order, _ = suffix_order(codes, ends, 1 << max(0, (max(window, longest_at) - 1).bit_length()))
     # common prefix of neighbours, counted only to `window`: enough to know which places repeat
     a, b = order[:-1], order[1:]
     live = (a + window <= ends[a]) & (b + window <= ends[b])

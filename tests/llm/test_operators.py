@@ -80,6 +80,32 @@ def test_repetition_rules_against_windows(spark):
         assert got[i].base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_longest_repeat_of_three_unequal_copies():
+    rng = random.Random(15)
+    fill = lambda n: [f"f{rng.getrandbits(40)}".encode() for _ in range(n)]
+    passage = fill(450)
+    changed = passage[:232] + [b"other"] + passage[233:]
+    short = fill(120)
+    docs = [passage + fill(3000) + changed + fill(3000) + passage + fill(4000), short + fill(50) + short[:40] + fill(50) + short[:90] + fill(20)]
+
+    def brute(w):
+        best, row = 0, [0] * (len(w) + 1)
+        at = {}
+        for i, x in enumerate(w):
+            at.setdefault(x, []).append(i)
+        for x in range(len(w) - 1, -1, -1):  # common prefixes of x and each later place of its word
+            new = {y: row[y + 1] + 1 for y in at[w[x]] if y > x}
+            row = [0] * (len(w) + 1)
+            for y, n in new.items():
+                row[y] = n
+                best = max(best, n)
+        return best
+
+    for most in (401, 60):
+        assert quality.repeats(docs, 5, most)[1].tolist() == [min(brute(w), most) for w in docs]
+    assert brute(docs[0]) == 450 and brute(docs[1]) == 90
+
+
 @pytest.mark.parametrize("hot", [3000, 2])
 def test_substrings_against_all_windows(spark, hot):
     rng = random.Random(3)
