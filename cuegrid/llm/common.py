@@ -2,35 +2,43 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch, written
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+__all__ = ["Scratch", "documents", "doc_key", "materialise", "text_of", "thinned"]
+#: A filter of wanted keys: this many bitmaps of 32,768 bits, 4 MB in all, whatever the input.
+BITMAPS = 1 << 10
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where it is unset, as in
-    tests) a temporary folder that is then set for the session."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cuegrid-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back. This cuts the lineage: an executor that is
     lost later costs a re-read, not a re-run, and every later reader sees the same rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)
 
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def doc_key(docs: DataFrame) -> Column:
+    """A document by its id and text; a null id is one of its own."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("\u0000null")), F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
+def thinned(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key may be in wanted, rows whose key is not), by bitmaps of fixed size: what is broadcast is 4 MB
+    at most. The more keys are wanted, the more rows pass; a join on the key must follow and decides. Null keys are not wanted."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768)) + 1
+    bits = wanted.select(at(key).alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    keyed = df.withColumn("__at", at(key)).withColumn("__no", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at"))
+    both = keyed.join(F.broadcast(bits), "__no", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.col(key).isNotNull() & (F.pmod(F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")), F.lit(2)) == 1), F.lit(False))
+    marked = both.select(*df.columns, hit.alias("__hit"))
+    return marked.where("__hit").select(df.columns), marked.where("NOT __hit").select(df.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, doc_key, materialise, thinned
 from .graph import components
 from .spans import bind
 
@@ -14,16 +14,11 @@ from .spans import bind
 SHINGLE = r"(?s)\x20?(?=([^\x20].{0,11}+))(?:(?<![^\x20])[^\x20]{1,12}+|[^\x20])"
 # Of a line under min_chars: 4 characters from every character on.
 SHORT_SHINGLE, SHORT_WIDTH = r"(?s)(?=(.{4})).", 4
-# Constants that reorder the hashes: the least value after an exclusive or is another random element. Their three
-# leading bits differ, so the least and greatest of each come from eight different parts of the hash range.
-SALTS = (0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x7B873593CC9E2D51)
-BANDS = 2 * len(SALTS)
-#: Buckets up to this size are compared pair by pair.
-SMALL = 24
-#: Heads of a larger bucket that its members meet, a round; then what is still apart is compared in blocks of so many.
-HEADS, BLOCK = (1, 4, 8), 200
-#: Slots of the set that thins tables before a shuffle: a bound on what is broadcast, whatever the input.
-SLOTS = 1 << 20
+#: Each band is the two least hashes from one of so many evenly spaced bounds on, going round at the end.
+BANDS = 8
+BOUNDS = tuple(i * (1 << 64) // BANDS - (1 << 63) for i in range(BANDS))
+#: Buckets up to this size are compared pair by pair; members of larger ones by prefixes, in blocks of so many.
+SMALL, BLOCK = 24, 200
 
 
 def shingles(line: Column, min_chars: int = 0) -> Column:
@@ -35,106 +30,58 @@ def shingles(line: Column, min_chars: int = 0) -> Column:
     return F.array_distinct(F.transform(cut, lambda s: F.xxhash64(s)))
 
 
-def _bands(line: Column, min_chars: int = 0) -> Column:
-    """Eight keys of two MinHash values each: the two least and two greatest of each reordered set."""
+def with_bands(df: DataFrame, min_chars: int = 0) -> DataFrame:
+    """df without `line`, with `size` (of its set of shingles) and the keys b0, b1, ...
 
-    # no defaults in the lambdas' parameters: a second parameter would be bound to the element's index
-    def keys(hashes: Column, i: int) -> Column:
-        salted = F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(SALTS[i]))) if SALTS[i] else hashes
-        return bind(F.sort_array(salted), lambda z: F.array(
-            F.xxhash64(F.lit(2 * i), F.get(z, F.lit(0)), F.get(z, F.lit(1))),
-            F.xxhash64(F.lit(2 * i + 1), F.get(z, F.size(z) - 1), F.get(z, F.size(z) - 2)),
-        ))
-
-    def of(hashes: Column) -> Column:
-        return F.flatten(F.array(*[keys(hashes, i) for i in range(len(SALTS))]))
-
-    return bind(shingles(line, min_chars), of)
-
-
-def _lines(docs: DataFrame, min_chars: int, short: bool = False) -> DataFrame:
-    """(d, pos, place, h, g, line): eligible lines. d is the document's hash; place orders by d, then position."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), text)
-    out = docs.select(d.alias("d"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars)
-    place = F.shiftleft(F.shiftright("d", 21), 21).bitwiseOR(F.least(F.col("pos"), F.lit((1 << 21) - 1)).cast("long"))
-    return out.select("d", "pos", place.alias("place"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), "line")
-
-
-def _thin(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have a wanted key, rows that can't): by a set of SLOTS hashed slots at most."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = F.broadcast(wanted.select(slot(F.col(key)).alias("__slot")).distinct())
-    keyed = df.withColumn("__slot", slot(F.col(key)))
-    return keyed.join(slots, "__slot", "left_semi").drop("__slot"), keyed.join(slots, "__slot", "left_anti").drop("__slot")
-
-
-def _pairs(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (x, y), x < y, of small buckets; the members (band, h) of those that stay large.
-
-    A large bucket is split by each of the line's other bands. Lines that are alike share two bands with a
-    chance of about 98 %; what is still large then is alike nearly throughout.
+    One-permutation MinHash: the set's hashes are sorted once; band i holds the two least from bound i on. Two sets
+    share a band with a chance of about the square of their similarity. The bounds are sorted in with the hashes, so that a bound's place tells
+    how many hashes are before it.
     """
-    keyed = lines.select("h", F.explode("bands").alias("band"))
-    multi = keyed.groupBy("band").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    member = materialise(keyed.join(multi.select("band", "n"), "band"))
-    split = (
-        member.where(F.col("n") > SMALL).join(lines, "h")
-        .select("h", "band", F.explode("bands").alias("other")).where("other <> band")
-        .select("h", F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band")).distinct()
-    )
-    again = split.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    deeper = materialise(split.join(again, "band"))
-    small = member.unionByName(deeper).where(F.col("n") <= SMALL).select("band", "h")
-    return _all_pairs(small).distinct(), deeper.where(F.col("n") > SMALL).select("band", "h")
+    names = [c for c in df.columns if c != "line"]
+    step = df.select(*names, F.sort_array(shingles(F.col("line"), min_chars)).alias("z"))
+    step = step.select(*names, "z", F.sort_array(F.concat("z", F.array(*[F.lit(b) for b in BOUNDS]))).alias("m"), F.size("z").alias("size"))
+    at = lambda i, k: F.get("z", F.pmod(F.array_position("m", F.lit(BOUNDS[i])) - 1 - i + k, F.col("size")).cast("int"))
+    return step.select(*names, "size", *[F.xxhash64(at(i, 0), at(i, 1)).alias(f"b{i}") for i in range(BANDS)])
 
 
-def _all_pairs(small: DataFrame) -> DataFrame:
-    """Pairs within buckets of at most SMALL members."""
-    members = small.groupBy("band").agg(F.sort_array(F.collect_list("h")).alias("m"))
-    x = members.select("m", F.posexplode("m").alias("i", "x"))
-    return x.select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y")).where("x < y")
+def _occurrences(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """(d, pos, h, g, line): eligible lines. d is the document's hash, (h, g) the line's."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    out = docs.select(doc_key(docs).alias("d"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    out = out.where(F.col("line").rlike(r"\S") if short else F.length("line") >= min_chars)
+    return out.select("d", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), F.col("line")).alias("g"), "line")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y) whose exact Jaccard similarity reaches the threshold; other columns of pairs stay."""
     left = sets.select(F.col("h").alias("x"), F.col("sh").alias("sx"))
     right = sets.select(F.col("h").alias("y"), F.col("sh").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
-    return (
-        pairs.join(left, "x").join(right, "y")
-        .where(both >= F.lit(threshold) * (F.size("sx") + F.size("sy") - both))
-        .select("x", "y")
-    )
+    met = pairs.join(left, "x").join(right, "y").select(*pairs.columns, both.alias("both"), (F.size("sx") + F.size("sy")).alias("all"))
+    return met.where(F.col("both") >= F.lit(threshold) * (F.col("all") - F.col("both"))).select(pairs.columns)
 
 
-def _heads(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (x, y) of members of large buckets (band, h) to a few heads of their buckets.
+def _near(p: Column, q: Column, threshold: float) -> Column:
+    """Sizes that leave room for the threshold."""
+    return F.least(p, q) >= F.lit(threshold) * F.greatest(p, q) - 1e-6
 
-    This only joins what is alike throughout before _across() looks at the rest: which links are found here changes the work
-    left to it, not the result. A head is the least hash of a salted part of its bucket: a partial minimum,
-    never a collected bucket. A line that met a head in any bucket leaves.
-    """
-    rest, edges = large, None
-    for at, number in enumerate(HEADS):
-        part = F.pmod(F.xxhash64("h", F.lit(at)), F.lit(number)).alias("part")
-        heads = rest.groupBy("band", part).agg(F.min("h").alias("lo"))
-        meets = rest.join(heads.select("band", "lo"), "band").where("lo <> h")
-        done = materialise(_verified(meets.select(F.least("lo", "h").alias("x"), F.greatest("lo", "h").alias("y")).distinct(), sets, threshold))
-        edges = done if edges is None else edges.unionByName(done)
-        met = done.select(F.col("x").alias("h")).unionByName(done.select(F.col("y").alias("h"))).distinct()
-        if at + 1 < len(HEADS):
-            rest = materialise(rest.join(met, "h", "left_anti"))
-            if rest.isEmpty():
-                break
-    return edges
-
-
-def _across(members: DataFrame, threshold: float) -> DataFrame:
+
+def _apart(rooted: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (x, y, a, b) of members of different roots in the buckets of at most SMALL members; each bucket's least member
+    has met all others already."""
+    row = F.struct("h", "root", "size")
+    m = rooted.groupBy("band").agg(F.slice(F.sort_array(F.collect_list(row)), 2, SMALL).alias("m"))
+    x = m.select("m", F.posexplode("m").alias("i", "x")).select("x", F.explode(F.slice("m", F.col("i") + 2, SMALL)).alias("y"))
+    x = x.where((F.col("x.root") != F.col("y.root")) & _near(F.col("x.size"), F.col("y.size"), threshold))
+    return x.select(F.col("x.h").alias("x"), F.col("y.h").alias("y"), F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
+
+
+def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
     """Links (a, b) between components: all pairs of members (h, root, sh) of different roots that are alike.
 
     Exact, by prefixes: sets alike at `threshold` share one of the rarest |x| - ceil(threshold |x|) + 1 shingles of
     each, whatever the one order of all shingles is. Members that share such a shingle are dealt to blocks by hash and each pair of blocks
-    is compared in a row of its own; a row gives each pair of roots once, so its links stay few.
+    is compared in a row of its own; a row gives each pair of roots once, so its links stay few. Blocks of one root only are not dealt.
     """
     token = members.select("h", F.explode("sh").alias("t"))
     rank = token.groupBy("t").agg(F.count("*").alias("f"))
@@ -142,7 +89,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     n = F.size("r")
     # less a little: a product that is whole must not round up
     prefix = F.slice("r", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-6).cast("int") + 1)
-    keyed = materialise(ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t")).join(members.select("h", "root"), "h"))
+    keyed = s(ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t")).join(members.select("h", "root"), "h"))
     mixed = keyed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("h", F.lit("block")), blocks).cast("int")
@@ -155,8 +102,7 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
 
     def like(x: Column, y: Column) -> Column:
         p, q = F.size(x["sh"]), F.size(y["sh"])
-        near = (x["root"] < y["root"]) & ((x["block"] != y["block"]) | (F.col("ba") == F.col("bb")))
-        near = near & (F.least(p, q) >= F.lit(threshold) * F.greatest(p, q) - 1e-6)
+        near = (x["root"] < y["root"]) & ((x["block"] != y["block"]) | (F.col("ba") == F.col("bb"))) & _near(p, q, threshold)
         return near & bind(F.size(F.array_intersect(x["sh"], y["sh"])), lambda both: both >= F.lit(threshold) * (p + q - both))
 
     def of(x: Column) -> Column:
@@ -166,77 +112,109 @@ def _across(members: DataFrame, threshold: float) -> DataFrame:
     return tasks.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()
 
 
-def _joined(large: DataFrame, sets: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
-    """(node, root): components of the links (x, y) and of all links among members of large buckets."""
-    roots = materialise(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    members = large.select("h").distinct().join(sets, "h").join(roots.withColumnRenamed("node", "h"), "h", "left")
-    across = materialise(_across(materialise(members.select("h", "sh", F.coalesce("root", "h").alias("root"))), threshold))
-    if across.isEmpty():
+def linked(member: DataFrame, sets: DataFrame, threshold: float, s: Scratch) -> DataFrame:
+    """(node, root): components of the lines that share a bucket and are alike, all pairs of a bucket taken into account.
+
+    member (band, h, size, n, lo, lo_size): buckets with their size and least member; sets (h, sh). 1. Every member meets its buckets' least
+    member: one pair a member, whatever the bucket's size. 2. Union-find over what is alike joins most of what belongs together. 3. Only
+    buckets whose members are still in several components are looked at again, and only pairs across components: pair by pair in
+    small buckets, by prefixes in large ones. A pair within one component could change nothing.
+    """
+    star = member.where((F.col("h") != F.col("lo")) & _near(F.col("size"), F.col("lo_size"), threshold)).select(F.col("lo").alias("x"), F.col("h").alias("y")).distinct()
+    edges = s(_verified(star, sets, threshold))
+    roots = components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")), s)
+    rooted = member.where("n > 2").join(roots.withColumnRenamed("node", "h"), "h", "left").select("band", "h", "size", "n", F.coalesce("root", "h").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("ra"), F.max("root").alias("rb")).where("ra < rb").select("band")
+    rooted = s(rooted.join(mixed, "band"))
+    more = _verified(_apart(rooted.where(F.col("n") <= SMALL), threshold), sets, threshold).select("a", "b")
+    large = rooted.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        more = more.unionByName(_across(s(large.select("h", "root").distinct().join(sets, "h")), threshold, s))
+    more = s(more.distinct())
+    if more.isEmpty():
         return roots
-    ends = across.select(F.col("a").alias("node")).unionByName(across.select(F.col("b").alias("node"))).distinct()
+    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
     known = roots.unionByName(ends.select("node", F.col("node").alias("root"))).distinct()
-    wider = components(across).select(F.col("node").alias("root"), F.col("root").alias("wide"))
-    return materialise(known.join(wider, "root", "left").select("node", F.coalesce("wide", "root").alias("root")))
+    wider = components(more, s).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+    return s(known.join(wider, "root", "left").select("node", F.coalesce("wide", "root").alias("root")))
 
 
-def similar_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, short: bool = False) -> DataFrame:
-    """(h, g, keep): for every line that has an equal or similar one, the place of the line that is kept."""
-    occ = _lines(docs, min_chars, short)
+def similar_lines(docs: DataFrame, s: Scratch, threshold: float = 0.8, min_chars: int = 40, short: bool = False) -> DataFrame:
+    """(h, g, kd, kh, kg): for every line that has an equal or similar one, the document and the line that are kept."""
+    occ = _occurrences(docs, min_chars, short)
     cut = min_chars if short else 0
-    keys = _bands(F.col("line"), cut)
-    lines = materialise(
-        occ.select("h", "g", "place", keys.alias("b")).select("h", "g", "place", *[F.col("b")[i].alias(f"b{i}") for i in range(BANDS)])
-        .groupBy("h", "g").agg(F.count("*").alias("n"), F.min("place").alias("place"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    )
-    lines_b = lines.select("h", F.array(*[f"b{i}" for i in range(BANDS)]).alias("bands"))
-    pairs, large = _pairs(lines_b)
-    pairs = materialise(pairs)
-    wanted = materialise(
-        pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h"))).unionByName(large.select("h")).distinct().join(lines.select("h", "place"), "h")
+    keys = [f"b{i}" for i in range(BANDS)]
+    lines = s(
+        with_bands(occ.select("h", "g", "d", "line"), cut)
+        .groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in keys])
     )
-    some, _ = _thin(occ, "h", wanted)
-    sets = materialise(some.join(wanted, ["h", "place"]).dropDuplicates(["h"]).select("h", shingles(F.col("line"), cut).alias("sh")))
-    edges = materialise(_verified(pairs, sets, threshold))
-    large = materialise(large)
-    roots = _joined(large, sets, edges.unionByName(_heads(large, sets, threshold)), threshold)
-    named = lines.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "g", "n", "place", F.col("root"))
-    groups = named.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("place").alias("keep"))
-    fuzzy = named.join(groups, "root").select("h", "g", "keep")
-    alone = named.where(F.col("root").isNull() & (F.col("n") > 1)).select("h", "g", F.col("place").alias("keep"))
-    return materialise(fuzzy.unionByName(alone))
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, keep_text: bool = True, short: bool = False) -> DataFrame:
+    keyed = lines.select("h", "size", F.explode(F.array_distinct(F.array(*keys))).alias("band"))
+    buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.min_by("size", "h").alias("lo_size")).where("n > 1")
+    member = s(keyed.join(buckets, "band").select("band", "h", "size", "n", "lo", "lo_size"))
+    wanted = s(member.select("h").distinct().join(lines.select("h", "d"), "h"))
+    some, _ = thinned(occ.select("h", "d", "line"), "h", wanted)
+    sets = s(some.join(wanted, ["h", "d"]).dropDuplicates(["h"]).select("h", shingles(F.col("line"), cut).alias("sh")))
+    roots = linked(member, sets, threshold, s)
+    named = s(lines.select("h", "g", "n", "d").join(roots.withColumnRenamed("node", "h"), "h", "left").where("root IS NOT NULL OR n > 1"))
+    first = F.min(F.struct("d", "h", "g")).alias("k")
+    groups = named.where("root IS NOT NULL").groupBy("root").agg(first)
+    alone = named.where("root IS NULL").select("h", "g", F.col("d").alias("kd"), F.col("h").alias("kh"), F.col("g").alias("kg"))
+    return s(named.join(groups, "root").select("h", "g", F.col("k.d").alias("kd"), F.col("k.h").alias("kh"), F.col("k.g").alias("kg")).unionByName(alone))
+
+
+def _gone(docs: DataFrame, keep: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """(d, gone): by document the positions of lines that go: all but the first place of the kept line in the kept document."""
+    places, _ = thinned(_occurrences(docs, min_chars, short).select("d", "pos", "h", "g"), "h", keep)
+    own = (F.col("d") == F.col("kd")) & (F.col("h") == F.col("kh")) & (F.col("g") == F.col("kg"))
+    met = places.join(keep, ["h", "g"]).select("d", "pos", "h", "g", own.alias("own"))
+    later = met.where("own").groupBy("d", "h", "g").agg(F.sort_array(F.collect_set("pos")).alias("p")).select("d", F.explode(F.slice("p", 2, 1 << 30)).alias("pos"))
+    return met.where("NOT own").select("d", "pos").unionByName(later).groupBy("d").agg(F.collect_set("pos").alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, short: bool = False) -> DataFrame:
     """Keep one line of each group of equal or similar lines, over the whole corpus.
 
     Lines (split at \\n) of `min_chars` code points or more take part. With `short` so does every other line with a word, by
     shingles of 4 characters (lines under and over `min_chars` are not alike then); without it shorter ones stay as they are.
-    1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives
-    eight bands of two MinHash values. 3. Candidates of a bucket are verified by exact Jaccard similarity: pair by pair up to 24 lines;
-    larger buckets are split by their lines' other bands. The members of what stays large first meet a few heads, which joins
-    what is alike throughout; then all pairs that are still apart are compared, by exact prefixes. 4. Union-find over the links; of each component the line in the document of least hash, at its
-    first place, is kept and all others go.
+    1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives eight bands of two MinHash
+    values. 3. Candidates of a bucket are verified by exact Jaccard similarity: first each with its bucket's least member, then, where a bucket still has several
+    components, all pairs across these. 4. Union-find over the links; of each component the line in the document of least hash (of several there the one of
+    least hash), at its first place, is kept and all others go.
 
     Returns the columns of docs with `text` without the removed lines, and n_lines and n_dropped (columns of
-    these names in docs are replaced). One row for each input row; null text stays null with n_lines 0.
-    Rows that repeat another one wholly (doc_id and text) keep the same lines as it. Texts of documents that
-    lose no line are not shuffled as long as the bounded filter can tell them.
+    these names in docs are replaced; any other name may occur). One row for each input row. Null text stays null with n_lines 0, an empty
+    one has one line, without a word, that stays. Of rows that repeat another one wholly (doc_id and text) one keeps its lines and the others lose all that take part. A null
+    doc_id is an id like any other. Lines of any length are read whole. An empty table gives an empty table. Texts of documents that
+    lose no line are not shuffled as long as a filter of fixed size can tell them.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), text)
-    keep = similar_lines(docs, threshold, min_chars, short)
-    places = _lines(docs, min_chars, short).select("d", "pos", "place", "h", "g")
-    places, _ = _thin(places, "h", keep)
-    gone = materialise(
-        places.join(keep, ["h", "g"]).where(F.col("place") != F.col("keep")).groupBy("d").agg(F.collect_set("pos").alias("__gone"))
-    )
+    d = doc_key(docs)
+    with Scratch(docs.sparkSession) as s:
+        gone = materialise(_gone(docs, similar_lines(docs, s, threshold, min_chars, short), min_chars, short))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    all_docs = docs.select(*names, d.alias("d"))
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    hit, clean = _thin(all_docs, "d", gone)
-    hit = hit.join(gone, "d", "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    cut = lambda c: F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c)
-    return hit.select(*[cut(c) for c in names], n.alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped")).unionByName(
-        clean.select(*names, n.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-    )
+    # the row travels as one struct: no column of it can clash with one of ours
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), d.alias("d"))
+    twice = materialise(rows.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"))
+    split = F.split(F.col("row.text"), "\n")
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(split)).cast("long")
+    takes = lambda x: x.rlike(r"\S") if short else F.length(x) >= min_chars
+
+    def out(df: DataFrame, lost: Column | None) -> DataFrame:
+        if lost is None:
+            return df.select("row.*", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+        left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), lost), lambda i: F.get(split, i)), "\n")
+        text = F.when(F.coalesce(F.size(lost), F.lit(0)) > 0, left).otherwise(F.col("row.text")).alias("text")
+        return df.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in names], n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"))
+
+    single, copies = rows, None
+    if not twice.isEmpty():
+        some, rest = thinned(rows, "d", twice)
+        single = rest.unionByName(some.join(twice, "d", "left_anti").select("row", "d"))
+        copies = materialise(some.join(twice, "d", "left_semi").select("row", "d", F.monotonically_increasing_id().alias("id")))
+    hit, clean = thinned(single, "d", gone)
+    result = out(hit.join(gone, "d", "left"), F.coalesce("gone", F.array().cast("array<int>"))).unionByName(out(clean, None))
+    if copies is not None:
+        first = copies.groupBy("d").agg(F.min("id").alias("id"), F.lit(True).alias("first"))
+        every = F.filter(F.transform(split, lambda x, i: F.when(takes(x), i)), lambda i: i.isNotNull())
+        lost = F.when(F.coalesce("first", F.lit(False)), F.coalesce("gone", F.array().cast("array<int>"))).otherwise(F.coalesce(every, F.array().cast("array<int>")))
+        result = result.unionByName(out(copies.join(first, ["d", "id"], "left").join(gone, "d", "left"), lost))
+    return result

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cuegrid.llm import decontamination, jaccard, lines, packing, pii, quality, secrets, sharding, substrings, toxicity
+from cuegrid.llm.common import Scratch
 from cuegrid.llm.suffixes import kasai, suffix_order
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -163,8 +164,23 @@ def test_lines_keep_one_of_each_group(spark):
 
 def test_line_bands_are_eight_different_keys(spark):
     line = words(random.Random(7), 60)
-    got = spark.createDataFrame([(line,)], "line string").select(lines._bands(F.col("line")).alias("b")).first().b
-    assert len(set(got)) == lines.BANDS == 8
+    got = lines.with_bands(spark.createDataFrame([(line,)], "line string")).first()
+    assert len({got[f"b{i}"] for i in range(lines.BANDS)}) == lines.BANDS == 8 and got.size > 50
+
+
+def joined(sets, like):
+    """The least index of each set's component."""
+    up = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if up[a] != up[b] and like(sets[a], sets[b]):
+            lo, hi = sorted((up[a], up[b]))
+            up = [lo if x == hi else x for x in up]
+    return up
+
+
+def alike(x, y):
+    both = len(x & y)
+    return both >= 0.8 * (len(x) + len(y) - both)
 
 
 def test_lines_against_all_pairs(spark):
@@ -178,35 +194,58 @@ def test_lines_against_all_pairs(spark):
                 w[rng.randrange(len(w))] = words(rng, 1)
             every.append(" ".join(w))
     shingle = re.compile(lines.SHINGLE)
-    sets, up = [set(shingle.findall(x)) for x in every], list(range(len(every)))
-    for a, b in combinations(range(len(every)), 2):
-        both = len(sets[a] & sets[b])
-        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-            up = [up[a] if x == up[b] else x for x in up]
+    up = joined([set(shingle.findall(x)) for x in every], alike)
     got = lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), DOC))
     assert got.agg(F.sum("n_dropped")).first()[0] == len(every) - len(set(up)) > 5
 
 
 def test_lines_of_large_buckets_against_all_pairs(spark):
-    """A star of 200 variants, each like the original only, and a chain of 60, all in one bucket."""
+    """A star of 200 variants, each like the original only, and a chain of 60, all in one bucket; and in buckets of 20."""
     rng = random.Random(12)
     base = [rng.getrandbits(62) for _ in range(130)]
     star = [base] + [[x if x not in gone else rng.getrandbits(62) for x in base] for gone in (set(rng.sample(base, 14)) for _ in range(200))]
     chain = [[rng.getrandbits(62) for _ in range(100)]]
     while len(chain) < 60:
         chain.append(chain[-1][10:] + [rng.getrandbits(62) for _ in range(10)])
-    sets = star + chain
-    up = list(range(len(sets)))
-    like = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
-    assert not any(like(a, b) for a, b in combinations(star[1:40], 2)) and all(like(base, x) for x in star)
-    for a, b in combinations(range(len(sets)), 2):
-        if like(sets[a], sets[b]):
-            up = [up[a] if x == up[b] else x for x in up]
+    sets = [set(x) for x in star + chain]
+    assert not any(alike(a, b) for a, b in combinations(sets[1:40], 2)) and all(alike(sets[0], x) for x in sets[:201])
+    up = joined(sets, alike)
     assert len(set(up)) == 2
-    table = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "h long, sh array<long>").localCheckpoint()
-    large = table.select(F.lit(1).cast("long").alias("band"), "h")
-    roots = lines._joined(large, table, lines._heads(large, table, 0.8), 0.8).collect()
-    assert len(roots) == len(sets) and len({r.root for r in roots}) == 2 and {r.root for r in roots if r.node <= 200} == {0}
+    table = spark.createDataFrame([(1000 - i, list(s)) for i, s in enumerate(sets)], "h long, sh array<long>")
+    every = [(1, i) for i in range(len(sets))]
+    some = [(10 + i // 19, j) for i in range(1, 201, 19) for j in [0, *range(i, min(201, i + 19))]] + [(100 + i // 10, j) for i in range(201, 261, 9) for j in range(i, min(261, i + 10))]
+    for place in (every, some):
+        members = spark.createDataFrame([(b, 1000 - i, len(sets[i])) for b, i in place], "band long, h long, size int")
+        buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.min_by("size", "h").alias("lo_size"))
+        with Scratch(spark) as s:
+            roots = {r.node: r.root for r in lines.linked(members.join(buckets, "band"), table, 0.8, s).collect()}
+        assert len(roots) == len(sets) and len(set(roots.values())) == 2 and len({roots[1000 - i] for i in range(201)}) == 1
+
+
+def test_edits_of_one_line_against_all_pairs(spark):
+    rng = random.Random(21)
+    base = words(rng, 45).split()
+    every = []
+    for _ in range(300):
+        w = list(base)
+        for _ in range(rng.randint(1, 4)):
+            w[rng.randrange(len(w))] = words(rng, 1)
+        every.append(" ".join(w))
+    shingle = re.compile(lines.SHINGLE)
+    sets = [set(shingle.findall(x)) for x in every]
+    left = len(set(joined(sets, alike)))
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(every)), DOC), short=True)
+    assert got.agg(F.sum("n_dropped")).first()[0] == 300 - left > 50
+
+
+def test_repeated_rows_and_lines_keep_one_line(spark):
+    line = words(random.Random(22), 30)
+    rows = [(1, f"{line}\n{line}\nown line of the first", "x")] * 3 + [(2, line, None), (None, line, "y"), (None, None, None), (3, "", "z")]
+    df = spark.createDataFrame(rows, DOC + ", d string").withColumns({"row": F.lit(1), "gone": F.lit(2), "h": F.lit(3)})
+    got = lines.dedup_lines(df, short=True).collect()
+    left = [x for r in got for x in (r.text or "").split("\n")]
+    assert len(got) == 7 and left.count(line) == 1 and left.count("own line of the first") == 1
+    assert sorted(r.n_lines for r in got) == [0, 1, 1, 1, 3, 3, 3] and {r.d for r in got} == {"x", "y", "z", None} and {(r.row, r.gone, r.h) for r in got} == {(1, 2, 3)}
 
 
 def test_short_lines_and_lines_without_spaces(spark):
