@@ -15,8 +15,10 @@ SHINGLE = r"(?s)\x20?(?=([^\x20].{0,11}+))(?:(?<![^\x20])[^\x20]{1,12}+|[^\x20])
 # Of a line under min_chars: 4 characters from every character on.
 SHORT_SHINGLE, SHORT_WIDTH = r"(?s)(?=(.{4})).", 4
 #: Each band is the two least hashes from one of so many evenly spaced bounds on, going round at the end.
-BANDS = 8
+BANDS = 6
 BOUNDS = tuple(i * (1 << 64) // BANDS - (1 << 63) for i in range(BANDS))
+#: Longs of a sketch that rules pairs out before they are compared.
+SKETCH = 4
 #: Buckets up to this size are compared pair by pair; members of larger ones by prefixes, in blocks of so many.
 SMALL, BLOCK = 24, 200
 
@@ -76,12 +78,25 @@ def _apart(rooted: DataFrame, threshold: float) -> DataFrame:
     return x.select(F.col("x.h").alias("x"), F.col("y.h").alias("y"), F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct()
 
 
+def _parities(sh: Column) -> list[Column]:
+    """SKETCH longs: each element flips one of their bits. What differs between two sketches is at most what differs between the sets."""
+    bit = lambda v: F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(63).cast("int"))
+    part = lambda v: F.shiftrightunsigned(v, 6).bitwiseAND(SKETCH - 1)
+
+    def one(k: int) -> Column:
+        return F.aggregate(sh, F.lit(0).cast("long"), lambda acc, v: F.when(part(v) == k, acc.bitwiseXOR(bit(v))).otherwise(acc))
+
+    return [one(k) for k in range(SKETCH)]
+
+
 def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
     """Links (a, b) between components: all pairs of members (h, root, sh) of different roots that are alike.
 
     Exact, by prefixes: sets alike at `threshold` share one of the rarest |x| - ceil(threshold |x|) + 1 shingles of
-    each, whatever the one order of all shingles is. Members that share such a shingle are dealt to blocks by hash and each pair of blocks
-    is compared in a row of its own; a row gives each pair of roots once, so its links stay few. Blocks of one root only are not dealt.
+    each, whatever the one order of all shingles is. Of the members that share such a shingle those outside its largest component meet all others: the
+    pairs grow with the product of the two, not with the square of a group that is one component already. Both sides are dealt to blocks by hash, a row
+    for each pair of blocks; a row gives each pair of roots once, so its links stay few. Sketches of parities rule most pairs out: sets that are alike differ in
+    (1 - threshold) / (1 + threshold) of their sizes' sum at most.
     """
     token = members.select("h", F.explode("sh").alias("t"))
     rank = token.groupBy("t").agg(F.count("*").alias("f"))
@@ -90,26 +105,29 @@ def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
     # less a little: a product that is whole must not round up
     prefix = F.slice("r", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-6).cast("int") + 1)
     keyed = s(ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t")).join(members.select("h", "root"), "h"))
-    mixed = keyed.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("h", F.lit("block")), blocks).cast("int")
-    dealt = (
-        keyed.join(mixed.select("t", "n"), "t").select("t", "h", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("t", "h", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"), "block")
-    )
-    row = F.struct(*[F.col(c) for c in ("h", "root", "sh", "block")])
-    tasks = dealt.join(members, "h").groupBy("t", "ba", "bb").agg(F.collect_list(row).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    by_root = keyed.groupBy("t", "root").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "root")).alias("major"), F.sum("c").alias("n"), F.count("*").alias("roots"))
+    mixed = by_root.where("roots > 1").select("t", F.col("major.root").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("major.c")) / BLOCK).cast("int").alias("parts"))
+    met = s(keyed.join(mixed, "t"))
+    mine = lambda n: F.pmod(F.xxhash64("h", F.lit("block")), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # those outside the token's largest component ask, all members answer
+    asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), F.lit(True).alias("asks"), F.lit(True).alias("minor"))
+    answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), F.lit(False).alias("asks"), (F.col("root") != F.col("major")).alias("minor"))
+    row = F.struct("h", "root", "sh", "minor", *[f"q{k}" for k in range(SKETCH)])
+    drawn = members.select("h", "root", "sh", *[c.alias(f"q{k}") for k, c in enumerate(_parities(F.col("sh")))])
+    tasks = asks.unionByName(answers).join(drawn, "h").groupBy("t", "part", "block").agg(F.collect_list(F.when(F.col("asks"), row)).alias("x"), F.collect_list(F.when(~F.col("asks"), row)).alias("y"))
 
     def like(x: Column, y: Column) -> Column:
         p, q = F.size(x["sh"]), F.size(y["sh"])
-        near = (x["root"] < y["root"]) & ((x["block"] != y["block"]) | (F.col("ba") == F.col("bb"))) & _near(p, q, threshold)
+        near = (x["root"] != y["root"]) & (~y["minor"] | (x["root"] < y["root"])) & _near(p, q, threshold)
+        differ = sum((F.bit_count(x[f"q{k}"].bitwiseXOR(y[f"q{k}"])) for k in range(1, SKETCH)), F.bit_count(x["q0"].bitwiseXOR(y["q0"])))
+        near = near & (differ <= F.lit((1 - threshold) / (1 + threshold)) * (p + q) + 1e-6)
         return near & bind(F.size(F.array_intersect(x["sh"], y["sh"])), lambda both: both >= F.lit(threshold) * (p + q - both))
 
-    def of(x: Column) -> Column:
-        return F.transform(F.filter(F.col("m"), lambda y: like(x, y)), lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b")))
-
-    links = F.array_distinct(F.flatten(F.transform("m", of)))
-    return tasks.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()
+    # by asking member each linked root once: longs, which array_distinct hashes
+    links = F.transform("x", lambda x: F.struct(x["root"].alias("a"), F.array_distinct(F.transform(F.filter(F.col("y"), lambda y: like(x, y)), lambda y: y["root"])).alias("b")))
+    found = tasks.select(F.explode(F.filter(links, lambda e: F.size(e["b"]) > 0)).alias("e"))
+    return found.select("e.a", F.explode("e.b").alias("b")).distinct()
 
 
 def linked(member: DataFrame, sets: DataFrame, threshold: float, s: Scratch) -> DataFrame:
@@ -166,9 +184,12 @@ def _gone(docs: DataFrame, keep: DataFrame, min_chars: int, short: bool) -> Data
     """(d, gone): by document the positions of lines that go: all but the first place of the kept line in the kept document."""
     places, _ = thinned(_occurrences(docs, min_chars, short).select("d", "pos", "h", "g"), "h", keep)
     own = (F.col("d") == F.col("kd")) & (F.col("h") == F.col("kh")) & (F.col("g") == F.col("kg"))
-    met = places.join(keep, ["h", "g"]).select("d", "pos", "h", "g", own.alias("own"))
-    later = met.where("own").groupBy("d", "h", "g").agg(F.sort_array(F.collect_set("pos")).alias("p")).select("d", F.explode(F.slice("p", 2, 1 << 30)).alias("pos"))
-    return met.where("NOT own").select("d", "pos").unionByName(later).groupBy("d").agg(F.collect_set("pos").alias("gone"))
+    met = places.join(keep, ["h", "g"]).select("d", "pos", "h", "g", own.alias("own")).groupBy("d").agg(
+        F.collect_list(F.when(~F.col("own"), F.col("pos"))).alias("gone"), F.sort_array(F.collect_list(F.when(F.col("own"), F.struct("h", "g", "pos")))).alias("mine")
+    )
+    again = F.filter("mine", lambda x, i: (i > 0) & (F.get("mine", i - 1)["h"] == x["h"]) & (F.get("mine", i - 1)["g"] == x["g"]))
+    both = F.array_distinct(F.concat("gone", F.transform(again, lambda x: x["pos"])))
+    return met.select("d", both.alias("gone")).where(F.size("gone") > 0)
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, short: bool = False) -> DataFrame:
@@ -176,7 +197,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, sh
 
     Lines (split at \\n) of `min_chars` code points or more take part. With `short` so does every other line with a word, by
     shingles of 4 characters (lines under and over `min_chars` are not alike then); without it shorter ones stay as they are.
-    1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives eight bands of two MinHash
+    1. Equal lines are counted under a 128-bit key. 2. A distinct line's set of character shingles gives six bands of two MinHash
     values. 3. Candidates of a bucket are verified by exact Jaccard similarity: first each with its bucket's least member, then, where a bucket still has several
     components, all pairs across these. 4. Union-find over the links; of each component the line in the document of least hash (of several there the one of
     least hash), at its first place, is kept and all others go.
@@ -201,7 +222,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = 40, sh
     def out(df: DataFrame, lost: Column | None) -> DataFrame:
         if lost is None:
             return df.select("row.*", n_lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
-        left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), lost), lambda i: F.get(split, i)), "\n")
+        left = bind(split, lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost), lambda i: F.get(lines, i)), "\n"))
         text = F.when(F.coalesce(F.size(lost), F.lit(0)) > 0, left).otherwise(F.col("row.text")).alias("text")
         return df.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in names], n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -162,10 +162,10 @@ def test_lines_keep_one_of_each_group(spark):
     assert sum(x in (line, " ".join(near)) for x in left) == 1 and all(left.count(o) == 1 for o in other) and left.count("short") == 13
 
 
-def test_line_bands_are_eight_different_keys(spark):
+def test_line_bands_are_different_keys(spark):
     line = words(random.Random(7), 60)
     got = lines.with_bands(spark.createDataFrame([(line,)], "line string")).first()
-    assert len({got[f"b{i}"] for i in range(lines.BANDS)}) == lines.BANDS == 8 and got.size > 50
+    assert len({got[f"b{i}"] for i in range(lines.BANDS)}) == lines.BANDS == 6 and got.size > 50
 
 
 def joined(sets, like):
