@@ -13,30 +13,33 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep."""
+    """Documents that the repetition rules keep, with all their columns. Null and empty texts go; repeated rows are judged each; a null doc_id is no reason to go."""
     return quality.drop_repetitive(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each group of similar lines; documents whose every line went elsewhere go."""
-    out = lines.dedup_lines(docs, short=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    """One line of each group of similar lines; documents whose every line went elsewhere go. n_chars, where there is one, follows the text.
+
+    Null texts and documents without a word lose no line and stay. Of rows that repeat another one wholly one stays. Columns named n_lines or n_dropped stay as they are."""
+    own = {c: f"{c}__own" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    out = lines.dedup_lines(docs.withColumnsRenamed(own), short=True).where((F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word-shingle similarity 0.8."""
+    """One document of each class of five-word-shingle similarity 0.8. Documents without a word are one class; repeated rows leave one."""
     return jaccard.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item. Null and empty texts hold none; a null doc_id is no shelter."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 ids, with the ids."""
+    """Sequences of at most 2048 ids, with the ids. A null or empty text is its end id alone."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 2048, keep_ids=True)
