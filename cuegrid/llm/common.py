@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import Scratch, written
 
 __all__ = ["Scratch", "documents", "doc_key", "materialise", "text_of", "thinned"]
-#: A filter of wanted keys: this many bitmaps of 32,768 bits, 4 MB in all, whatever the input.
-BITMAPS = 1 << 10
+#: A filter of wanted keys: so many longs of bits at most, 2^25 bits in all, whatever the input.
+WORDS = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,13 +32,12 @@ def doc_key(docs: DataFrame) -> Column:
 
 
 def thinned(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of df whose key may be in wanted, rows whose key is not), by bitmaps of fixed size: what is broadcast is 4 MB
+    """(rows of df whose key may be in wanted, rows whose key is not), by a set of bits of fixed size: what is broadcast is WORDS rows of two longs
     at most. The more keys are wanted, the more rows pass; a join on the key must follow and decides. Null keys are not wanted."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(BITMAPS * 32768)) + 1
-    bits = wanted.select(at(key).alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
-    keyed = df.withColumn("__at", at(key)).withColumn("__no", F.bitmap_bucket_number("__at")).withColumn("__bit", F.bitmap_bit_position("__at"))
-    both = keyed.join(F.broadcast(bits), "__no", "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.col(key).isNotNull() & (F.pmod(F.call_function("shiftright", byte, (F.col("__bit") % 8).cast("int")), F.lit(2)) == 1), F.lit(False))
-    marked = both.select(*df.columns, hit.alias("__hit"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(WORDS * 64))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(63).cast("int"))
+    words = wanted.select(at(key).alias("__at")).groupBy(F.shiftright("__at", 6).alias("__no")).agg(F.bit_or(bit(F.col("__at"))).alias("__bits"))
+    keyed = df.withColumn("__at", at(key)).withColumn("__no", F.shiftright("__at", 6))
+    hit = F.coalesce(F.col(key).isNotNull() & (F.col("__bits").bitwiseAND(bit(F.col("__at"))) != 0), F.lit(False))
+    marked = keyed.join(F.broadcast(words), "__no", "left").select(*df.columns, hit.alias("__hit"))
     return marked.where("__hit").select(df.columns), marked.where("NOT __hit").select(df.columns)

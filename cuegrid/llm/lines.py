@@ -90,8 +90,10 @@ def _parities(sh: Column) -> list[Column]:
 
 
 def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
-    """Links (a, b) between components: all pairs of members (h, root, sh) of different roots that are alike.
+    """Links (a, b) between components: of the pairs of members (h, root, sh) of different roots that are alike, one at least for each member that has one.
 
+    No link is found only if there is none, so called again with the wider components it ends with all of them; each call leaves half of the linked
+    components at most, and of a dense group one.
     Exact, by prefixes: sets alike at `threshold` share one of the rarest |x| - ceil(threshold |x|) + 1 shingles of
     each, whatever the one order of all shingles is. Of the members that share such a shingle those outside its largest component meet all others: the
     pairs grow with the product of the two, not with the square of a group that is one component already. Both sides are dealt to blocks by hash, a row
@@ -111,23 +113,23 @@ def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
     mine = lambda n: F.pmod(F.xxhash64("h", F.lit("block")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # those outside the token's largest component ask, all members answer
-    asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), F.lit(True).alias("asks"), F.lit(True).alias("minor"))
-    answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), F.lit(False).alias("asks"), (F.col("root") != F.col("major")).alias("minor"))
-    row = F.struct("h", "root", "sh", "minor", *[f"q{k}" for k in range(SKETCH)])
+    asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), F.lit(True).alias("asks"))
+    answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), F.lit(False).alias("asks"))
+    row = F.struct("h", "root", "sh", *[f"q{k}" for k in range(SKETCH)])
     drawn = members.select("h", "root", "sh", *[c.alias(f"q{k}") for k, c in enumerate(_parities(F.col("sh")))])
     tasks = asks.unionByName(answers).join(drawn, "h").groupBy("t", "part", "block").agg(F.collect_list(F.when(F.col("asks"), row)).alias("x"), F.collect_list(F.when(~F.col("asks"), row)).alias("y"))
 
     def like(x: Column, y: Column) -> Column:
         p, q = F.size(x["sh"]), F.size(y["sh"])
-        near = (x["root"] != y["root"]) & (~y["minor"] | (x["root"] < y["root"])) & _near(p, q, threshold)
+        near = (x["root"] != y["root"]) & _near(p, q, threshold)
         differ = sum((F.bit_count(x[f"q{k}"].bitwiseXOR(y[f"q{k}"])) for k in range(1, SKETCH)), F.bit_count(x["q0"].bitwiseXOR(y["q0"])))
         near = near & (differ <= F.lit((1 - threshold) / (1 + threshold)) * (p + q) + 1e-6)
         return near & bind(F.size(F.array_intersect(x["sh"], y["sh"])), lambda both: both >= F.lit(threshold) * (p + q - both))
 
-    # by asking member each linked root once: longs, which array_distinct hashes
-    links = F.transform("x", lambda x: F.struct(x["root"].alias("a"), F.array_distinct(F.transform(F.filter(F.col("y"), lambda y: like(x, y)), lambda y: y["root"])).alias("b")))
-    found = tasks.select(F.explode(F.filter(links, lambda e: F.size(e["b"]) > 0)).alias("e"))
-    return found.select("e.a", F.explode("e.b").alias("b")).distinct()
+    # one link an asking member and row, to the least root it is linked to: every component outside a token's largest that has a link keeps one
+    links = F.transform("x", lambda x: F.struct(x["root"].alias("a"), F.array_min(F.transform(F.filter(F.col("y"), lambda y: like(x, y)), lambda y: y["root"])).alias("b")))
+    found = tasks.select(F.explode(F.filter(links, lambda e: e["b"].isNotNull())).alias("e"))
+    return found.select("e.a", "e.b").distinct()
 
 
 def linked(member: DataFrame, sets: DataFrame, threshold: float, s: Scratch) -> DataFrame:
@@ -144,16 +146,25 @@ def linked(member: DataFrame, sets: DataFrame, threshold: float, s: Scratch) ->
     rooted = member.where("n > 2").join(roots.withColumnRenamed("node", "h"), "h", "left").select("band", "h", "size", "n", F.coalesce("root", "h").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("ra"), F.max("root").alias("rb")).where("ra < rb").select("band")
     rooted = s(rooted.join(mixed, "band"))
-    more = _verified(_apart(rooted.where(F.col("n") <= SMALL), threshold), sets, threshold).select("a", "b")
-    large = rooted.where(F.col("n") > SMALL)
-    if not large.isEmpty():
-        more = more.unionByName(_across(s(large.select("h", "root").distinct().join(sets, "h")), threshold, s))
-    more = s(more.distinct())
-    if more.isEmpty():
+    more = s(_verified(_apart(rooted.where(F.col("n") <= SMALL), threshold), sets, threshold).select("a", "b").distinct())
+    roots = _wider(roots, more, s)
+    large = s(rooted.where(F.col("n") > SMALL).select("h").distinct().join(sets, "h"))
+    while not large.isEmpty():
+        members = s(large.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "sh"))
+        more = s(_across(members, threshold, s))
+        if more.isEmpty():
+            break
+        roots = _wider(roots, more, s)
+    return roots
+
+
+def _wider(roots: DataFrame, links: DataFrame, s: Scratch) -> DataFrame:
+    """(node, root) after links (a, b) between roots; a root that had no node is one."""
+    if links.isEmpty():
         return roots
-    ends = more.select(F.col("a").alias("node")).unionByName(more.select(F.col("b").alias("node"))).distinct()
+    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
     known = roots.unionByName(ends.select("node", F.col("node").alias("root"))).distinct()
-    wider = components(more, s).select(F.col("node").alias("root"), F.col("root").alias("wide"))
+    wider = components(links, s).select(F.col("node").alias("root"), F.col("root").alias("wide"))
     return s(known.join(wider, "root", "left").select("node", F.coalesce("wide", "root").alias("root")))
 
 
@@ -163,15 +174,20 @@ def similar_lines(docs: DataFrame, s: Scratch, threshold: float = 0.8, min_chars
     cut = min_chars if short else 0
     keys = [f"b{i}" for i in range(BANDS)]
     lines = s(
-        with_bands(occ.select("h", "g", "d", "line"), cut)
-        .groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in keys])
+        with_bands(occ.select("h", "g", "d", "pos", "line"), cut)
+        .groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("d"), F.min_by("pos", "d").alias("pos"), F.min("size").alias("size"), *[F.min(b).alias(b) for b in keys])
     )
     keyed = lines.select("h", "size", F.explode(F.array_distinct(F.array(*keys))).alias("band"))
     buckets = keyed.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.min_by("size", "h").alias("lo_size")).where("n > 1")
-    member = s(keyed.join(buckets, "band").select("band", "h", "size", "n", "lo", "lo_size"))
-    wanted = s(member.select("h").distinct().join(lines.select("h", "d"), "h"))
-    some, _ = thinned(occ.select("h", "d", "line"), "h", wanted)
-    sets = s(some.join(wanted, ["h", "d"]).dropDuplicates(["h"]).select("h", shingles(F.col("line"), cut).alias("sh")))
+    buckets = s(buckets)
+    shared, _ = thinned(keyed, "band", buckets)
+    member = s(shared.join(buckets, "band").select("band", "h", "size", "n", "lo", "lo_size"))
+    s.drop(buckets)
+    # one place of each line: lines of one h but different g are told apart by it too, the lesser g stands for both
+    places = lines.groupBy("h").agg(F.min("g").alias("g"), F.min_by("d", "g").alias("d"), F.min_by("pos", "g").alias("pos"))
+    wanted = s(member.select("h").distinct().join(places, "h"))
+    some, _ = thinned(occ, "h", wanted)
+    sets = s(some.join(wanted, ["h", "g", "d", "pos"]).select("h", shingles(F.col("line"), cut).alias("sh")))
     roots = linked(member, sets, threshold, s)
     named = s(lines.select("h", "g", "n", "d").join(roots.withColumnRenamed("node", "h"), "h", "left").where("root IS NOT NULL OR n > 1"))
     first = F.min(F.struct("d", "h", "g")).alias("k")
@@ -187,7 +203,7 @@ def _gone(docs: DataFrame, keep: DataFrame, min_chars: int, short: bool) -> Data
     met = places.join(keep, ["h", "g"]).select("d", "pos", "h", "g", own.alias("own")).groupBy("d").agg(
         F.collect_list(F.when(~F.col("own"), F.col("pos"))).alias("gone"), F.sort_array(F.collect_list(F.when(F.col("own"), F.struct("h", "g", "pos")))).alias("mine")
     )
-    again = F.filter("mine", lambda x, i: (i > 0) & (F.get("mine", i - 1)["h"] == x["h"]) & (F.get("mine", i - 1)["g"] == x["g"]))
+    again = F.filter("mine", lambda x, i: (i > 0) & (F.get("mine", i - 1)["h"] == x["h"]) & (F.get("mine", i - 1)["g"] == x["g"]) & (F.get("mine", i - 1)["pos"] != x["pos"]))
     both = F.array_distinct(F.concat("gone", F.transform(again, lambda x: x["pos"])))
     return met.select("d", both.alias("gone")).where(F.size("gone") > 0)
 
