@@ -10,14 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch, doc_key, materialise, thinned
 from .graph import components
 
-#: Expected tokens of a set's shared sample, and of the paths that it starts; then of each step of a path.
-SAMPLE, PATHS, STEP = 48, 12, 5
+#: Expected tokens of a set's shared sample, and of the paths that it starts in a run; then of each step of a path.
+SAMPLE, PATHS, STEP = 48, 6, 5
 #: Buckets up to this size are compared; larger ones are split DEPTH times at most, then compared in blocks.
 SMALL, DEPTH, BLOCK = 64, 3, 600
-SLOTS = 1 << 20
+#: A leaf's number starts with that of its run, at this bit.
+RUN_BIT = 58
+#: Rows that a task turns over at once, and words it remembers: bounds of its memory beside one bucket.
+ROWS, MEMO = 1_000, 150_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -44,7 +47,7 @@ def tokens(text: str, n: int) -> np.ndarray:
     words = text.split()
     if not words:
         return np.empty(0, np.uint64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > MEMO:
         _WORDS.clear()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     k = min(n, len(words))
@@ -69,44 +72,49 @@ def _scan(n: int):
         import xxhash
 
         for pdf in batches:
-            rows = []
-            for tag, text in zip(pdf["tag"], pdf["text"], strict=True):
-                t = tokens(text, n)
-                tid = xxhash.xxh3_64_intdigest(text)
-                sid = xxhash.xxh3_64_intdigest(t.tobytes()) if len(t) else 0
-                at = t[_chosen(t, len(t), SAMPLE, 0x51ED270B)] if len(t) else t
-                rows.append((tag, *_signed(np.array([sid, tid], np.uint64)), len(t), _signed(at)))
-            yield pd.DataFrame(rows, columns=["tag", "sid", "tid", "size", "sample"])
+            for lo in range(0, len(pdf), ROWS):
+                rows = []
+                for d, text in zip(pdf["d"][lo : lo + ROWS], pdf["text"][lo : lo + ROWS], strict=True):
+                    t = tokens(text, n)
+                    tid = xxhash.xxh3_64_intdigest(text)
+                    sid = xxhash.xxh3_64_intdigest(t.tobytes()) if len(t) else 0
+                    at = t[_chosen(t, len(t), SAMPLE, 0x51ED270B)] if len(t) else t
+                    rows.append((d, *_signed(np.array([sid, tid], np.uint64)), len(t), at.view(np.int64)))
+                yield pd.DataFrame(rows, columns=["d", "sid", "tid", "size", "sample"])
 
     return run
 
 
-def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """From (sid, size, sample, path, depth) the longer paths of the set: (sid, path)."""
-    for pdf in batches:
-        sids, out = [], []
-        for sid, size, sample, path, depth in zip(pdf["sid"], pdf["size"], pdf["sample"], pdf["path"], pdf["depth"], strict=True):
-            t = np.asarray(sample, np.int64).view(np.uint64)
-            salt = int(path) & 0xFFFFFFFFFFFFFFFF
-            # the sample holds a token with chance SAMPLE/size already; of a small set it holds all
-            held = min(size, SAMPLE)
-            t = t[_chosen(t, held, PATHS if depth == 0 else STEP, salt ^ 0xA5A5A5A5)]
-            got = _signed(_mix(t + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) | np.uint64(1))
-            sids.extend([sid] * len(got))
-            out.extend(got)
-        yield pd.DataFrame({"sid": np.array(sids, np.int64), "path": np.array(out, np.int64)})
+def _paths(run_no: int):
+    """From (sid, size, sample, path, depth) the longer paths of the set in this run: (sid, path)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sids, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for sid, size, sample, path, depth in zip(pdf["sid"], pdf["size"], pdf["sample"], pdf["path"], pdf["depth"], strict=True):
+                t = np.asarray(sample, np.int64).view(np.uint64)
+                salt = int(path) & 0xFFFFFFFFFFFFFFFF
+                # the sample holds a token with chance SAMPLE/size already; of a small set it holds all
+                t = t[_chosen(t, min(size, SAMPLE), PATHS if depth == 0 else STEP, salt ^ 0xA5A5A5A5)]
+                got = _mix(t + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - RUN_BIT)
+                out.append((got | np.uint64(run_no << RUN_BIT)).view(np.int64))
+                sids.append(np.full(len(got), sid, np.int64))
+            yield pd.DataFrame({"sid": np.concatenate(sids), "path": np.concatenate(out)})
+
+    return run
 
 
 def _tokens_of(n: int):
-    """Token sets by document; a document that only shares the id of the one that was meant is left out."""
+    """Token sets by document; a document that only shares the key of the one that was meant is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
         for pdf in batches:
-            out = pdf[["sid", "w", "leaves"]].copy()
-            out["toks"] = [tokens(t, n).tobytes() for t in pdf["text"]]
-            yield out[[xxhash.xxh3_64_intdigest(t) == s & 0xFFFFFFFFFFFFFFFF for t, s in zip(out["toks"], out["sid"].tolist(), strict=True)]]
+            for lo in range(0, len(pdf), ROWS):
+                out = pdf[["sid", "w", "leaves"]].iloc[lo : lo + ROWS].copy()
+                out["toks"] = [tokens(t, n).tobytes() for t in pdf["text"][lo : lo + ROWS]]
+                yield out[[xxhash.xxh3_64_intdigest(t) == s & 0xFFFFFFFFFFFFFFFF for t, s in zip(out["toks"], out["sid"].tolist(), strict=True)]]
 
     return run
 
@@ -128,7 +136,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     if len(group):
         group = np.cumsum(np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)]))
     out = np.zeros((m, m), np.float32)
-    width = max(1, min(4096, int(group[-1]) + 1 if len(group) else 1))
+    width = max(1, min(1024, int(group[-1]) + 1 if len(group) else 1))
     edges = np.searchsorted(group, np.arange(0, (int(group[-1]) if len(group) else -1) + 1 + width, width))
     for c, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
         if lo == hi:
@@ -150,35 +158,45 @@ def _groups(batches: Iterator[pd.DataFrame], sets: str) -> Iterator[tuple]:
         yield task, list({r[3]: r[3:] for r in rows}.values())
 
 
-def _counts_here(leaf: int, across: bool, rows: list[tuple]) -> np.ndarray:
-    """Which pairs of a task's sets count in it: other sets, of other blocks if it is a task across two blocks,
-    that share no lesser leaf."""
-    lesser = [np.asarray([x for x in r[3] if x < leaf], np.int64).view(np.uint64) for r in rows]
-    out = _overlaps(lesser) == 0
-    if across:
-        block = np.array([r[4] for r in rows])
-        out &= block[:, None] != block[None, :]
+def _shared_before(leaf: int, rows: list[tuple], least: int = 0) -> np.ndarray:
+    """Which pairs of a task's sets share a leaf from `least` on and before this one."""
+    return _overlaps([np.asarray([x for x in r[3] if least <= x < leaf], np.int64).view(np.uint64) for r in rows]) > 0
+
+
+def _others(across: bool, rows: list[tuple]) -> np.ndarray:
+    """Pairs of different sets; of different blocks if it is a task across two blocks."""
+    block = np.array([r[4] for r in rows])
+    out = block[:, None] != block[None, :] if across else np.ones((len(rows), len(rows)), bool)
     np.fill_diagonal(out, False)
     return out
 
 
+LIKELY = "sid long, leaf long, ba int, bb int, block int, found int, fresh int"
+
+
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(sid, leaf, ba, bb, block) of the sets that have a partner here whose sample overlaps theirs by half.
+    """(sid, leaf, ba, bb, block, found, fresh) of the sets that have partners here whose sample overlaps theirs by half.
 
-    At similarity 0.8 the samples share about 38 of 48 tokens; fewer than half has a chance under 1e-6. A pair
-    counts only in the least leaf it shares.
+    At similarity 0.8 the samples share about 38 of 48 tokens; fewer than half has a chance under 1e-6. A pair is
+    found in the least leaf of the run that it shares, and fresh if it shares none of an earlier run.
     """
+    names = [c.split()[0] for c in LIKELY.split(", ")]
     out: list[tuple] = []
     for (leaf, a, b), rows in _groups(batches, "sample"):
         size = np.array([len(r[2]) for r in rows], np.float32)
         both = _overlaps([np.asarray(r[2], np.int64).view(np.uint64) for r in rows])
-        pair = (both >= 0.5 * np.minimum(size[:, None], size[None, :])) & _counts_here(leaf, a != b, rows)
-        out.extend((rows[i][0], leaf, a, b, rows[i][4]) for i in np.flatnonzero(pair.any(axis=1)).tolist())
+        pair = (both >= 0.5 * np.minimum(size[:, None], size[None, :])) & _others(a != b, rows)
+        if pair.any():
+            pair &= ~_shared_before(leaf, rows, leaf >> RUN_BIT << RUN_BIT)
+            found = pair.sum(axis=1)
+            pair &= ~_shared_before(leaf >> RUN_BIT << RUN_BIT, rows)
+            fresh = pair.sum(axis=1)
+            out.extend((rows[i][0], leaf, a, b, rows[i][4], int(found[i]), int(fresh[i])) for i in np.flatnonzero(found).tolist())
         if len(out) > 20_000:
-            yield pd.DataFrame(out, columns=["sid", "leaf", "ba", "bb", "block"])
+            yield pd.DataFrame(out, columns=names)
             out = []
     if out:
-        yield pd.DataFrame(out, columns=["sid", "leaf", "ba", "bb", "block"])
+        yield pd.DataFrame(out, columns=names)
 
 
 def _compare(threshold: float):
@@ -192,7 +210,7 @@ def _compare(threshold: float):
         sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         size = np.array([len(t) for t in sets], np.float64)
         both = _overlaps(sets).astype(np.float64)
-        linked = (both >= threshold * (size[:, None] + size[None, :] - both)) & _counts_here(leaf, a != b, rows)
+        linked = (both >= threshold * (size[:, None] + size[None, :] - both)) & _others(a != b, rows) & ~_shared_before(leaf, rows)
         links = linked @ np.array([r[1] for r in rows], np.int64)
         to, before = np.arange(len(rows)), None
         while before is None or (to != before).any():  # the least neighbour's label, and that one's own, until nothing moves
@@ -214,44 +232,17 @@ def _compare(threshold: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Near-duplicate classes of documents by the Jaccard similarity of their sets of n-word shingles.
-
-    1. Texts become token sets; equal sets are one from here on. 2. A set keeps a sample of its tokens (48
-    expected), chosen by a hash all sets share, and starts 12 expected paths from it: a bucket for each
-    token. Sets of similarity 0.8 or more share about 10, so the runs miss a pair with a chance under one in
-    10,000. 3. Buckets over 64 sets are split: each member goes on by tokens chosen by a hash of the path, to
-    depth 3. 4. Members of a bucket whose samples overlap by half are compared by exact similarity of whole
-    token sets; buckets that even the longest
-    paths leave large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
-    task. A pair counts in the least bucket it shares, buckets of the same members are compared once.
-    5. Union-find over the links gives the classes.
-
-    Returns doc_id, class_id (the least doc_id of the class), n_links (different texts it is linked to) and
-    n_copies (other rows of the same text), one row for each input row. Null and empty texts have no tokens
-    and are copies of each other. A text of fewer than n words has one token, its words. Other columns are
-    not read. Only the texts of sets that share a bucket are shuffled, as far as a bounded filter can tell.
-    """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tag = F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null"))
-    scanned = materialise(
-        docs.select(tag.alias("tag"), text.alias("text")).mapInPandas(_scan(n), "tag string, sid long, tid long, size long, sample array<long>")
-    )
-    texts_of = scanned.groupBy("sid", "tid").agg(F.min("tag").alias("tag"), F.count("*").alias("rows"))
-    sets = materialise(
-        texts_of.groupBy("sid").agg(F.count("*").alias("w"), F.min("tag").alias("tag"))
-        .join(scanned.where(F.size("sample") > 0).select("sid", "size", "sample", "tag"), ["sid", "tag"])
-        .dropDuplicates(["sid"])
-    )
+def _leaves(sets: DataFrame, run_no: int, s: Scratch) -> DataFrame:
+    """(sid, leaf, m): the buckets of one run that hold two sets or more, m sets each."""
     large = leaves = None
     for depth in range(DEPTH):
         if depth == 0:
-            start = sets.select("sid", "size", "sample", F.lit(0).cast("long").alias("path"), F.lit(0).alias("depth"))
+            start = sets.select("sid", "size", "sample", F.lit(run_no).cast("long").alias("path"), F.lit(0).alias("depth"))
         else:
             start = large.join(sets.select("sid", "size", "sample"), "sid").select("sid", "size", "sample", "path", F.lit(depth).alias("depth"))
-        paths = materialise(start.mapInPandas(_paths, "sid long, path long"))
+        paths = s(start.mapInPandas(_paths(run_no), "sid long, path long"))
         counts = paths.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"))
-        counts = materialise(counts.where("m > 1"))
+        counts = s(counts.where("m > 1"))
         last = depth == DEPTH - 1
         # buckets of the same members are one: the least of them stands for all
         ready = counts if last else counts.where(F.col("m") <= SMALL)
@@ -260,61 +251,105 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
         leaves = got if leaves is None else leaves.unionByName(got)
         if not last:
             kept = counts.where(F.col("m") > SMALL).groupBy("m", "who").agg(F.min("path").alias("path"))
-            large = materialise(paths.join(kept.select("path"), "path"))
+            large = s(paths.join(kept.select("path"), "path"))
             if large.isEmpty():
                 break
-    leaves = materialise(leaves)
-    of_set = leaves.groupBy("sid").agg(F.collect_set("leaf").alias("leaves"))
-    wanted = materialise(of_set.join(sets.select("sid", "w", "tag", "sample"), "sid"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
-    tasks = (
-        wanted.join(leaves, "sid")
-        .select("sid", "w", "leaves", "sample", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("sid", "w", "leaves", "sample", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
-    )
+    return s(leaves)
+
+
+def _linked(docs: DataFrame, sets: DataFrame, n: int, threshold: float, target: float, s: Scratch) -> DataFrame:
+    """(sid, to, links): for sets with a link, in each task that finds links of it: their number and a member it is joined to."""
     order = ("leaf", "ba", "bb")
-    likely = materialise(
-        tasks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_likely, "sid long, leaf long, ba int, bb int, block int")
-    )
-    named = materialise(wanted.select("sid", "w", "leaves", "tag").join(likely.select("sid").distinct(), "sid"))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    slots = F.broadcast(named.select(slot("tag").alias("slot")).distinct())
-    source = docs.select(tag.alias("tag"), text.alias("text")).withColumn("slot", slot("tag")).join(slots, "slot", "left_semi").drop("slot")
-    read = named.join(source, "tag").select("sid", "w", "leaves", "text").mapInPandas(_tokens_of(n), "sid long, w long, leaves array<long>, toks binary")
-    linked = materialise(
-        read.join(likely, "sid").repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "sid long, to long, links long")
-    )
-    roots = components(linked.select(F.col("sid").alias("a"), F.col("to").alias("b")))
-    links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
-    per_set = sets.select("sid", "w").join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    per_set = per_set.select("sid", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
-    kind = docs.schema["doc_id"].dataType
-    keyed = scanned.select("tag", "sid", "tid")
-    texts = texts_of.select("sid", "tid", "rows", "tag").join(per_set, "sid", "left").select(
-        "sid", "tid", "rows", "tag", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-    # the least doc_id of a class, in the order of its own type
-    own = F.when(F.col("tag") == "\u0000null", None).otherwise(F.col("tag")).cast(kind)
-    firsts = keyed.groupBy("sid").agg(F.min(own).alias("first"))
-    named = texts.join(firsts, "sid")
-    classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    per_text = named.join(classes, "root").select("sid", "tid", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
-    return keyed.join(per_text, ["sid", "tid"]).select(own.alias("doc_id"), "class_id", "n_links", "n_copies")
-
-
-def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs, with all its columns, with one document of each near-duplicate class: that of the least doc_id.
-
-    Repeated rows of one doc_id in a class leave one row. Rows with a null doc_id can't be told apart by it
-    and stay.
+    leaves = likely = None
+    run_no = 0
+    while True:
+        new = _leaves(sets, run_no, s)
+        leaves = new.drop("m") if leaves is None else s(leaves.unionByName(new.drop("m")))
+        of_set = leaves.groupBy("sid").agg(F.collect_set("leaf").alias("leaves"))
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        mine = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
+        tasks = (
+            new.join(of_set.join(sets.select("sid", "w", "sample"), "sid"), "sid")
+            .select("sid", "w", "leaves", "sample", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            .select("sid", "w", "leaves", "sample", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
+        )
+        got = s(tasks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_likely, LIKELY))
+        likely = got if likely is None else likely.unionByName(got)
+        found, fresh = got.agg(F.sum("found"), F.sum("fresh")).first()
+        # a run misses a pair with chance q: what the runs before missed of this one's pairs is about q to their number
+        if run_no and (not found or (fresh / found) ** ((run_no + 1) / run_no) <= 1 - target):
+            break
+        run_no += 1
+    likely = s(likely.where("fresh > 0").drop("found", "fresh"))
+    named = s(of_set.join(sets.select("sid", "w", "d"), "sid").join(likely.select("sid").distinct(), "sid"))
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    source, _ = thinned(docs.select(doc_key(docs).alias("d"), text.alias("text")), "d", named)
+    read = named.join(source, "d").dropDuplicates(["sid"]).select("sid", "w", "leaves", "text").mapInPandas(_tokens_of(n), "sid long, w long, leaves array<long>, toks binary")
+    return s(read.join(likely, "sid").repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "sid long, to long, links long"))
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, target: float) -> DataFrame:
+    """(d, doc_id, root, class_id, n_links, n_copies): one row for each input row; d is the document's hash."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    with Scratch(docs.sparkSession) as s:
+        scanned = s(docs.select(doc_key(docs).alias("d"), text.alias("text")).mapInPandas(_scan(n), "d long, sid long, tid long, size long, sample array<long>"))
+        ids = docs.select(doc_key(docs).alias("d"), "doc_id").groupBy("d").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("again"))
+        texts_of = scanned.groupBy("sid", "tid").agg(F.min("d").alias("d"), F.count("*").alias("rows"))
+        sets = s(
+            texts_of.groupBy("sid").agg(F.count("*").alias("w"), F.min("d").alias("d"))
+            .join(scanned.where(F.size("sample") > 0).select("sid", "size", "sample", "d"), ["sid", "d"])
+            .dropDuplicates(["sid"])
+        )
+        linked = _linked(docs, sets, n, threshold, target, s)
+        roots = components(linked.select(F.col("sid").alias("a"), F.col("to").alias("b")), s)
+        links = linked.groupBy("sid").agg(F.sum("links").alias("links"))
+        per_set = sets.select("sid", "w").join(links, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+        per_set = per_set.select("sid", F.coalesce("root", "sid").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        keyed = s(scanned.select("d", "sid", "tid").distinct().join(ids, "d"))
+        texts = texts_of.select("sid", "tid", "rows").join(per_set, "sid", "left").select(
+            "sid", "tid", "rows", F.coalesce("root", "sid").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        )
+        # the least doc_id of a class, in the order of its own type
+        firsts = keyed.groupBy("sid").agg(F.min("doc_id").alias("first"))
+        named = texts.join(firsts, "sid")
+        classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
+        per_text = named.join(classes, "root").select("sid", "tid", "root", "class_id", "n_links", (F.col("rows") - 1).alias("n_copies"))
+        every = keyed.join(per_text, ["sid", "tid"]).select("d", "doc_id", "root", "class_id", "n_links", "n_copies", F.explode(F.sequence(F.lit(1), F.col("again").cast("int"))).alias("no"))
+        return materialise(every)
+
+
+def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
+    """Near-duplicate classes of documents by the Jaccard similarity of their sets of n-word shingles.
+
+    1. Texts become token sets; equal sets are one from here on. 2. A set keeps a sample of its tokens (48
+    expected), chosen by a hash all sets share. 3. In each run a set starts 6 expected paths from its sample, other ones in every run: a bucket for each
+    token. Buckets over 64 sets are split: each member goes on by tokens chosen by a hash of the path, to
+    depth 3. A run misses a pair of similarity 0.8 with a chance under one in a hundred. 4. Members of a bucket whose samples overlap by half are candidates.
+    The share of a run's candidate pairs that the runs before it had missed estimates the recall; runs are repeated until that is `target`.
+    5. Candidates are compared by exact similarity of whole token sets; buckets that even the longest
+    paths leave large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
+    task. A pair counts in the least bucket it shares, buckets of the same members are compared once.
+    6. Union-find over the links gives the classes.
+
+    Returns doc_id, class_id (the least doc_id of the class), n_links (different texts it is linked to) and
+    n_copies (other rows of the same text), one row for each input row. Null and empty texts have no tokens
+    and are copies of each other; null doc_ids are ids like any other, but no class is named by one that has another. A text of fewer than n words has one token, its words. Texts are read whole. Other columns are
+    not read. Only the texts of sets that have a candidate are shuffled, as far as a filter of fixed size can tell. An empty table gives an empty table.
+    """
+    return _classes(docs, n, threshold, target).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
+    """docs, with all its columns, with one document of each near-duplicate class: that of the least doc_id, a null one last.
+
+    Of documents without a word one stays. Repeated rows (doc_id and text) leave one row, any of them. Column names may clash with ours.
     """
-    classes = materialise(jaccard_classes(docs, n, threshold).where(F.col("doc_id").isNotNull()))
-    lost = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    left = docs.join(lost, "doc_id", "left_anti").select(docs.columns)
-    again = classes.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(
-        left.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    )
+    classes = _classes(docs, n, threshold, target)
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d")).alias("best"))
+    lost = classes.join(best, "root").groupBy("d").agg(F.max(F.col("d") != F.col("best.d")).alias("lost"), F.count("*").alias("rows"))
+    lost = materialise(lost.where("lost OR rows > 1").select("d", "lost"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key(docs).alias("d"))
+    some, rest = thinned(rows, "d", lost)
+    some = some.join(lost, "d", "left").where("lost IS NULL OR NOT lost")
+    once = some.where("lost IS NULL").select("row").unionByName(some.where("lost IS NOT NULL").dropDuplicates(["d"]).select("row"))
+    return rest.select("row.*").unionByName(once.select("row.*"))
