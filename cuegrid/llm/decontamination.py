@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import doc_key, materialise, thinned
 
 NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d,.:/]*(?:st|nd|rd|th)?%?$")
 MIXED = re.compile(r"^[$€£]?[+-]?\d[\d,.]*([a-zµ°%]{1,4})$")
@@ -23,7 +23,6 @@ UNITS = frozenset(
     "w kw mw v kv a ma j kj kcal cal pa kpa bar psi k c f kb mb gb tb dollar dollars euro euros cent cents usd eur percent "
     "degree degrees kmh mph km/h m/s".split()
 )
-NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Bits of the filter that documents' windows pass before the join; fixed size, whatever the benchmark's.
 FILTER_BITS = 24
 
@@ -34,48 +33,47 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-class _Canon:
-    """Words to template tokens: (hash of the token, slot kind or 0). Remembers the words it has seen."""
+#: Flags of a word, in the last bits of its hash: a number, a unit, a capitalised word, one that ends a sentence, no word at all.
+IS_NUM, IS_UNIT, IS_NAME, IS_STOP, IS_NONE, FLAGS = 1, 2, 4, 8, 16, 31
+#: Words that a worker remembers.
+MEMO = 150_000
 
-    def __init__(self) -> None:
-        self.memo: dict[str, tuple[int, int, int, int, bool, bool]] = {}
 
-    @staticmethod
-    def token(word: str, after_stop: bool, after_number: bool) -> tuple[str, int]:
+class _Canon(dict):
+    """Words to the hash of what they are in lower case without outer punctuation, with their flags in the last bits.
+
+    What a word becomes depends on itself and on the flags of the word before it alone, so a text is canonicalised in a few array operations.
+    """
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
         bare = EDGE.sub("", word)
         low = bare.lower()
-        if not low:
-            return "", 0
-        if NUMBER.match(low) or MIXED.match(low):
-            return NUM, 1
-        if after_number and low in UNITS:
-            return UNIT, 3
-        if not after_stop and bare[0].isupper() and not bare.isupper() and len(bare) > 1:
-            return NAME, 2
-        return low, 0
+        flags = IS_STOP * bool(STOP.search(word)) | IS_NONE * (not low)
+        if low:
+            flags |= IS_NUM * bool(NUMBER.match(low) or MIXED.match(low)) | IS_UNIT * (low in UNITS)
+            flags |= IS_NAME * (bare[0].isupper() and not bare.isupper() and len(bare) > 1)
+        got = self[word] = xxhash.xxh64_intdigest(low) & ~FLAGS | flags
+        return got
 
     def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(words, token hashes, slot kinds); words that are all punctuation are left out."""
-        import xxhash
-
-        words, hashes, kinds = [], [], []
-        stop, number = True, False
-        memo = self.memo
-        for w in text.split():
-            key = (w, stop, number)
-            got = memo.get(key)
-            if got is None:
-                token, kind = self.token(w, stop, number)
-                got = (xxhash.xxh64_intdigest(token), kind, bool(STOP.search(w)), kind == 1, not token)
-                if len(memo) > 400_000:
-                    memo.clear()
-                memo[key] = got
-            h, kind, stop, number, none = got
-            if not none:
-                words.append(w)
-                hashes.append(h)
-                kinds.append(kind)
-        return words, np.array(hashes, np.uint64), np.array(kinds, np.int8)
+        words = text.split()
+        if len(self) > MEMO:
+            self.clear()
+        got = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        flag = (got & np.uint64(FLAGS)).astype(np.uint8)
+        before = np.concatenate([np.array([IS_STOP], np.uint8), flag[:-1]])
+        number = flag & IS_NUM > 0
+        unit = ~number & (before & IS_NUM > 0) & (flag & IS_UNIT > 0)
+        name = ~number & ~unit & (before & IS_STOP == 0) & (flag & IS_NAME > 0)
+        kinds = number.astype(np.int8) + np.int8(2) * name + np.int8(3) * unit
+        hashes = np.where(kinds > 0, kinds.astype(np.uint64), got & np.uint64(~FLAGS & 0xFFFFFFFFFFFFFFFF))
+        real = flag & IS_NONE == 0
+        if not real.all():
+            words = [w for w, r in zip(words, real.tolist(), strict=True) if r]
+        return words, hashes[real], kinds[real]
 
 
 _CANON = _Canon()  # kept by the Python worker
@@ -93,33 +91,37 @@ def _windows(hashes: np.ndarray, width: int) -> np.ndarray:
         return _mix(h)
 
 
-def _window_rows(key: str, kind: str, width: int, least_literal: int, bits: np.ndarray | None):
-    """Rows (key, h, pos, slots) of the windows with enough literal words, and that pass the filter if there is one."""
+def _window_rows(key: str, kind: str, width: int, least_literal: int, bits: np.ndarray | None, shorter: tuple[int, ...] = ()):
+    """Rows (key, h, pos, width, slots) of the windows with enough literal words, and that pass the filter if there is one.
+
+    With a filter, windows of `shorter` widths are made too; without one, a text of fewer than `width` tokens is one window."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out: dict[str, list] = {key: [], "h": [], "pos": [], "slots": []}
+            out: dict[str, list] = {key: [], "h": [], "pos": [], "width": [], "slots": []}
             for doc, text in zip(pdf[key], pdf["text"], strict=True):
                 if not isinstance(text, str):
                     continue
                 words, hashes, kinds = _CANON(text)
-                h = _windows(hashes, width)
-                if not len(h):
-                    continue
                 slots = np.concatenate([[0], np.cumsum(kinds > 0)])
-                ok = width - (slots[width:] - slots[:-width]) >= least_literal
-                if bits is not None:
-                    at = h >> np.uint64(64 - FILTER_BITS)
-                    ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                for i in np.flatnonzero(ok):
-                    out[key].append(doc)
-                    out["h"].append(int(h[i].astype(np.int64)))
-                    out["pos"].append(int(i))
-                    out["slots"].append([EDGE.sub("", words[i + j]).lower() for j in np.flatnonzero(kinds[i : i + width])])
+                for w in (width, *shorter) if bits is not None else (min(width, len(words)),):
+                    h = _windows(hashes, w)
+                    if not w or not len(h):
+                        continue
+                    ok = w - (slots[w:] - slots[:-w]) >= least_literal
+                    if bits is not None:
+                        at = h >> np.uint64(64 - FILTER_BITS)
+                        ok &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    for i in np.flatnonzero(ok).tolist():
+                        out[key].append(doc)
+                        out["h"].append(int(h[i].astype(np.int64)))
+                        out["pos"].append(i)
+                        out["width"].append(w)
+                        out["slots"].append([EDGE.sub("", words[i + j]).lower() for j in np.flatnonzero(kinds[i : i + w]).tolist()])
             if out["h"]:
                 yield pd.DataFrame(out)
 
-    return run, f"{key} {kind}, h long, pos long, slots array<string>"
+    return run, f"{key} {kind}, h long, pos long, width int, slots array<string>"
 
 
 def find_leaks(
@@ -140,10 +142,10 @@ def find_leaks(
     must map consistently within a run: an item's slot value stands for one value of the document, so the same
     question with other parameters counts and unrelated text that shares a skeleton does not. Runs that don't are left out; they take
     nothing from others. A pair is a leak if its runs cover at least `least_share` of the item's windows (and `least_windows` of them, or all if it has fewer), or if one run is
-    `long_run` tokens long, whatever the share. Items with fewer than `width` tokens have no window and match nothing: so short a text is no evidence.
+    `long_run` tokens long, whatever the share. An item of fewer than `width` tokens is one window, itself; one with fewer than `least_literal` literal words has none.
 
-    Returns doc_id, item_id, n_windows, share, reworded (the runs with equal slot values are no leak alone). Null texts and ids match
-    nothing; repeated rows give one pair; other columns are not read. The documents are scanned once; only
+    Returns doc_id, item_id, n_windows, share, reworded (the runs with equal slot values are no leak alone). Null or empty texts and null ids match
+    nothing; repeated rows give one pair; other columns are not read, whatever their names. Texts are read whole. An empty table of either kind gives no pair. The documents are scanned once; only
     windows that pass a filter of fixed size (2 MB of bits of the benchmark's hashes) are shuffled.
     """
     spark = docs.sparkSession
@@ -158,21 +160,22 @@ def find_leaks(
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     bits[got["byte"].to_numpy(np.int64)] = got["v"].to_numpy(np.uint8)
     shared = spark.sparkContext.broadcast(bits)
+    shorter = tuple(sorted(r[0] for r in wanted.where(F.col("width") < width).select("width").distinct().collect()))
 
     def scan(batches):
-        return _window_rows("doc_id", kind_d, width, least_literal, shared.value)[0](batches)
+        return _window_rows("doc_id", kind_d, width, least_literal, shared.value, shorter)[0](batches)
 
     kind_d = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
-    seen = texts.mapInPandas(scan, f"doc_id {kind_d}, h long, pos long, slots array<string>")
-    hits = seen.withColumnRenamed("slots", "got").join(wanted.select("item_id", "h", F.col("pos").alias("item_pos"), "slots"), "h")
+    seen = texts.mapInPandas(scan, f"doc_id {kind_d}, h long, pos long, width int, slots array<string>")
+    hits = seen.withColumnRenamed("slots", "got").join(wanted.select("item_id", "h", "width", F.col("pos").alias("item_pos"), "slots"), ["h", "width"])
     pairs = F.zip_with("slots", "got", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    hits = hits.select("doc_id", "item_id", "h", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    hits = hits.select("doc_id", "item_id", "h", "width", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     along = Window.partitionBy("doc_id", "item_id", "shift").orderBy("item_pos")
     hits = hits.withColumn("gap", F.coalesce((F.col("item_pos") - F.lag("item_pos").over(along) > width).cast("int"), F.lit(0)))
     runs = hits.withColumn("run", F.sum("gap").over(along)).groupBy("doc_id", "item_id", "shift", "run").agg(
         F.collect_set("h").alias("hs"),
-        (F.max("item_pos") - F.min("item_pos") + width).alias("length"),
+        (F.max("item_pos") - F.min("item_pos") + F.max("width")).alias("length"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"),
     )
     exact = F.forall("map", lambda x: x["a"] == x["b"])
@@ -193,6 +196,11 @@ def find_leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the documents that contain a benchmark item; rows with a null doc_id stay."""
-    leaks = find_leaks(docs, benchmark, **how).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """docs, with all its columns, without the documents that contain a benchmark item.
+
+    A document is told by its id and text, so a null doc_id is no shelter and rows that repeat a leak go with it. Null and empty texts stay. Column names may clash with ours.
+    """
+    leaks = materialise(find_leaks(docs.select(doc_key(docs).alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("d")).distinct())
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), doc_key(docs).alias("d"))
+    some, rest = thinned(rows, "d", leaks)
+    return rest.select("row.*").unionByName(some.join(leaks, "d", "left_anti").select("row.*"))
