@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,13 +21,29 @@ CHUNK_WORDS = 1_000_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
 
 
+def common_prefixes(codes: np.ndarray, ends: np.ndarray, order: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Common prefixes of neighbours in a suffix order: out[i] is that of order[i] and order[i + 1], 0 if under `least`, `most` at most."""
+    a, b = order[:-1], order[1:]
+    live = np.flatnonzero((a + least <= ends[a]) & (b + least <= ends[b]))
+    out = np.zeros(len(a), np.int64)
+    for k in range(most):
+        if k >= least:
+            out[live] = k
+            live = live[(a[live] + k < ends[a[live]]) & (b[live] + k < ends[b[live]])]
+        live = live[codes[a[live] + k] == codes[b[live] + k]]
+        if not len(live):
+            return out
+    out[live] = most
+    return out
+
+
 def repeats(words: list[list[bytes]], window: int, longest_at: int) -> tuple[np.ndarray, np.ndarray]:
     """For each document: words covered by repeated runs of `window` words or more, and the longest such
     run, counted up to `longest_at` words.
 
     All documents are one suffix array. The document is mixed into every symbol, so a suffix is only ever
-    a neighbour of one of its own document. Intervals of neighbours whose common prefix has `window` words
-    are the maximal repeats; their spans are united with a running sum.
+    a neighbour of one of its own document. The deepest common-prefix interval that holds a suffix is as deep as the greater of its common
+    prefixes with its two neighbours: that is the longest repeat from there on. Spans of `window` words or more are united with a running sum.
     """
     lens = np.array([len(w) for w in words], np.int64)
     n = int(lens.sum())
@@ -40,38 +58,22 @@ def repeats(words: list[list[bytes]], window: int, longest_at: int) -> tuple[np.
     codes += doc * (int(codes.max()) + 1)
     # refined as far as a repeat is counted: among three copies the two that share most must be neighbours
     order, _ = suffix_order(codes, ends, 1 << max(0, (max(window, longest_at) - 1).bit_length()))
-    # common prefix of neighbours, counted only to `window`: enough to know which places repeat
-    a, b = order[:-1], order[1:]
-    live = (a + window <= ends[a]) & (b + window <= ends[b])
-    for k in range(window):
-        at = np.flatnonzero(live)
-        live[at] = codes[a[at] + k] == codes[b[at] + k]
-    again = np.zeros(n, bool)
-    again[a[live]] = True
-    again[b[live]] = True
+    shared = common_prefixes(codes, ends, order, window, max(window, longest_at))
+    reach = np.zeros(n, np.int64)
+    reach[order[:-1]] = shared
+    reach[order[1:]] = np.maximum(reach[order[1:]], shared)
+    starts = np.flatnonzero(reach)
     edge = np.zeros(n + 1, np.int64)
-    starts = np.flatnonzero(again)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + window, -1)
+    np.add.at(edge, starts + reach[starts], -1)
     inside = np.cumsum(edge[:-1]) > 0
     covered += np.bincount(doc[inside], minlength=len(words))
-    left, right = a[live], b[live]
-    length = np.full(len(left), window, np.int64)
-    go = np.arange(len(left))
-    for _ in range(longest_at - window):
-        x, y = left[go] + length[go], right[go] + length[go]
-        ok = (x < ends[left[go]]) & (y < ends[right[go]])
-        go, x, y = go[ok], x[ok], y[ok]
-        go = go[codes[x] == codes[y]]
-        if not len(go):
-            break
-        length[go] += 1
-    np.maximum.at(longest, doc[left], length)
-    return covered, longest
-
-
-def measure(texts: pd.Series, window: int, max_longest: int) -> pd.DataFrame:
-    texts = [t if isinstance(t, str) else "" for t in texts]
+    np.maximum.at(longest, doc[starts], reach[starts])
+    return covered, np.minimum(longest, longest_at)
+
+
+def measure(texts: list[str | None], window: int, max_longest: int) -> dict[str, list[int]]:
+    texts = [t or "" for t in texts]
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
     covered, longest = repeats(words, window, max_longest + 1)
     dup = []
@@ -82,22 +84,23 @@ def measure(texts: pd.Series, window: int, max_longest: int) -> pd.DataFrame:
         [len(w) for w in words],
         [len(t) - sum(map(t.count, SPACE)) for t in texts],
         [sum(map(t.count, SYMBOLS)) for t in texts],
-        dup, covered, longest,
+        dup, covered.tolist(), longest.tolist(),
     )
-    return pd.DataFrame(dict(zip(MEASURES, got, strict=True)))
+    return dict(zip(MEASURES, got, strict=True))
 
 
-def _parts(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-    """Slices of about CHUNK_WORDS words, of one row at least."""
-    size = pdf["text"].str.len().fillna(0).to_numpy()
-    start, total = 0, 0
-    for i, n in enumerate(size):
-        if i > start and total + n > 6 * CHUNK_WORDS:
-            yield pdf.iloc[start:i]
-            start, total = i, 0
-        total += n
-    if start < len(pdf):
-        yield pdf.iloc[start:]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of about CHUNK_WORDS words, of one row at least. Rows stay in Arrow, so no id goes through a float."""
+    for batch in batches:
+        size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        start, total = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and total + n > 6 * CHUNK_WORDS:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if start < len(batch):
+            yield batch.slice(start)
 
 
 def repetition_rules(
@@ -118,20 +121,18 @@ def repetition_rules(
 
     Returns doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word
     that equal an earlier line), n_repeat_words, base_failed, kept and longest_repeat, one row for each
-    input row. Null and empty texts have no words and fail. Whole texts are read; other columns are not.
-    Memory per task is one batch: the documents of about a million words, or one longer document.
+    input row, repeated rows and null doc_ids included. Null and empty texts have no words and fail. Whole texts are read; other columns are not, whatever their names.
+    An empty table gives an empty table. Memory per task is one batch: the documents of about a million words, or one longer document.
     """
     key = df.schema["doc_id"]
     schema = T.StructType([key, *[T.StructField(n, T.LongType()) for n in MEASURES]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in _parts(pdf):
-                out = measure(part["text"], window, max_longest)
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            m = measure(part.column("text").to_pylist(), window, max_longest)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(m[n], pa.int64()) for n in MEASURES]], names=["doc_id", *MEASURES])
 
-    found = df.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(run, schema)
+    found = df.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > round(100 * max_covered) * F.col("n_words"))
     return found.withColumn("base_failed", failed).select(
         "doc_id", *MEASURES[:5], "base_failed",
@@ -141,13 +142,13 @@ def repetition_rules(
 
 
 def drop_repetitive(df: DataFrame, window: int = 5, min_words: int = 10, max_covered: float = 0.20, max_longest: int = 400) -> DataFrame:
-    """df, with all its columns, without the rows that repetition_rules() would not keep. One pass, no shuffle."""
+    """df, with all its columns whatever their names, without the rows that repetition_rules() would not keep: null and empty texts go, repeated rows
+    are judged each. One pass, no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in _parts(pdf):
-                m = measure(part["text"], window, max_longest)
-                ok = (m["n_words"] >= min_words) & (100 * m["n_repeat_words"] <= round(100 * max_covered) * m["n_words"]) & (m["longest_repeat"] <= max_longest)
-                yield part[ok.to_numpy()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            m = {k: np.array(v, np.int64) for k, v in measure(part.column("text").to_pylist(), window, max_longest).items()}
+            ok = (m["n_words"] >= min_words) & (100 * m["n_repeat_words"] <= round(100 * max_covered) * m["n_words"]) & (m["longest_repeat"] <= max_longest)
+            yield part.filter(pa.array(ok))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)
