@@ -9,18 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
-from .spans import SPAN, bind, joined, matches, of_kind
+from .spans import SPAN, bind, joined, matches, of_kind, running
 
 KINDS = ("email", "ip", "card", "phone")
 # A match never starts inside a run of its first class unless the last match ended there (\G), which is
-# where the plain pattern would find it too; without that a long run would be tried from each character.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+# where the plain pattern would find it too; without that a long run would be tried from each character. Possessive loops
+# take what the plain ones take (what follows can't start with what they took), and need no stack on runs of any length.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # High-recall generators of further candidates, one for each kind; their spans may overlap.
 MORE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|\(dot\)|\[dot\]|\{dot\}|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})++",
     r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     r"(?<![0-9])[0-9]{4}[\x20./_-]{1,2}[0-9]{4}[\x20./_-]{1,2}[0-9]{4}[\x20./_-]{1,2}[0-9]{2,7}(?![0-9])",
     r"(?<![0-9A-Za-z+])\(?0?[0-9]{2,4}\)?(?:[\x20./-]{1,2}[0-9]{2,4}){2,4}(?![0-9])",
@@ -155,20 +156,20 @@ def _raw(model_bias: float, trees: list[tuple], value) -> float:
 
 
 def fit_pii(df: DataFrame, max_rows: int = 20_000, rounds: int = 24, rate: float = 0.3, precision: float = 0.98) -> PiiModel:
-    """Fit trees and thresholds on a bounded sample: at most about `max_rows` documents, chosen by hash.
+    """Fit trees on a bounded sample, about half the documents or `max_rows` / 2 of them, chosen by hash; thresholds on all others.
 
     There are no labels of personal data, so the base rules teach. Positives: values that pass them, each
     also rewritten as people write them (an address with (at), a phone without its plus, a card with other
     separators) after a word that announces its kind. Negatives: candidates that no base rule accepts and
-    nothing announces, and the positives' digits after a word of another kind. The sample is reduced in
-    Spark to counts of distinct feature rows, a few hundred, and only these come to the driver. Half of
-    the sample, by hash, fits the trees; on the other half each kind's threshold is the least score from
-    which on at least `precision` of the candidates are positive. A kind without such a score adds nothing.
+    nothing announces, and the positives' digits after a word of another kind. The trees are fitted on the sample, reduced in
+    Spark to counts of distinct feature rows. The thresholds are calibrated on all documents outside the sample, counted in the same way (on the
+    sample itself where nothing is outside): each kind's threshold is the least score from which on at least `precision` of the candidates are positive. A kind without such a score
+    adds nothing. A few hundred rows of counts come to the driver, whatever the input. Null ids are outside the sample.
     """
     n = df.count()
     text = text_of()
-    sample = df.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pii")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_rows / max(n, 1))))
-    seen = sample.select(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), _base(text).alias("base"), _candidates(text).alias("more"))
+    sampled = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pii")), F.lit(1_000_003)) < int(1_000_003 * min(1.0, max_rows / max(n, 1) / 2, 0.5)), F.lit(False))
+    seen = df.select((~sampled).cast("int").alias("half"), _base(text).alias("base"), _candidates(text).alias("more"))
     seen = materialise(seen.where((F.size("base") > 0) | (F.size("more") > 0)))
     near = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
     told = seen.select("half", "base", F.explode("more").alias("c")).select(
@@ -194,10 +195,12 @@ def fit_pii(df: DataFrame, max_rows: int = 20_000, rounds: int = 24, rate: float
     got = rows.groupBy("half", "x").agg(F.sum(F.col("y").cast("int")).alias("pos"), F.sum((~F.col("y")).cast("int")).alias("neg")).collect()
     table = [(r["half"], tuple(r["x"]), float(r["pos"]), float(r["neg"])) for r in got]
     table.sort()
-    bias, trees = _boost([r[1:] for r in table if r[0] == 0], rounds, rate) if table else (-9.0, [])
+    fit = [r[1:] for r in table if r[0] == 0] or [r[1:] for r in table]
+    bias, trees = _boost(fit, rounds, rate) if table else (-9.0, [])
+    held = {r[0] for r in table} >= {1}
     least = []
     for no in range(len(KINDS)):
-        ranked = sorted(((_raw(bias, trees, x), p, q) for half, x, p, q in table if half == 1 and x[0] == no), reverse=True)
+        ranked = sorted(((_raw(bias, trees, x), p, q) for half, x, p, q in table if (half == 1 or not held) and x[0] == no), reverse=True)
         at, p_sum, q_sum = float("inf"), 0.0, 0.0
         for i, (s, p, q) in enumerate(ranked):
             p_sum, q_sum = p_sum + p, q_sum + q
@@ -218,28 +221,51 @@ def _score(model: PiiModel, x: Column) -> Column:
     return s
 
 
+def _disjoint(base: Column, chosen: Column) -> Column:
+    """Chosen candidates that overlap no base span and start in no other candidate: the earlier one wins.
+
+    One sorted array, with the greatest end before and the least start after each place: linear in the spans, as far as sorting is."""
+    row = lambda s, added: F.struct(s["start"].alias("start"), F.lit(added).alias("added"), s["no"].alias("no"), s["end"].alias("end"))
+    every = F.array_sort(F.concat(F.transform(base, lambda s: row(s, 0)), F.transform(chosen, lambda s: row(s, 1))))
+    far = (1 << 31) - 1
+    later, sooner = (lambda a, x: F.greatest(a, x)), (lambda a, x: F.least(a, x))
+
+    def free(xs: Column) -> Column:
+        before = running(F.transform(xs, lambda s: F.when(s["added"] == 0, s["end"]).otherwise(0)), later, 0)
+        after = F.reverse(running(F.transform(F.reverse(xs), lambda s: F.when(s["added"] == 0, s["start"]).otherwise(far)), sooner, far))
+        kept = F.filter(F.zip_with(xs, F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a"))), lambda s, at: F.struct(s.alias("s"), at.alias("at"))),
+                        lambda x: (x["s"]["added"] == 1) & (x["at"]["b"] <= x["s"]["start"]) & (x["at"]["a"] >= x["s"]["end"]))
+        return F.transform(kept, lambda x: x["s"])
+
+    def alone(xs: Column) -> Column:
+        before = running(F.transform(xs, lambda s: s["end"]), later, 0)
+        return F.filter(xs, lambda s, i: before[i] <= s["start"])
+
+    none = F.array().cast("array<struct<start:int,added:int,no:int,end:int>>")
+    some = lambda xs, f: bind(xs, lambda x: F.when(F.size(x) > 0, f(x)).otherwise(none))
+    spans = F.transform(some(some(every, free), alone), lambda s: F.struct(s["no"].alias("no"), s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("value")))
+    return F.when(F.size(chosen) > 0, spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
 def find_pii(df: DataFrame, model: PiiModel) -> DataFrame:
     """Redaction spans of every whole text.
 
     Base spans (addresses, IPv4 addresses, card numbers, phone numbers that pass their checks) are kept
     always. Other candidates are scored by the boosted trees and selected by their kind's calibrated
-    threshold; one that overlaps a base span adds nothing. Returns doc_id, n_email, n_ip, n_card, n_phone
-    (base spans), base_sha256, spans and n_added. One row for each input row; null and empty texts have no
-    spans. One pass without a shuffle, all in built-in functions.
+    threshold; one that overlaps a base span, or starts in an earlier candidate, adds nothing. Returns doc_id, n_email, n_ip, n_card, n_phone
+    (base spans), base_sha256, spans and n_added. One row for each input row, repeated rows and null doc_ids included; null and empty texts have no
+    spans. Other columns are not read, whatever their names. An empty table gives an empty table. One pass without a shuffle, all in built-in functions; runs of
+    digits, dots or letters of any length need no stack.
     """
     text = text_of()
     read = df.select("doc_id", _base(text).alias("base"), _candidates(text).alias("more"))
-    least = F.array(*[F.lit(x) for x in model.least])
-    chosen = F.filter(
-        F.col("more"),
-        lambda c: ~F.exists(F.col("base"), lambda b: (c["start"] < b["end"]) & (b["start"] < c["end"]))
-        & bind(_features(c["no"], c["value"], c["before"], c["after"]), lambda x: _score(model, x) >= least[c["no"]]),
-    )
     if all(x == float("inf") for x in model.least):
-        added = F.array().cast(SPAN)
+        read = read.select("doc_id", "base", F.array().cast(SPAN).alias("added"))
     else:
-        added = F.transform(chosen, lambda c: F.struct(c["no"].alias("no"), c["start"].alias("start"), c["end"].alias("end"), F.lit("").alias("value"))).cast(SPAN)
-    return read.select("doc_id", "base", added.alias("added")).select(
+        least = F.array(*[F.lit(x) for x in model.least])
+        chosen = F.filter(F.col("more"), lambda c: bind(_features(c["no"], c["value"], c["before"], c["after"]), lambda x: _score(model, x) >= least[c["no"]]))
+        read = read.select("doc_id", "base", chosen.alias("chosen")).select("doc_id", "base", _disjoint(F.col("base"), F.col("chosen")).alias("added"))
+    return read.select(
         "doc_id",
         *[of_kind(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(joined(F.col("base"), KINDS), 256).alias("base_sha256"),

@@ -17,19 +17,19 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running(lengths: Column) -> Column:
-    """Sums of all elements before each element of a non-empty array<int>."""
+def running(values: Column, combine=lambda a, x: a + x, zero: int = 0) -> Column:
+    """Of a non-empty array<int>: for each element all elements before it, combined (summed, unless told otherwise)."""
 
-    def sums(xs: Column, start: Column) -> Column:
-        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    def within(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(combine(F.element_at(acc, -1), x))))
 
-    n = F.size(lengths)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+    n = F.size(values)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(values, b * BLOCK + 1, BLOCK))
 
     def with_starts(bs: Column) -> Column:
-        totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-        starts = sums(totals, F.lit(0))
-        return F.flatten(F.zip_with(bs, F.slice(starts, 1, F.size(bs)), lambda b, s: F.slice(sums(b, s), 1, F.size(b))))
+        totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(zero), combine))
+        starts = within(totals, F.lit(zero))
+        return F.flatten(F.zip_with(bs, F.slice(starts, 1, F.size(bs)), lambda b, s: F.slice(within(b, s), 1, F.size(b))))
 
     return bind(blocks, with_starts)
 
