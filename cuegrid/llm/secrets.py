@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, thinned
 from .spans import SPAN, joined, matches, of_kind
 
 KINDS = ("assign", "access", "hex")
@@ -14,11 +14,12 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 # as matching runs of any length and dropping the short ones.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: What the method adds where one owner alone has it: prefixed tokens, web tokens, long mixed runs.
+#: What the method adds where one owner alone has it: prefixed tokens, web tokens, long mixed runs. A run is tried from its start only, and
+#: each look ahead stops at the first character of its kind or goes once to the run's end, whatever its length.
 ADDED = (
-    r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{16,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,})"
-    r"|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[a-z0-9+/_-]{0,200}[A-Z])(?=[A-Z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{40,200}={0,2}(?![A-Za-z0-9+/_-])"
+    r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{16,}+|[rs]k_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}+)"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"
+    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{40,}+={0,2}"
 )
 
 
@@ -48,12 +49,14 @@ def scan_secrets(
 
     Returns doc_id, n_assign, n_access, n_hex (base spans), base_sha256, spans (base and added), n_live and
     n_example (distinct values of either kind in the document). One row for each input row; null and empty
-    texts have no spans. A null owner or repository counts as one of its own. Texts are read once; only
+    texts have no spans. A null owner or repository counts as one of its own; so does a column that df lacks. Rows that repeat another one wholly are rows like any other, of one
+    repository. Names of further columns may clash with ours; they are not read. An empty table gives an empty table. Texts are read once and whole; only
     spans are written and shuffled. Values are counted by (value, owner, repository), summed in two steps,
-    so a value that a third of the rows share is a partial count per task.
+    so a value that a third of the rows share is a partial count per task. Only values that are live-looking, which few rows have, are then looked for
+    in the documents; a document's other values are examples.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000null"))
+    text = F.coalesce(df["text"].cast("string"), F.lit(""))
+    key = lambda c: F.coalesce(df[c].cast("string") if c in df.columns else F.lit(None).cast("string"), F.lit("\u0000null"))
     read = df.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
@@ -72,19 +75,19 @@ def scan_secrets(
         )
     )
     some = found.where(F.size("all") > 0).select("row", "repository", "owner", F.explode("all").alias("s")).select("row", "repository", "owner", "s.*")
-    spread = (
+    live = materialise(
         some.groupBy("h", "owner", "repository").agg(F.lit(1).alias("one"))
         .groupBy("h", "owner").agg(F.count("*").alias("repositories"))
         .groupBy("h").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
-        .select("h", ((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).alias("live"))
+        .where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).select("h")
     )
+    maybe, _ = thinned(some, "h", live)
     judged = (
-        some.join(spread, "h")
+        maybe.join(live, "h")
         .groupBy("row")
         .agg(
-            F.collect_list(F.when(F.col("added") & F.col("live"), F.struct("no", "start", "end", F.lit("").alias("value")))).alias("added"),
-            F.count_distinct(F.when(F.col("live"), F.col("h"))).alias("n_live"),
-            F.count_distinct(F.when(~F.col("live"), F.col("h"))).alias("n_example"),
+            F.collect_list(F.when(F.col("added"), F.struct("no", "start", "end", F.lit("").alias("value")))).alias("added"),
+            F.count_distinct("h").alias("n_live"),
         )
     )
     spans = lambda more: F.concat(F.col("base"), more)
@@ -96,10 +99,13 @@ def scan_secrets(
         live.alias("n_live"),
         example.alias("n_example"),
     )
-    hit = found.where(F.size("all") > 0).join(judged, "row")
+    hit = found.where(F.size("all") > 0).join(judged, "row", "left")
     # an added span that lies within a base one tells nothing new
-    new = F.filter(F.col("added").cast(SPAN), lambda a: ~F.exists(F.col("base"), lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])))
+    added = F.coalesce("added", F.array()).cast(SPAN)
+    new = F.filter(added, lambda a: ~F.exists(F.col("base"), lambda b: (b["start"] <= a["start"]) & (a["end"] <= b["end"])))
+    n_live = F.coalesce("n_live", F.lit(0)).cast("long")
+    n_all = F.size(F.array_distinct(F.transform("all", lambda s: s["h"]))).cast("long")
     none = found.where(F.size("all") == 0)
-    return out(hit, new, F.col("n_live"), F.col("n_example")).unionByName(
+    return out(hit, new, n_live, n_all - n_live).unionByName(
         out(none, F.array().cast(SPAN), F.lit(0).cast("long"), F.lit(0).cast("long"))
     )
