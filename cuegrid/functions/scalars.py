@@ -35,9 +35,18 @@ def middle_frame(start: Column, end: Column, fps: Column) -> Column:
     return F.greatest(F.rint((start + F.greatest(F.lit(0.01), end - start) / 2) * fps).cast("long"), F.lit(0).cast("long"))
 
 
-def duration_text(seconds: Column) -> Column:
-    s = F.greatest(seconds, F.lit(0.0))
-    return F.when(s < 1, F.format_string("%.0fms", s * 1000)).otherwise(F.format_string("%.1fs", s))
+def duration_text(ms: Column) -> Column:
+    """Whole milliseconds as text: under a second as they are, else seconds to one place, half to even; negatives are 0."""
+    n = F.greatest(ms, F.lit(0)).cast("long")
+    part = F.pmod(n, F.lit(100))
+    tenths = (F.floor(n / 100) + F.when((part > 50) | ((part == 50) & (F.pmod(F.floor(n / 100), F.lit(2)) == 1)), 1).otherwise(0)).cast("long")
+    seconds = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("s"))
+    return F.when(n < 1000, F.concat(n.cast("string"), F.lit("ms"))).otherwise(seconds)
+
+
+def plain_text(x: Column) -> Column:
+    """ASCII characters only, with runs of white space as one space and none at the ends."""
+    return F.trim(F.regexp_replace(F.regexp_replace(x, r"[^\x00-\x7F]", ""), r"\s+", " "))
 
 
 def safe_token(x: Column) -> Column:

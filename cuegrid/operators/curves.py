@@ -44,18 +44,65 @@ def gradient(x: Column, key: str, order: str) -> Column:
 
 
 def thin(df: DataFrame, key: str, t: str, gap: float) -> DataFrame:
-    """(key, t): sorted times of which each is at least `gap` after the last one kept.
+    """(key, t): sorted times of which each is at least `gap` after the last one kept. Null keys are one key; times that are not finite are left out.
 
-    The state is the last kept time, not the last time, so this is a fold over each key's sorted times. A
-    key's times must fit one row.
+    The state is the last kept time, not the last time. Each key's times pass by in order and only the key and that time are carried
+    along, from batch to batch: a key's times need not fit a row or a task's memory, and a kept time costs one binary search.
     """
-    times = df.where(finite(F.col(t))).groupBy(key).agg(F.sort_array(F.collect_list(t)).alias("ts"))
-    kept = F.aggregate(
-        "ts", F.array().cast("array<double>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(x))).otherwise(acc),
+    import numpy as np
+
+    def run(batches):
+        now, last = object(), None
+        for pdf in batches:
+            keys, times = pdf[key], pdf[t].to_numpy(dtype=float)
+            same = keys.eq(keys.shift()) | (keys.isna() & keys.shift().isna())
+            starts = np.flatnonzero(~same.to_numpy() | (np.arange(len(pdf)) == 0))
+            kept = []
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                first = keys.iloc[lo]
+                first = None if first != first else first  # a null key may come as NaN
+                if first != now:
+                    now, last = first, None
+                at = lo
+                while at < hi:
+                    if last is None or times[at] - last >= gap:
+                        last = times[at]
+                        kept.append(at)
+                        at += 1
+                    # the first time that may be far enough, less what rounding could hide
+                    at += int(np.searchsorted(times[at:hi], last + gap - 1e-6))
+                    while at < hi and not times[at] - last >= gap:
+                        at += 1
+            yield pdf.iloc[kept]
+
+    kind = df.schema[key].dataType.simpleString()
+    ordered = df.where(finite(F.col(t))).select(key, F.col(t).cast("double").alias(t)).repartition(key).sortWithinPartitions(key, t)
+    return ordered.mapInPandas(run, f"{key} {kind}, {t} double")
+
+
+def around(queries: DataFrame, times: DataFrame, key: str, t: str, value: Column) -> DataFrame:
+    """queries with `before` and `after`: value at the last of the times up to and the first from each query's time on; one ordered pass, no join."""
+    row, asked = F.struct(*queries.columns), queries.select(F.struct(*queries.columns).alias("row")).schema["row"].dataType
+    both = queries.select(F.col(key).alias("k"), F.col(t).alias("at"), row.alias("row"), F.lit(None).cast(times.select(value.alias("v")).schema["v"].dataType).alias("v")).unionByName(
+        times.select(F.col(key).alias("k"), F.col(t).alias("at"), F.lit(None).cast(asked).alias("row"), value.alias("v"))
     )
-    # element_at on an empty array is not reached: the size is tested first
-    return times.select(key, F.explode(kept).alias(t))
+    o = Window.partitionBy("k").orderBy("at")
+    before, after = (f("v", True).over(o.rangeBetween(*r)) for f, r in ((F.last, (Window.unboundedPreceding, 0)), (F.first, (0, Window.unboundedFollowing))))
+    return both.select("row", before.alias("before"), after.alias("after")).where("row IS NOT NULL").select("row.*", "before", "after")
+
+
+def nearest_distance(queries: DataFrame, times: DataFrame, key: str, t: str, name: str, far: float = 1e9) -> DataFrame:
+    """queries with `name`: the distance to the nearest of the key's times; `far` for a key without any."""
+    got = around(queries, times, key, t, F.col(t))
+    least = F.least(F.coalesce(F.col(t) - F.col("before"), F.lit(far)), F.coalesce(F.col("after") - F.col(t), F.lit(far)))
+    return got.select(*queries.columns, least.alias(name))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, key: str, t: str, value: str) -> DataFrame:
+    """queries with `value` of the nearest row in time, the earlier one on a tie; null for a key without any. Of rows at one time any may be taken."""
+    got = around(queries, rows, key, t, F.struct(F.col(t).alias("t"), F.col(value).alias("v")))
+    back, ahead = F.col(t) - F.col("before.t"), F.col("after.t") - F.col(t)
+    return got.select(*queries.columns, F.when(F.col("after").isNull() | (back <= ahead), F.col("before.v")).otherwise(F.col("after.v")).alias(value))
 
 
 def interpolate(knots: DataFrame, queries: DataFrame, key: str, t: str, value: str) -> DataFrame:
@@ -72,6 +119,14 @@ def interpolate(knots: DataFrame, queries: DataFrame, key: str, t: str, value: s
     return got.select(key, t, F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull() | (F.col("b.t") == F.col("a.t")), F.col("a.v")).otherwise(line).alias(value))
 
 
+def time_slice(df: DataFrame, t: str, start: Column, end: Column | None = None) -> DataFrame:
+    """df from start on and before end, with times from the slice's start; an end that is null or not after the start is the end of the track."""
+    inside = F.col(t) >= start
+    if end is not None:
+        inside = inside & (F.coalesce(end <= start, F.lit(True)) | (F.col(t) < end))
+    return df.where(inside).withColumn(t, F.col(t) - start)
+
+
 def timeline(cuts: DataFrame, key: str, t: str, duration: float, fps: float) -> DataFrame:
     """Frame-exact segments (key, seg_idx, start_frame, n_frames): every absolute time is rounded to its frame,
     so lengths never drift; both ends are always there and cuts in one frame are one."""

@@ -12,6 +12,8 @@ MIN_GAP = {"low": 0.90, "medium": 0.58, "high": 0.38, "peak": 0.30}
 MAX_HOLD = {"low": 3.80, "medium": 2.80, "high": 1.85, "peak": 1.25}
 BAR_BONUS, PHRASE_BONUS = 0.32, 0.48
 CALM, STRONG = ("intro", "outro", "breakdown"), ("drop", "finale")
+# The walk's bonuses and loss by place, the score of a weak beat, and how far over its hold a gap may go.
+NEAR_PHRASE, NEAR_BAR, AWAY, WEAK, OVER = 0.22, 0.12, 0.06, 0.42, 1.15
 
 
 def first_of(*rules: tuple[Column, object], default) -> Column:
@@ -71,16 +73,13 @@ def change_points(feat: DataFrame, duration: float) -> DataFrame:
 
 
 def merge_boundaries(times: DataFrame, key: str, t: str, duration: float, gap: float) -> DataFrame:
-    """(key, bounds): sorted times in [0, duration] to the millisecond, `gap` after the last one kept; both
+    """(key, t): sorted times in [0, duration] to the millisecond, `gap` after the last one kept; both
     ends are always kept. Times that are not finite are left out; a key with no finite time has the ends."""
-    at = F.round(F.least(F.greatest(F.when(C.finite(F.col(t)), F.col(t)), F.lit(0.0)), F.lit(float(duration))), 3)
-    x = times.select(key, F.when(C.finite(F.col(t)), at).alias("x")).groupBy(key).agg(F.collect_set("x").alias("s"))
-    every = F.sort_array(F.array_union("s", F.array(F.lit(0.0), F.lit(float(duration)))))
-    kept = F.aggregate(
-        every, F.array().cast("array<double>"),
-        lambda acc, v: F.when((F.size(acc) == 0) | (v == duration) | (v - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(v))).otherwise(acc),
-    )
-    return x.select(key, kept.alias("bounds"))
+    at = F.round(F.least(F.greatest(F.col(t), F.lit(0.0)), F.lit(float(duration))), 3)
+    inner = times.where(C.finite(F.col(t))).select(key, at.alias(t)).where(F.col(t) != float(duration))
+    ends = times.select(key).distinct()
+    kept = C.thin(inner.unionByName(ends.select(key, F.lit(0.0).alias(t))).distinct(), key, t, gap)
+    return kept.unionByName(ends.select(key, F.lit(float(duration)).alias(t)))
 
 
 def sections(feat: DataFrame, duration: float, gap: float = 10.0, grid: float = 32.0) -> DataFrame:
@@ -92,10 +91,12 @@ def sections(feat: DataFrame, duration: float, gap: float = 10.0, grid: float =
     points = change_points(feat, duration).unionByName(novelty_boundaries(feat, duration))
     points = points.unionByName(feat.groupBy("track_id").agg(F.lit(0.0).alias("t")))
     steps = [i * grid for i in range(int(-(-duration // grid)))] + [float(duration)]
-    bounds = merge_boundaries(points, "track_id", "t", duration, gap)
-    bounds = bounds.withColumn("bounds", F.when(F.size("bounds") < 3, F.array(*[F.lit(s) for s in steps])).otherwise(F.col("bounds")))
-    cut = bounds.select("track_id", F.posexplode("bounds").alias("i", "start"), "bounds").select("track_id", "start", F.get("bounds", F.col("i") + 1).alias("end"))
-    o = Window.partitionBy("track_id").orderBy("start")
+    g, o = Window.partitionBy("track_id"), Window.partitionBy("track_id").orderBy("start")
+    bounds = merge_boundaries(points, "track_id", "t", duration, gap).withColumn("n", F.count(F.lit(1)).over(g))
+    bounds = bounds.where("n >= 3").select("track_id", "t").unionByName(
+        bounds.where((F.col("n") < 3) & (F.col("t") == 0)).select("track_id", F.explode(F.array(*[F.lit(s) for s in steps])).alias("t"))
+    )
+    cut = bounds.select("track_id", F.col("t").alias("start"), F.lead("t").over(g.orderBy("t")).alias("end"))
     cut = cut.where(F.col("end") - F.col("start") >= 1).withColumn("section_idx", F.row_number().over(o) - 1)
     # sections are a handful a track: the join meets on track_id, the interval only filters
     median = feat.groupBy("track_id").agg(F.percentile("wave", F.lit(0.5)).alias("median_wave"))
@@ -171,51 +172,61 @@ def section_beats(feat: DataFrame, secs: DataFrame) -> DataFrame:
     }).drop("raw")
 
 
+def _best_near(radius: int) -> Column:
+    """The place of the best beat up to `radius` places from each: score, bonus and 0.06 less for each place away; the first of equal ones."""
+    o = Window.partitionBy("track_id", "section_idx").orderBy("beat_idx")
+    pull = F.col("score") + F.when(F.col("phrase"), NEAR_PHRASE).when(F.col("bar"), NEAR_BAR).otherwise(0.0)
+    options = [F.struct((F.lag(pull, -k).over(o) - AWAY * abs(k)).alias("v"), F.lit(-k).alias("k")) for k in range(-radius, radius + 1)]
+    return F.row_number().over(o) - 1 - F.array_max(F.filter(F.array(*options), lambda x: x["v"].isNotNull()))["k"]
+
+
+def walk_table(beats: DataFrame) -> DataFrame:
+    """One row a section, with an array over its beats (in order) for all that the walk looks up: t, score, step, min_gap and
+    the best beat near each, within one place and within two."""
+    g = beats.withColumns({"near1": _best_near(1), "near2": _best_near(2)})
+    row = F.struct("beat_idx", "t", "score", "step", "min_gap", "near1", "near2")
+    rows = g.groupBy("track_id", "section_idx", "max_hold").agg(F.sort_array(F.collect_list(row)).alias("r"))
+    return rows.select("track_id", "section_idx", "max_hold", *[F.col("r").getField(c).alias(c) for c in ("t", "score", "step", "min_gap", "near1", "near2")])
+
+
 def walk_cuts(beats: DataFrame) -> DataFrame:
-    """(track_id, section_idx, t): the cuts of each section, found by walking its beats from its start.
+    """(track_id, section_idx, t): the cuts of each section, found by following its table from its start.
 
     From the last cut the walk looks `step` beats ahead and takes the best beat near there. Beats too near
     to the last cut are passed by; so are weak ones (score below 0.42) while the hold lasts. After a cut that would
-    leave a gap of over 1.15 holds, a beat near the end of the hold is cut too. A group is one section's
-    beats; sections last seconds, so a group is small whatever the number of tracks.
+    leave a gap of over 1.15 holds, a beat near the end of the hold is cut too. A row is one section's
+    beats; sections last seconds, so a row is small whatever the number of tracks.
     """
     import numpy as np
     import pandas as pd
 
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("beat_idx")
-        t, gap, step = part["t"].to_numpy(), part["min_gap"].to_numpy(), part["step"].to_numpy()
-        score, hold, n = part["score"].to_numpy(), float(part["max_hold"].iloc[0]), len(part)
-        pull = score + np.where(part["phrase"], 0.22, np.where(part["bar"], 0.12, 0.0))
-
-        def near(target: int, radius: int) -> int:
-            lo, hi = max(0, target - radius), min(n, target + radius + 1)
-            return lo + int(np.argmax(pull[lo:hi] - 0.06 * np.abs(np.arange(lo, hi) - target)))
-
-        at = near(0, 1)
-        cuts = [at]
-        while at < n - 1:
-            target = min(n - 1, at + int(step[at]))
-            best = near(target, 1 if step[at] <= 2 else 2)
+    def follow(t, score, step, gap, near1, near2, hold) -> list[int]:
+        last_beat, cuts = len(t) - 1, [int(near1[0])]
+        at = cuts[0]
+        while at < last_beat:
+            aim = min(last_beat, at + int(step[at]))
+            best = int((near1 if step[at] <= 2 else near2)[aim])
             waited = t[best] - t[cuts[-1]]
             if waited < gap[best]:
-                at = min(n - 1, target + 1)
-            elif score[best] < 0.42 and waited < hold:
-                at = target
-            else:
-                cuts.append(best)
-                at = best
-                far = np.flatnonzero(t[at + 1:] - t[at] >= hold)
-                if far.size and t[at + 1 + far[0]] - t[at] > 1.15 * hold:
-                    forced = near(at + 1 + int(far[0]), 2)
-                    if t[forced] - t[at] >= gap[best]:
-                        cuts.append(forced)
-                        at = forced
-        return pd.DataFrame({"track_id": part["track_id"].iloc[0], "section_idx": part["section_idx"].iloc[0], "t": t[cuts]})
-
-    cols = ("track_id", "section_idx", "beat_idx", "t", "score", "step", "min_gap", "max_hold", "bar", "phrase")
+                at = min(last_beat, aim + 1)
+                continue
+            if score[best] < WEAK and waited < hold:
+                at = aim
+                continue
+            late = best + 1 + int(np.searchsorted(t[best + 1 :] - t[best], hold))
+            extra = int(near2[late]) if late <= last_beat and t[late] - t[best] > OVER * hold else best
+            cuts += [best, extra] if t[extra] - t[best] >= gap[best] and extra != best else [best]
+            at = cuts[-1]
+        return cuts
+
+    def run(batches):
+        for pdf in batches:
+            cols = [pdf[c] for c in ("t", "score", "step", "min_gap", "near1", "near2", "max_hold")]
+            cut = [np.asarray(r[0])[follow(*r)] for r in zip(*cols)]
+            yield pd.DataFrame({"track_id": np.repeat(pdf["track_id"].to_numpy(), [len(c) for c in cut]), "section_idx": np.repeat(pdf["section_idx"].to_numpy(), [len(c) for c in cut]), "t": np.concatenate([*cut, []])})
+
     kind = beats.schema["track_id"].dataType.simpleString()
-    return beats.select(*cols).groupBy("track_id", "section_idx").applyInPandas(walk, f"track_id {kind}, section_idx int, t double")
+    return walk_table(beats).mapInPandas(run, f"track_id {kind}, section_idx int, t double")
 
 
 def segment_target(kind: Column, wave: Column, impact: Column, rhythm: Column, novelty: Column, arc: Column) -> Column:

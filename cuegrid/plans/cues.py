@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import curves as C
+from ..operators import cuts as K
 from ..operators import features as O
 from ..sources import views as V
 from ..sources.shared import written
@@ -69,6 +70,61 @@ cut AS (SELECT *, {_norm('raw', 'track_id, section_idx')} AS score,
  CASE WHEN type IN ('intro','outro','breakdown') THEN 3.80 WHEN type IN ('drop','finale') AND section_wave >= 0.78 THEN 1.25 WHEN type IN ('chorus','drop','finale') THEN 1.85 WHEN section_wave >= 0.55 THEN 2.80 ELSE 3.80 END AS max_hold FROM c1)"""
 
 
+# The walk by recursion: lists of a section's beats, the state is the place and the last cut.
+WALK_SQL = f"""{CUTS_SQL}, wb AS MATERIALIZED (SELECT track_id, section_idx, t, score, step, min_gap, max_hold, row_number() OVER (PARTITION BY track_id, section_idx ORDER BY beat_idx) - 1 AS i, score + CASE WHEN phrase THEN 0.22 WHEN bar THEN 0.12 ELSE 0.0 END AS pull FROM cut),
+wn AS MATERIALIZED (SELECT a.track_id, a.section_idx, a.i, arg_max(b.i, struct_pack(v := b.pull - 0.06 * abs(b.i - a.i), k := -b.i)) FILTER (abs(b.i - a.i) <= 1) AS n1,
+ arg_max(b.i, struct_pack(v := b.pull - 0.06 * abs(b.i - a.i), k := -b.i)) FILTER (abs(b.i - a.i) <= 2) AS n2, min(b.i) FILTER (b.i > a.i AND b.t - a.t >= a.max_hold) AS late
+ FROM wb a JOIN wb b ON a.track_id = b.track_id AND a.section_idx = b.section_idx GROUP BY ALL),
+ws AS MATERIALIZED (SELECT wb.track_id, wb.section_idx, count(*) AS n, any_value(max_hold) AS hold, list(t ORDER BY wb.i) AS T, list(min_gap ORDER BY wb.i) AS G, list(score ORDER BY wb.i) AS S, list(step ORDER BY wb.i) AS P,
+ list(n1 ORDER BY wb.i) AS N1, list(n2 ORDER BY wb.i) AS N2, list(late ORDER BY wb.i) AS L FROM wb JOIN wn ON wn.track_id = wb.track_id AND wn.section_idx = wb.section_idx AND wn.i = wb.i GROUP BY ALL),
+walk(track_id, section_idx, pos, lst, cut, extra) AS (SELECT track_id, section_idx, N1[1], N1[1], N1[1], CAST(NULL AS BIGINT) FROM ws UNION ALL
+ SELECT track_id, section_idx, CASE act WHEN 1 THEN least(n - 1, aim + 1) WHEN 2 THEN aim ELSE coalesce(ex, best) END, CASE act WHEN 3 THEN coalesce(ex, best) ELSE lst END, CASE act WHEN 3 THEN best END, CASE act WHEN 3 THEN ex END
+ FROM (SELECT *, CASE WHEN T[best + 1] - T[lst + 1] < G[best + 1] THEN 1 WHEN S[best + 1] < 0.42 AND T[best + 1] - T[lst + 1] < hold THEN 2 ELSE 3 END AS act,
+  CASE WHEN T[L[best + 1] + 1] - T[best + 1] > 1.15 * hold AND T[N2[L[best + 1] + 1] + 1] - T[best + 1] >= G[best + 1] THEN N2[L[best + 1] + 1] END AS ex
+  FROM (SELECT *, CASE WHEN P[pos + 1] <= 2 THEN N1[aim + 1] ELSE N2[aim + 1] END AS best
+   FROM (SELECT ws.*, walk.pos, walk.lst, least(n - 1, walk.pos + P[walk.pos + 1]) AS aim FROM walk JOIN ws ON ws.track_id = walk.track_id AND ws.section_idx = walk.section_idx WHERE walk.pos < n - 1)))),
+walked AS MATERIALIZED (SELECT w.track_id, w.section_idx, T[c + 1] AS t FROM (SELECT track_id, section_idx, cut AS c FROM walk WHERE cut IS NOT NULL UNION ALL SELECT track_id, section_idx, extra FROM walk WHERE extra IS NOT NULL) w
+ JOIN ws ON ws.track_id = w.track_id AND ws.section_idx = w.section_idx)"""
+
+
+def _thinned(name: str, table: str, gap: float) -> str:
+    """SQL: `name` is the table (track_id, t) thinned."""
+    return f"""{name}_o AS MATERIALIZED (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM {table}),
+{name}_k(track_id, rn, t, last, keep) AS (SELECT track_id, rn, t, t, true FROM {name}_o WHERE rn = 1 UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= {gap} THEN o.t ELSE k.last END, o.t - k.last >= {gap}
+ FROM {name}_k k JOIN {name}_o o ON o.track_id = k.track_id AND o.rn = k.rn + 1), {name} AS MATERIALIZED (SELECT track_id, t FROM {name}_k WHERE keep)"""
+
+
+EXTRA_SQL = f"""{WALK_SQL}, xb AS (SELECT *, lead(t) OVER ({_ORDER}) - t AS dt FROM feat), xm AS (SELECT track_id, quantile_cont(dt, 0.5) AS median FROM xb GROUP BY track_id),
+xc AS (SELECT x.track_id, x.beat_idx, median, x.t + 0.5 * dt AS t FROM (SELECT *, {_high('impact', .965)} AS hit FROM xb) x JOIN xm ON xm.track_id = x.track_id WHERE hit AND round(wave, 9) >= 0.88 AND dt IS NOT NULL AND n >= 3 AND median >= 0.22),
+xd AS (SELECT xc.*, (SELECT min(abs(w.t - xc.t)) FROM walked w WHERE w.track_id = xc.track_id) AS far FROM xc WHERE xc.t > 0 AND xc.t < 48),
+xr AS (SELECT track_id, round_even(count(*) * 0.025, 0) AS room FROM walked GROUP BY track_id),
+extra AS MATERIALIZED (SELECT track_id, t FROM (SELECT xd.track_id, t, room, row_number() OVER (PARTITION BY xd.track_id ORDER BY beat_idx) AS place FROM xd JOIN xr ON xr.track_id = xd.track_id WHERE far >= greatest(0.34, median * 0.45)) WHERE place <= room)"""
+FINAL_SQL = f"""{EXTRA_SQL}, both_ AS (SELECT track_id, t FROM walked WHERE t > 0 AND t < 48 UNION ALL SELECT track_id, t FROM extra WHERE t > 0 AND t < 48), {_thinned('inner_', 'both_', 0.3)},
+lim AS (SELECT track_id, greatest(1, round_even(count(*) * 0.46, 0)) AS most, greatest(1, round_even(count(*) * 0.22, 0)) AS least FROM feat GROUP BY track_id),
+wt AS (SELECT i.track_id, i.t, arg_max(round(f.impact + CASE WHEN f.phrase THEN 0.55 WHEN f.bar THEN 0.32 ELSE 0.0 END, 9), struct_pack(d := -abs(f.t - i.t), e := -f.t)) AS weight FROM inner_ i JOIN feat f ON f.track_id = i.track_id GROUP BY ALL),
+cap AS MATERIALIZED (SELECT track_id, t FROM (SELECT wt.*, most, row_number() OVER (PARTITION BY wt.track_id ORDER BY weight DESC, t DESC) AS place FROM wt JOIN lim ON lim.track_id = wt.track_id) WHERE place <= most),
+kept0 AS (SELECT cap.track_id, list(t) AS kept, any_value(least) AS least FROM cap JOIN lim ON lim.track_id = cap.track_id GROUP BY cap.track_id),
+anch AS MATERIALIZED (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY round(impact, 9) DESC, t DESC) AS rn FROM feat WHERE bar OR phrase),
+fill(track_id, rn, least, kept) AS (SELECT track_id, CAST(0 AS BIGINT), least, kept FROM kept0 UNION ALL
+ SELECT f.track_id, a.rn, f.least, CASE WHEN list_min([abs(x - a.t) for x in f.kept]) >= 0.58 THEN list_append(f.kept, a.t) ELSE f.kept END FROM fill f JOIN anch a ON a.track_id = f.track_id AND a.rn = f.rn + 1 WHERE len(f.kept) < f.least),
+filled AS (SELECT track_id, unnest(kept) AS t FROM (SELECT track_id, arg_max(kept, rn) AS kept FROM fill GROUP BY track_id)), {_thinned('clean', 'filled', 0.3)},
+fb AS (SELECT track_id, t FROM feat WHERE bar AND track_id NOT IN (SELECT track_id FROM clean)), {_thinned('back', 'fb', 0.9)},
+fin AS MATERIALIZED (SELECT track_id, t FROM clean UNION ALL SELECT track_id, t FROM back)"""
+SEGMENTS_SQL = f"""{FINAL_SQL}, fr AS (SELECT DISTINCT track_id, CAST(round_even(t * 30.0, 0) AS BIGINT) AS f FROM fin WHERE t > 0 AND t < 48 UNION SELECT DISTINCT track_id, 0 FROM feat UNION SELECT DISTINCT track_id, 1440 FROM feat),
+sg AS (SELECT *, round(start_frame / 30.0, 6) AS a_t, round((start_frame + n_frames / 2) / 30.0, 6) AS m_t FROM (SELECT track_id, f AS start_frame, lead(f) OVER w - f AS n_frames, row_number() OVER w - 1 AS seg_idx FROM fr WINDOW w AS (PARTITION BY track_id ORDER BY f)) WHERE n_frames IS NOT NULL),
+kn AS MATERIALIZED (SELECT track_id, t, wave, arc, impact, rhythm, novelty FROM feat),
+si AS (SELECT q.track_id, q.seg_idx, q.which, coalesce(x.wave + (y.wave - x.wave) * s, x.wave, y.wave) AS wave, coalesce(x.arc + (y.arc - x.arc) * s, x.arc, y.arc) AS arc, coalesce(x.impact + (y.impact - x.impact) * s, x.impact, y.impact) AS impact,
+ coalesce(x.rhythm + (y.rhythm - x.rhythm) * s, x.rhythm, y.rhythm) AS rhythm, coalesce(x.novelty + (y.novelty - x.novelty) * s, x.novelty, y.novelty) AS novelty
+ FROM (SELECT z.*, CASE WHEN tb IS NULL OR ta IS NULL OR tb = ta THEN 0.0 ELSE (z.t - ta) / (tb - ta) END AS s FROM (SELECT *, (SELECT max(k.t) FROM kn k WHERE k.track_id = u.track_id AND k.t <= u.t) AS ta, (SELECT min(k.t) FROM kn k WHERE k.track_id = u.track_id AND k.t >= u.t) AS tb
+  FROM (SELECT track_id, seg_idx, 1 AS which, a_t AS t FROM sg UNION ALL SELECT track_id, seg_idx, 2, m_t FROM sg) u) z) q
+ LEFT JOIN kn x ON x.track_id = q.track_id AND x.t = q.ta LEFT JOIN kn y ON y.track_id = q.track_id AND y.t = q.tb),
+sx AS (SELECT sg.*, m.wave, m.arc, a.impact, a.rhythm, a.novelty, coalesce((SELECT max(struct_pack(i := section_idx, y := type)) FROM sections c WHERE c.track_id = sg.track_id AND m_t >= c.s AND m_t < c.e), (SELECT max(struct_pack(i := section_idx, y := type)) FROM sections c WHERE c.track_id = sg.track_id)).y AS type
+ FROM sg JOIN si m ON m.track_id = sg.track_id AND m.seg_idx = sg.seg_idx AND m.which = 2 JOIN si a ON a.track_id = sg.track_id AND a.seg_idx = sg.seg_idx AND a.which = 1),
+sr AS (SELECT *, round(wave, 9) AS w, round(impact, 9) AS p, round(rhythm, 9) AS r, round(novelty, 9) AS v, round(arc, 9) AS c FROM sx),
+segments AS MATERIALIZED (SELECT *, n_frames / 30.0 AS seconds, CASE WHEN type IN ('drop', 'finale') AND (w >= 0.58 OR p >= 0.55) THEN 'drop' WHEN p >= 0.76 OR (w >= 0.78 AND r >= 0.62) THEN 'drop' WHEN type IN ('intro', 'outro', 'breakdown') AND w <= 0.54 THEN 'soft'
+ WHEN w <= 0.32 AND p <= 0.48 THEN 'soft' WHEN type IN ('bridge', 'hook') OR v >= 0.68 OR (c >= 0.62 AND w >= 0.48) THEN 'build' WHEN w >= 0.58 AND r >= 0.54 THEN 'rhythm' ELSE 'flow' END AS target FROM sr)"""
+
+
 def _features(spark, d):
     return O.features(V.curves(spark, d), D)
 
@@ -88,13 +144,18 @@ def _walked(spark, d, feat=None, secs=None):
     return O.walk_cuts(O.section_beats(feat, secs))
 
 
+def _final(spark, d, feat=None, secs=None):
+    feat = written(_features(spark, d)) if feat is None else feat
+    return K.final_cuts(written(_walked(spark, d, feat, secs)), feat, D)
+
+
 def segments(spark, d):
     """(track_id, seg_idx, start_frame, n_frames, seconds, target): the profile of each segment of the timeline.
 
     Wave and arc are taken at its middle, impact, rhythm and novelty at its start, the section at its middle."""
     feat = written(_features(spark, d))
     secs = written(O.sections(feat, D))
-    line = C.timeline(written(_walked(spark, d, feat, secs)), "track_id", "t", D, V.FPS)
+    line = C.timeline(written(_final(spark, d, feat, secs)), "track_id", "t", D, V.FPS)
     line = line.withColumns({"at": F.round(F.col("start_frame") / V.FPS, 6), "mid": F.round((F.col("start_frame") + F.col("n_frames") / 2) / V.FPS, 6)})
     # one pass over knots and segments for all five curves: a shuffle, no join
     knots = feat.select("track_id", "t", F.struct("t", "wave", "arc", "impact", "rhythm", "novelty").alias("k"), F.lit(None).cast("int").alias("seg_idx"), F.lit(0).alias("q"))
@@ -149,24 +210,81 @@ def b14_cut_columns(spark, d):
     return _cut_beats(spark, d).select("track_id", "section_idx", "beat_idx", r6("score", "score"), "step", "min_gap", "max_hold")
 
 
-@query()
+@query(f"WITH RECURSIVE {WALK_SQL} SELECT track_id, section_idx, round(t, 6) AS t FROM walked")
 def f11_cut_walk(spark, d):
-    """The scored walk of each section: a state machine over a few beats, without SQL."""
+    """The scored walk of each section."""
     return _walked(spark, d).select("track_id", "section_idx", r6("t", "t"))
 
 
-@query()
+@query(f"WITH RECURSIVE {EXTRA_SQL} SELECT track_id, round(t, 6) AS t FROM extra")
+def f12_extra_cuts(spark, d):
+    feat = written(_features(spark, d))
+    return K.extra_cuts(written(_walked(spark, d, feat)), feat, D).select("track_id", r6("t", "t"))
+
+
+@query(f"WITH RECURSIVE {FINAL_SQL} SELECT track_id, round(t, 6) AS t FROM clean")
+def f13_cut_cleanup(spark, d):
+    """Walked and extra cuts together, thinned, capped by weight, filled up with anchors, thinned again."""
+    feat = written(_features(spark, d))
+    walked = written(_walked(spark, d, feat)).select("track_id", "t")
+    return K.clean_up(walked.unionByName(K.extra_cuts(walked, feat, D)), feat, D).select("track_id", r6("t", "t"))
+
+
+@query(f"""WITH RECURSIVE {FEATURES_SQL}, odd AS (SELECT track_id, t FROM feat WHERE track_id % 3 = 0 AND strong_kick), fb AS (SELECT track_id, t FROM feat WHERE bar AND track_id NOT IN (SELECT track_id FROM odd)), {_thinned('back', 'fb', 0.9)}
+SELECT track_id, round(t, 6) AS t FROM odd UNION ALL SELECT track_id, round(t, 6) FROM back""")
+def f14_fallback_cuts(spark, d):
+    """Strong kicks as the cuts of every third track; the others have none and fall back."""
+    feat = written(_features(spark, d))
+    return K.with_fallback(feat.where("track_id % 3 = 0 AND strong_kick").select("track_id", "t"), feat).select("track_id", r6("t", "t"))
+
+
+@query(f"WITH RECURSIVE {CUTS_SQL}, p AS (SELECT track_id, section_idx, t, row_number() OVER (PARTITION BY track_id ORDER BY round(score, 9) DESC, t DESC) AS place FROM cut) SELECT track_id, section_idx, round(t, 6) AS t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS at FROM p WHERE place <= 12")
+def g3_top_beats(spark, d):
+    """The twelve best beats of each track, of equal ones the later, back in time order."""
+    g = Window.partitionBy("track_id")
+    top = _cut_beats(spark, d).select("track_id", "section_idx", "t", F.row_number().over(g.orderBy(F.desc(F.round("score", 9)), F.desc("t"))).alias("place")).where("place <= 12")
+    return top.select("track_id", "section_idx", r6("t", "t"), F.row_number().over(g.orderBy("t")).alias("at"))
+
+
+@query(f"WITH RECURSIVE {EXTRA_SQL} SELECT track_id, round(t, 6) AS t FROM walked UNION ALL SELECT track_id, round(t, 6) FROM extra")
+def h3_all_cuts(spark, d):
+    """Walked and extra cuts as one bag."""
+    feat = written(_features(spark, d))
+    walked = written(_walked(spark, d, feat)).select("track_id", "t")
+    return walked.unionByName(K.extra_cuts(walked, feat, D)).select("track_id", r6("t", "t"))
+
+
+@query(f"""WITH RECURSIVE {WALK_SQL}, n AS (SELECT track_id, section_idx, count(*) AS k FROM walked GROUP BY ALL)
+SELECT s.track_id, s.section_idx, type, coalesce(k, 0) AS selected, beats, round(coalesce(k, 0) / beats, 6) AS density FROM sections s LEFT JOIN n ON n.track_id = s.track_id AND n.section_idx = s.section_idx WHERE beats > 0""")
 def d7_selection_report(spark, d):
     """Cuts chosen, beats and density of each section with beats."""
     feat = written(_features(spark, d))
-    secs = written(O.sections(feat, D))
+    return selection(feat, written(O.sections(feat, D)), spark, d).select("track_id", "section_idx", "type", "selected", "beats", r6("density", "density"))
+
+
+def selection(feat, secs, spark, d):
     cuts = _walked(spark, d, feat, secs).groupBy("track_id", "section_idx").agg(F.count("*").alias("selected"))
     s = secs.where("beats > 0").join(cuts, ["track_id", "section_idx"], "left")
     n = F.coalesce("selected", F.lit(0))
-    return s.select("track_id", "section_idx", "type", n.alias("selected"), "beats", r6(n / F.col("beats"), "density"))
+    return s.select("track_id", "section_idx", "type", n.alias("selected"), "beats", (n / F.col("beats")).alias("density"))
 
 
-@query()
+_LINE = "printf('      - %s: %d/%d beats (%.1f%%)', upper(type[1]) || type[2:], selected, beats, round_even(density * 100, 1))"
+
+
+@query(f"""WITH RECURSIVE {WALK_SQL}, n AS (SELECT track_id, section_idx, count(*) AS k FROM walked GROUP BY ALL),
+r AS (SELECT s.track_id, s.section_idx, type, coalesce(k, 0) AS selected, CAST(beats AS BIGINT) AS beats, round(coalesce(k, 0) / beats, 9) AS density, row_number() OVER (PARTITION BY s.track_id ORDER BY s.section_idx) AS rn, count(*) OVER (PARTITION BY s.track_id) AS m
+ FROM sections s LEFT JOIN n ON n.track_id = s.track_id AND n.section_idx = s.section_idx WHERE beats > 0)
+SELECT track_id, 'Sections analyzed and processed:' || chr(10) || string_agg({_LINE}, chr(10) ORDER BY rn) FILTER (rn <= 12) || CASE WHEN any_value(m) > 12 THEN chr(10) || printf('      - ... plus %d more sections', any_value(m) - 12) ELSE '' END AS said FROM r GROUP BY track_id""")
+def d16_section_text(spark, d):
+    """At most twelve lines on a track's sections, and how many more there are."""
+    from ..operators.reports import section_text
+
+    feat = written(_features(spark, d))
+    return section_text(selection(feat, written(O.sections(feat, D)), spark, d))
+
+
+@query(f"""WITH RECURSIVE {SEGMENTS_SQL} SELECT track_id, seg_idx, start_frame, n_frames, type, target, {', '.join(f'round({c}, 6) AS {c}' for c in ('wave', 'arc', 'impact', 'rhythm', 'novelty'))} FROM segments""")
 def f16_segment_profiles(spark, d):
     return segments(spark, d).select("track_id", "seg_idx", "start_frame", "n_frames", "type", "target", *[r6(c, c) for c in ("wave", "arc", "impact", "rhythm", "novelty")])
 
@@ -182,14 +300,15 @@ def e1_section_at(spark, d):
     return both.agg(F.coalesce(F.min(F.when(hit, F.col("section_idx"))), F.max("section_idx")).alias("section_idx"))
 
 
-@query(f"""WITH RECURSIVE {SECTIONS_SQL}, x AS (SELECT track_id, avg(wave) AS wave, avg(impact) AS impact, avg(rhythm) AS rhythm, avg(CAST(p AS INT)) AS peaks, count(*) AS beats FROM (SELECT *, {_high('wave', .82)} AS p FROM feat) GROUP BY track_id),
+@query(f"""WITH RECURSIVE {FINAL_SQL}, z AS (SELECT track_id, count(*) AS cuts, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) ELSE 1.5 END AS gap FROM fin GROUP BY track_id), x AS (SELECT track_id, avg(wave) AS wave, avg(impact) AS impact, avg(rhythm) AS rhythm, avg(CAST(p AS INT)) AS peaks, count(*) AS beats FROM (SELECT *, {_high('wave', .82)} AS p FROM feat) GROUP BY track_id),
 y AS (SELECT track_id, count(*) AS sections, count(CASE WHEN type IN ('drop', 'finale', 'chorus') THEN 1 END) AS drops, string_agg(type, ',' ORDER BY section_idx) AS types FROM sections GROUP BY track_id)
-SELECT x.track_id, beats, sections, drops, types, round(wave, 6) AS wave, round(impact, 6) AS impact, round(rhythm, 6) AS rhythm, round(peaks, 6) AS peak_ratio,
- CASE WHEN round(impact, 9) >= 0.58 THEN 'rhythmic_hype_gmv_amv' WHEN round(wave, 9) <= 0.42 AND drops <= 1 THEN 'cinematic_soft_amv' WHEN round(peaks, 9) >= 0.22 OR drops >= 2 THEN 'hybrid_drop_story' ELSE 'rhythmic_flow_gmv_amv' END AS preset
-FROM x JOIN y ON y.track_id = x.track_id""")
+SELECT x.track_id, beats, sections, drops, types, cuts, round(gap, 6) AS cut_interval, round(wave, 6) AS wave, round(impact, 6) AS impact, round(rhythm, 6) AS rhythm, round(peaks, 6) AS peak_ratio,
+ CASE WHEN round(gap, 9) <= 0.72 OR round(impact, 9) >= 0.58 THEN 'rhythmic_hype_gmv_amv' WHEN round(wave, 9) <= 0.42 AND drops <= 1 THEN 'cinematic_soft_amv' WHEN round(peaks, 9) >= 0.22 OR drops >= 2 THEN 'hybrid_drop_story' ELSE 'rhythmic_flow_gmv_amv' END AS preset
+FROM x JOIN y ON y.track_id = x.track_id JOIN z ON z.track_id = x.track_id""")
 def d8_track_profile(spark, d):
-    """Means, share of peak beats, drop-like sections, the order of types and the preset of each track (cut intervals aside: those need the walk)."""
-    feat = _features(spark, d)
+    """Means, share of peak beats, cuts and the mean time between them, drop-like sections, the order of types and the preset of each track."""
+    feat = written(_features(spark, d))
+    z = _final(spark, d, feat).groupBy("track_id").agg(F.count("*").alias("cuts"), F.when(F.count("*") > 1, (F.max("t") - F.min("t")) / (F.count("*") - 1)).otherwise(1.5).alias("gap"))
     peak = F.round("wave", 9) >= F.round(C.percentile(F.col("wave"), 0.82, Window.partitionBy("track_id")), 9)
     x = feat.withColumn("p", peak.cast("int")).groupBy("track_id").agg(F.avg("wave").alias("w"), F.avg("impact").alias("i"), F.avg("rhythm").alias("r"), F.avg("p").alias("pk"), F.count("*").alias("beats"))
     drop = F.col("type").isin("drop", "finale", "chorus")
@@ -198,5 +317,5 @@ def d8_track_profile(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "type"))), lambda s: s["type"]), ",").alias("types"),
     )
     # fixed values: the names of the presets
-    preset = O.first_of((F.round("i", 9) >= 0.58, "rhythmic_hype_gmv_amv"), ((F.round("w", 9) <= 0.42) & (F.col("drops") <= 1), "cinematic_soft_amv"), ((F.round("pk", 9) >= 0.22) | (F.col("drops") >= 2), "hybrid_drop_story"), default="rhythmic_flow_gmv_amv")
-    return x.join(y, "track_id").select("track_id", "beats", "sections", "drops", "types", r6("w", "wave"), r6("i", "impact"), r6("r", "rhythm"), r6("pk", "peak_ratio"), preset.alias("preset"))
+    preset = O.first_of(((F.round("gap", 9) <= 0.72) | (F.round("i", 9) >= 0.58), "rhythmic_hype_gmv_amv"), ((F.round("w", 9) <= 0.42) & (F.col("drops") <= 1), "cinematic_soft_amv"), ((F.round("pk", 9) >= 0.22) | (F.col("drops") >= 2), "hybrid_drop_story"), default="rhythmic_flow_gmv_amv")
+    return x.join(y, "track_id").join(z, "track_id").select("track_id", "beats", "sections", "drops", "types", "cuts", r6("gap", "cut_interval"), r6("w", "wave"), r6("i", "impact"), r6("r", "rhythm"), r6("pk", "peak_ratio"), preset.alias("preset"))

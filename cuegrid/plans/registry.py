@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curves as C
-from ..operators import moments as M
+from ..operators import planning as P
 from ..sources import views as V
-from . import cues, library, scenes, streams  # noqa: F401 - they register their queries
+from . import cues, ingest, library, scenes, streams  # noqa: F401 - they register their queries
 from .base import QUERIES, SQL, by_beat, by_track, query, r6
 
 K = ("track_id", "beat_idx")
@@ -128,42 +128,70 @@ def b4_frame_conversion(spark, d):
     return V.beats(spark, d).select(*K, S.seconds_to_frames(t, fps).alias("frame"), S.middle_frame(t, t + 0.5, fps).alias("middle"), r6(S.frames_to_seconds(F.col("beat_idx")), "seconds"))
 
 
-@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, count(*) AS moments, round(avg(quality),6) AS mean_quality, round(avg(motion),6) AS mean_motion, round(quantile_cont(motion,.9),6) AS p90_motion, round(max(brightness),6) AS max_brightness FROM moments GROUP BY video_id")
-def d10_library_summary(spark, d):
-    return V.moments_big(spark, d).groupBy("video_id").agg(
-        F.count("*").alias("moments"), r6(F.avg("quality"), "mean_quality"), r6(F.avg("motion"), "mean_motion"),
-        r6(F.percentile("motion", F.lit(0.9)), "p90_motion"), r6(F.max("brightness"), "max_brightness"),
-    )
-
-
-@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY round(quality,9) DESC, id) AS place FROM moments")
-def c11_rank_moments(spark, d):
-    by = Window.partitionBy("video_id").orderBy(F.desc(F.round("quality", 9)), "id")
-    return V.moments_big(spark, d).select("video_id", "id", F.row_number().over(by).alias("place"))
-
-
-@query(f"""WITH {V.MOMENTS_SQL}, r AS (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY video_id ORDER BY id) AS rn,
- row_number() OVER (PARTITION BY video_id ORDER BY round(motion,9) DESC, id) AS r0, row_number() OVER (PARTITION BY video_id ORDER BY round(saturation,9) DESC, id) AS r1,
- row_number() OVER (PARTITION BY video_id ORDER BY round(quality,9) DESC, id) AS r2 FROM moments WINDOW g AS (PARTITION BY video_id)),
-c AS (SELECT *, CASE WHEN r0<=40 THEN r0 WHEN r1<=30 THEN 120+r1 WHEN r2<=24 THEN 240+r2 END AS p FROM r),
-e AS (SELECT *, count(p) OVER (PARTITION BY video_id) AS c FROM c),
-f AS (SELECT *, CASE WHEN n<=120 THEN rn WHEN p IS NOT NULL THEN p WHEN c<120 AND (rn-1) % greatest(1, n // greatest(1,120-c)) = 0 THEN 480+rn END AS place FROM e),
-k AS (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY place) AS pos FROM f WHERE place IS NOT NULL) SELECT video_id, id FROM k WHERE pos <= 120""")
-def g2_quota_sample(spark, d):
-    m = V.moments_big(spark, d)
-    m = m.select("video_id", "id", *[F.round(c, 9).alias(c) for c in ("motion", "saturation", "quality")])
-    return M.quota_sample(m, "video_id", "id", ("motion", "saturation", "quality"), 120).select("video_id", "id")
-
-
 @query("SELECT c_custkey, substr(sha1(c_name), 1, 10) AS h FROM customer")
 def b23_text_hash(spark, d):
     return V.table(spark, d, "customer").select("c_custkey", F.substring(F.sha1("c_name"), 1, 10).alias("h"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars/1000.0 < 1 THEN printf('%.0fms', n_chars*1.0) ELSE printf('%.1fs', n_chars/1000.0) END AS said FROM documents WHERE n_chars % 100 <> 50")
+@query("""WITH m AS (SELECT doc_id, greatest(n_chars, 0) AS n FROM documents), r AS (SELECT doc_id, n, n // 100 + CASE WHEN n % 100 > 50 OR (n % 100 = 50 AND (n // 100) % 2 = 1) THEN 1 ELSE 0 END AS tenths FROM m)
+SELECT doc_id, CASE WHEN n < 1000 THEN concat(n, 'ms') ELSE concat(tenths // 10, '.', tenths % 10, 's') END AS said FROM r""")
 def b31_duration_text(spark, d):
-    docs = V.table(spark, d, "documents").where("n_chars % 100 <> 50")
-    return docs.select("doc_id", S.duration_text(F.col("n_chars") / 1000.0).alias("said"))
+    return V.table(spark, d, "documents").select("doc_id", S.duration_text(F.col("n_chars")).alias("said"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN round(c_acctbal, 6) WHEN 1 THEN 120.0 WHEN 2 THEN 120.0 ELSE 7.5 END AS x FROM customer""")
+def b2_first_number(spark, d):
+    """The first element of an array as a number, else 120: of a balance, of nothing, of a name, of text that is a number."""
+    text = lambda c: F.array(c.cast("string"), F.lit("1"))
+    k = F.col("c_custkey") % 4
+    values = F.when(k == 0, text(F.col("c_acctbal"))).when(k == 1, F.array().cast("array<string>")).when(k == 2, text(F.col("c_name"))).otherwise(text(F.lit("7.5")))
+    return V.table(spark, d, "customer").select("c_custkey", r6(S.first_number(values, 120.0), "x"))
+
+
+@query(f"""WITH {V.MOMENTS_SQL} SELECT video_id, id, printf('%s_%05d_%08d', substr(sha1('/src/' || video_id || '.mp4'), 1, 10), CAST(id AS INT), CAST(trunc((id - 1) * 2.0 * 1000) AS INT)) AS moment_id FROM moments""")
+def b24_moment_ids(spark, d):
+    m = V.moments_big(spark, d)
+    path = F.concat(F.lit("/src/"), "video_id", F.lit(".mp4"))
+    return m.select("video_id", "id", S.moment_id(path, F.col("id"), (F.col("id") - 1) * 2.0).alias("moment_id"))
+
+
+@query(r"""SELECT p_partkey, substr(regexp_replace(p_name || ' / ' || p_brand || '#', '[^A-Za-z0-9_.-]+', '_', 'g'), 1, 80) AS token, CASE WHEN p_partkey % 3 = 0 THEN 'item' ELSE 'p' END AS other,
+ trim(regexp_replace(regexp_replace(concat('  ', p_name, chr(9), 'é  ', p_brand, ' '), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM part""")
+def b30_clean_tokens(spark, d):
+    """File tokens of a name, of nothing; and a name as plain ASCII words."""
+    p = V.table(spark, d, "part")
+    name = F.concat("p_name", F.lit(" / "), "p_brand", F.lit("#"))
+    other = F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise("p")
+    plain = F.concat(F.lit("  "), "p_name", F.lit("\té  "), "p_brand", F.lit(" "))
+    return p.select("p_partkey", S.safe_token(name).alias("token"), S.safe_token(other).alias("other"), S.plain_text(plain).alias("plain"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, w AS (SELECT *, CASE track_id % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 10.0 ELSE 40.0 END AS a, CASE track_id % 3 WHEN 0 THEN 30.0 WHEN 1 THEN 10.0 ELSE 8.0 END AS z FROM beats)
+SELECT track_id, beat_idx, round(t - a, 6) AS t FROM w WHERE t >= a AND (z <= a OR t < z)""")
+def a3_open_slice(spark, d):
+    """A part of each track, re-based to its start; an end that is not after the start means the end of the track."""
+    b = V.beats(spark, d)
+    k = F.col("track_id") % 3
+    start, end = F.when(k == 0, 5.0).when(k == 1, 10.0).otherwise(40.0), F.when(k == 0, 30.0).when(k == 1, 10.0).otherwise(8.0)
+    return C.time_slice(b, "t", start, end).select(*K, r6("t", "t"))
+
+
+@query(f"""WITH {V.EVENTS_SQL}, o AS (SELECT track_id, beat_idx, flux AS x FROM curves), p AS (SELECT a.track_id, lag AS l, coalesce(sum(a.x * b.x), 0) * 1.0 AS s FROM (SELECT *, unnest(range(2, 25)) AS lag FROM o) a LEFT JOIN o b ON b.track_id = a.track_id AND b.beat_idx = a.beat_idx + lag GROUP BY ALL)
+SELECT track_id, round(480.0 / arg_max(l, struct_pack(s := round(s * exp(-0.5 * pow(log2(480.0 / l / 120.0), 2)), 6), k := -l)), 6) AS tempo FROM p GROUP BY track_id""")
+def d14_tempo(spark, d):
+    """Tempo of the change curve, taken as eight frames a second."""
+    return P.tempo(V.curves(spark, d), "track_id", "beat_idx", "flux", 8.0).select("track_id", r6("tempo", "tempo"))
+
+
+@query(f"""WITH RECURSIVE {V.EVENTS_SQL}, w AS (SELECT track_id, beat_idx, rms AS x, max(rms) OVER (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, avg(rms) OVER (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mean,
+ lag(rms) OVER g AS a, lead(rms) OVER g AS b FROM curves WINDOW g AS (PARTITION BY track_id ORDER BY beat_idx)),
+v AS (SELECT *, CASE WHEN x <= coalesce(a, x) AND x <= coalesce(b, x) AND (a > x OR b > x) THEN beat_idx END AS low FROM w),
+s AS MATERIALIZED (SELECT *, last_value(low IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY beat_idx) AS start FROM v),
+o AS MATERIALIZED (SELECT track_id, beat_idx, start, row_number() OVER (PARTITION BY track_id ORDER BY beat_idx) AS rn FROM s WHERE x >= top AND round(x - mean, 9) > 0),
+k(track_id, rn, beat_idx, start, last, keep) AS (SELECT track_id, rn, beat_idx, start, beat_idx, true FROM o WHERE rn = 1 UNION ALL SELECT o.track_id, o.rn, o.beat_idx, o.start, CASE WHEN o.beat_idx - k.last >= 4 THEN o.beat_idx ELSE k.last END, o.beat_idx - k.last >= 4
+ FROM k JOIN o ON o.track_id = k.track_id AND o.rn = k.rn + 1) SELECT track_id, beat_idx AS peak, coalesce(start, beat_idx) AS start FROM k WHERE keep""")
+def c8_peaks(spark, d):
+    return P.peaks(V.curves(spark, d), "track_id", "beat_idx", "rms")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,10 @@
 """Queries over frames, scenes and sources, with their SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from ..operators import curves as C
 from ..operators import scenes as O
 from ..sources import views as V
 from .base import query, r6
@@ -53,12 +56,34 @@ def f9_sample_plan(spark, d):
     return O.sample_plan(_windows(spark, d), 2.0).select("video_id", "window_idx", "sample_idx", r6("sample_t", "sample_t"), "frame_idx")
 
 
-@query(f"""WITH RECURSIVE {V.FRAMES_SQL}, {_CHANGES}{_WINDOWS}{_SAMPLES} SELECT s.video_id, window_idx, count(*) AS n, round(avg(m.motion), 6) AS motion,
- min(s.frame_idx) AS first_frame, max(s.frame_idx) AS last_frame FROM samples s JOIN motions m ON m.video_id = s.video_id AND m.frame_idx = s.frame_idx GROUP BY ALL""")
-def d13_window_motion(spark, d):
-    at = O.sample_plan(_windows(spark, d), 2.0)
-    both = at.join(O.frame_motion(V.frames(spark, d)).select("video_id", "frame_idx", "motion"), ["video_id", "frame_idx"])
-    return both.groupBy("video_id", "window_idx").agg(F.count("*").alias("n"), r6(F.avg("motion"), "motion"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"))
+_STATS = """, px AS (SELECT video_id, frame_idx, [(CAST(v AS DOUBLE) + 0.6) / 1.2 * 255 for v in vec] AS g FROM frames),
+py AS (SELECT *, [g[(i + 21) % 64 + 1] for i in range(0, 64)] AS r, [g[(i + 42) % 64 + 1] for i in range(0, 64)] AS b FROM px),
+pz AS (SELECT *, [0.114 * b[i] + 0.587 * g[i] + 0.299 * r[i] for i in range(1, 65)] AS gray, [CASE WHEN greatest(b[i], g[i], r[i]) > 0 THEN (greatest(b[i], g[i], r[i]) - least(b[i], g[i], r[i])) / greatest(b[i], g[i], r[i]) ELSE 0.0 END for i in range(1, 65)] AS sat,
+ [abs(r[i] - g[i]) for i in range(1, 65)] AS rg, [abs(0.5 * (r[i] + g[i]) - b[i]) for i in range(1, 65)] AS yb FROM py),
+pl AS (SELECT *, [gray[CASE WHEN i % 8 > 0 THEN i ELSE i + 2 END] + gray[CASE WHEN i % 8 < 7 THEN i + 2 ELSE i END] + gray[CASE WHEN i // 8 > 0 THEN i - 7 ELSE i + 9 END] + gray[CASE WHEN i // 8 < 7 THEN i + 9 ELSE i - 7 END] - 4 * gray[i + 1] for i in range(0, 64)] AS lap FROM pz),
+stats AS MATERIALIZED (SELECT video_id, frame_idx, gray, list_avg(gray) / 255 AS brightness, list_stddev_pop(gray) / 80 AS contrast, list_avg(sat) AS saturation, list_var_pop(lap) / 520 AS sharpness, (list_stddev_pop(rg) + list_stddev_pop(yb)) / 95 AS colorfulness FROM pl)"""
+_C01 = lambda x: f"least(greatest({x}, 0.0), 1.0)"
+_METRICS = f""", sj AS (SELECT p.*, t.* EXCLUDE (video_id, frame_idx), lag(gray) OVER (PARTITION BY p.video_id, p.window_idx ORDER BY sample_idx) AS was FROM samples p JOIN stats t ON t.video_id = p.video_id AND t.frame_idx = p.frame_idx),
+sk2 AS (SELECT *, CASE WHEN was IS NOT NULL THEN list_avg([abs(gray[i] - was[i]) for i in range(1, 65)]) / 42 END AS step FROM sj),
+sm AS (SELECT video_id, window_idx, s, e, greatest(0.01, e - s) AS duration, count(*) AS n, {', '.join(f'{_C01(f"avg({c})")} AS {c}' for c in ('brightness', 'contrast', 'saturation', 'sharpness', 'colorfulness'))}, coalesce({_C01('avg(step)')}, 0.0) AS motion,
+ arg_max(sample_t, struct_pack(v := round(step, 9), k := -sample_idx)) FILTER (step IS NOT NULL) AS peak FROM sk2 GROUP BY video_id, window_idx, s, e),
+metrics AS MATERIALIZED (SELECT *, {_C01(f"0.36*sharpness + 0.22*contrast + 0.18*saturation + 0.14*(1 - {_C01('(0.25 - brightness) / 0.25')}) + 0.10*(1 - {_C01('(brightness - 0.86) / 0.14')})")} AS quality,
+ least(greatest(coalesce(peak - s, duration * 0.5), 0.0), duration) AS peak_offset FROM sm)"""
+_SHOWN = ("brightness", "contrast", "saturation", "sharpness", "colorfulness", "motion", "quality", "peak_offset", "duration")
+
+
+def _stats(spark, d):
+    g = F.transform("vec", lambda v: (v.cast("double") + 0.6) / 1.2 * 255)
+    turned = lambda k: F.concat(F.slice("g", k + 1, 64 - k), F.slice("g", 1, k))
+    px = V.frames(spark, d).select("video_id", "frame_idx", g.alias("g")).withColumns({"r": turned(21), "b": turned(42)})
+    return O.frame_statistics(px, 8, 8)
+
+
+@query(f"WITH RECURSIVE {V.FRAMES_SQL}, {_CHANGES}{_WINDOWS}{_SAMPLES}{_STATS}{_METRICS} SELECT video_id, window_idx, n, {', '.join(f'round({c}, 5) AS {c}' for c in _SHOWN)} FROM metrics")
+def d13_window_metrics(spark, d):
+    """All that is measured of a window, from its sampled frames."""
+    m = O.window_metrics(O.sample_plan(_windows(spark, d), 2.0), _stats(spark, d))
+    return m.select("video_id", "window_idx", "n", *[F.round(c, 5).alias(c) for c in _SHOWN])
 
 
 @query(f"""WITH {V.FRAMES_SQL}, l AS (SELECT *, lag(mag) OVER (PARTITION BY video_id, i ORDER BY frame_idx) AS p FROM bins)
@@ -79,41 +104,85 @@ def c7_onset_strength(spark, d):
 
 @query(f"WITH {V.FRAMES_SQL} SELECT video_id, frame_idx, round(CASE WHEN sum(mag) = 0 THEN 0 ELSE sum(mag * freq) / sum(mag) END, 6) AS centroid FROM bins GROUP BY ALL")
 def d3_spectral_centroid(spark, d):
-    b = V.bins(spark, d).groupBy("video_id", "frame_idx").agg(F.sum("mag").alias("m"), F.sum(F.col("mag") * F.col("freq")).alias("mf"))
-    return b.select("video_id", "frame_idx", r6(F.coalesce(F.try_divide("mf", "m"), F.lit(0.0)), "centroid"))
+    """Folded in the row: the bins of a frame are one array."""
+    mag = F.transform("vec", lambda v: F.abs(v.cast("double")))
+    weighted = F.transform(mag, lambda v, i: v * 20.0 * F.pow(F.lit(1.1), i))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return V.frames(spark, d).select("video_id", "frame_idx", r6(F.coalesce(F.try_divide(total(weighted), total(mag)), F.lit(0.0)), "centroid"))
+
+
+# The bands in Hz; they overlap.
+_BANDS = {"kick": (35, 145), "bass": (35, 220), "clap": (150, 4200), "hihat": (4200, float("inf"))}
+_BAND_SUMS = ", ".join(f"sum(CASE WHEN freq >= {lo} AND freq <= {min(hi, 1e12)} THEN mag ELSE 0 END) AS {b}" for b, (lo, hi) in _BANDS.items())
+
+
+def _bands(spark, d):
+    """Each frame's sums over the bins of each band, in the row."""
+    def band(lo: float, hi: float):
+        inside = [i for i in range(64) if lo <= 20 * 1.1**i <= hi]
+        part = F.slice("vec", inside[0] + 1, len(inside)) if inside else F.array().cast("array<double>")
+        return F.aggregate(part, F.lit(0.0), lambda s, v: s + F.abs(v.cast("double")))
+
+    return V.frames(spark, d).select("video_id", "frame_idx", "t", *[band(*r).alias(b) for b, r in _BANDS.items()])
 
 
-@query(f"""WITH {V.FRAMES_SQL} SELECT video_id, frame_idx, round(sum(CASE WHEN freq BETWEEN 35 AND 145 THEN mag ELSE 0 END), 6) AS kick, round(sum(CASE WHEN freq BETWEEN 35 AND 220 THEN mag ELSE 0 END), 6) AS bass,
- round(sum(CASE WHEN freq BETWEEN 150 AND 4200 THEN mag ELSE 0 END), 6) AS clap, round(sum(CASE WHEN freq >= 4200 THEN mag ELSE 0 END), 6) AS hihat FROM bins GROUP BY ALL""")
+@query(f"WITH {V.FRAMES_SQL}, b AS (SELECT video_id, frame_idx, {_BAND_SUMS} FROM bins GROUP BY ALL) SELECT video_id, frame_idx, {', '.join(f'round({b}, 6) AS {b}' for b in _BANDS)} FROM b")
 def d4_band_energy(spark, d):
-    """The bands overlap, so each is a conditional sum over one pass instead of a join."""
-    band = lambda name, lo, hi: r6(F.sum(F.when(F.col("freq").between(lo, hi), F.col("mag")).otherwise(0.0)), name)
-    return V.bins(spark, d).groupBy("video_id", "frame_idx").agg(band("kick", 35, 145), band("bass", 35, 220), band("clap", 150, 4200), band("hihat", 4200, 1e12))
+    return _bands(spark, d).select("video_id", "frame_idx", *[r6(b, b) for b in _BANDS])
 
 
-@query(f"""WITH {V.FRAMES_SQL}, px AS (SELECT video_id, frame_idx, (i - 1) // 8 AS y, (i - 1) % 8 AS x, (vec[i] + 0.6) / 1.2 * 255 AS g FROM (SELECT video_id, frame_idx, [CAST(v AS DOUBLE) for v in vec] AS vec, unnest(range(1, len(vec) + 1)) AS i FROM frames)),
-n AS (SELECT *, lag(g) OVER r AS l, lead(g) OVER r AS rr, lag(g) OVER c AS u, lead(g) OVER c AS dd FROM px WINDOW r AS (PARTITION BY video_id, frame_idx, y ORDER BY x), c AS (PARTITION BY video_id, frame_idx, x ORDER BY y))
-SELECT video_id, frame_idx, round(avg(g) / 255, 6) AS brightness, round(stddev_pop(g) / 80, 6) AS contrast, round(var_pop(coalesce(l, rr) + coalesce(rr, l) + coalesce(u, dd) + coalesce(dd, u) - 4 * g) / 520, 5) AS sharpness FROM n GROUP BY ALL""")
+def _smooth3(b: str) -> str:
+    w = "PARTITION BY video_id ORDER BY frame_idx"
+    full = f"OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""CASE WHEN n < 3 THEN {b} ELSE (sum({b}) OVER ({w} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) + CASE WHEN frame_idx = 0 THEN first_value({b}) {full} ELSE 0 END + CASE WHEN frame_idx = n - 1 THEN last_value({b}) {full} ELSE 0 END) / 3 END AS {b}"""
+
+
+def _norm(b: str) -> str:
+    lo, hi = (f"quantile_cont({b}, {q}) OVER (PARTITION BY video_id)" for q in (0.02, 0.98))
+    return f"CASE WHEN {hi} - {lo} >= 1e-8 THEN least(greatest(({b} - {lo}) / ({hi} - {lo}), 0.0), 1.0) ELSE 0.0 END AS {b}"
+
+
+@query(f"""WITH {V.FRAMES_SQL}, b AS (SELECT video_id, frame_idx, frame_idx * 0.5 AS t, {_BAND_SUMS} FROM bins GROUP BY ALL), b1 AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM b),
+b2 AS (SELECT video_id, frame_idx, t, {', '.join(_smooth3(b) for b in _BANDS)} FROM b1), b3 AS MATERIALIZED (SELECT video_id, t, {', '.join(_norm(b) for b in _BANDS)} FROM b2),
+q AS (SELECT video_id, CAST(k * 0.75 AS DOUBLE) AS qt FROM (SELECT video_id, unnest(range(0, CAST(floor(CAST(duration AS DOUBLE) / 0.75) AS BIGINT))) AS k FROM sources)),
+a AS (SELECT q.*, (SELECT max(t) FROM b3 x WHERE x.video_id = q.video_id AND t <= qt) AS ta, (SELECT min(t) FROM b3 x WHERE x.video_id = q.video_id AND t >= qt) AS tb FROM q)
+SELECT a.video_id, qt AS t, {', '.join(f'round(CASE WHEN tb IS NULL OR ta = tb THEN x.{b} ELSE x.{b} + (y.{b} - x.{b}) * (qt - ta) / (tb - ta) END, 6) AS {b}' for b in _BANDS)}
+FROM a JOIN b3 x ON x.video_id = a.video_id AND x.t = ta LEFT JOIN b3 y ON y.video_id = a.video_id AND y.t = tb""")
+def d4_band_curves(spark, d):
+    """Bands smoothed, normalised and read off at beats, here every 0.75 s: one pass over knots and beats for all four."""
+    g = Window.partitionBy("video_id")
+    b = _bands(spark, d)
+    b = b.select("video_id", "frame_idx", "t", *[C.smooth(F.col(c), "video_id", "frame_idx", 3).alias(c) for c in _BANDS])
+    b = b.select("video_id", "t", F.struct("t", *[C.normalise(F.col(c), g).alias(c) for c in _BANDS]).alias("k"))
+    beats = V.sources(spark, d).select("video_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration") / 0.75).cast("int") - 1)).alias("i")).select("video_id", (F.col("i") * F.lit(0.75).cast("double")).alias("t"))
+    got = C.around(beats, b, "video_id", "t", F.col("k"))
+    share = F.coalesce(F.try_divide(F.col("t") - F.col("before.t"), F.col("after.t") - F.col("before.t")), F.lit(0.0))
+    line = lambda c: F.coalesce(F.col(f"before.{c}") + (F.col(f"after.{c}") - F.col(f"before.{c}")) * share, F.col(f"before.{c}"))
+    return got.select("video_id", "t", *[r6(line(c), c) for c in _BANDS])
+
+
+@query(f"WITH {V.FRAMES_SQL}{_STATS} SELECT video_id, frame_idx, {', '.join(f'round({c}, 5) AS {c}' for c in _SHOWN[:5])} FROM stats")
 def d12_frame_statistics(spark, d):
-    """Brightness, contrast and sharpness (variance of the mirrored four-neighbour Laplacian) of each frame."""
-    from pyspark.sql import Window
+    """Brightness, contrast, saturation, sharpness (variance of the mirrored four-neighbour Laplacian) and colourfulness of each frame."""
+    return _stats(spark, d).select("video_id", "frame_idx", *[F.round(c, 5).alias(c) for c in _SHOWN[:5]])
+
 
-    px = V.frames(spark, d).select("video_id", "frame_idx", F.posexplode("vec").alias("i", "v"))
-    px = px.select("video_id", "frame_idx", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x"), ((F.col("v").cast("double") + 0.6) / 1.2 * 255).alias("g"))
-    row, col = Window.partitionBy("video_id", "frame_idx", "y").orderBy("x"), Window.partitionBy("video_id", "frame_idx", "x").orderBy("y")
-    px = px.withColumns({"l": F.lag("g").over(row), "r": F.lead("g").over(row), "u": F.lag("g").over(col), "b": F.lead("g").over(col)})
-    lap = F.coalesce("l", "r") + F.coalesce("r", "l") + F.coalesce("u", "b") + F.coalesce("b", "u") - 4 * F.col("g")
-    return px.groupBy("video_id", "frame_idx").agg(r6(F.avg("g") / 255, "brightness"), r6(F.stddev_pop("g") / 80, "contrast"), F.round(F.var_pop(lap) / 520, 5).alias("sharpness"))
+def _signed(spark, d, model: str = "no_ai"):
+    parts = (F.lit("v1"), F.col("path"), F.col("length").cast("string"), F.col("mtime").cast("string"), F.lit(model))
+    return V.sources(spark, d).withColumn("signature", F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 24))
 
 
-@query(f"WITH {V.FRAMES_SQL} SELECT video_id, substr(sha1(concat_ws('|', 'v1', path, CAST(length AS VARCHAR), CAST(mtime AS VARCHAR))), 1, 24) AS signature FROM sources")
+@query(f"""WITH {V.FRAMES_SQL}, g AS (SELECT *, substr(sha1(concat_ws('|', 'v1', path, CAST(length AS VARCHAR), CAST(mtime AS VARCHAR), 'no_ai')), 1, 24) AS signature FROM sources)
+SELECT video_id, signature, concat(substr(sha1(regexp_replace(path, '[^A-Za-z0-9_.-]+', '_', 'g')), 1, 8), '_', signature, '.json') AS cache_key FROM g""")
 def b25_source_signature(spark, d):
-    return V.sources(spark, d).select("video_id", F.substring(F.sha1(F.concat_ws("|", F.lit("v1"), "path", F.col("length").cast("string"), F.col("mtime").cast("string"))), 1, 24).alias("signature"))
+    """A source's signature (version, path, size, time, tagger) and the name of its document in a cache."""
+    name = F.substring(F.sha1(S.safe_token(F.col("path"))), 1, 8)
+    return _signed(spark, d).select("video_id", "signature", F.concat(name, F.lit("_"), "signature", F.lit(".json")).alias("cache_key"))
 
 
 @query(f"WITH {V.FRAMES_SQL} SELECT video_id FROM sources WHERE video_id % 3 <> 0")
 def e7_library_misses(spark, d):
     """Sources whose signature the library lacks: an anti-join, here against the sources of every third video."""
-    now = b25_source_signature(spark, d)
+    now = _signed(spark, d)
     library = now.where("video_id % 3 = 0").select("signature")
     return now.join(library, "signature", "left_anti").select("video_id")

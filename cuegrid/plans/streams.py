@@ -17,12 +17,24 @@ tk(track_id, rn, t, last, keep) AS (SELECT track_id, rn, t, t, true FROM to_ WHE
  FROM tk k JOIN to_ o ON o.track_id = k.track_id AND o.rn = k.rn + 1)"""
 
 
-@query(f"WITH RECURSIVE {V.EVENTS_SQL}{_thinned(0.58)} SELECT track_id, round(t, 6) AS t FROM tk WHERE keep")
+@query(f"WITH RECURSIVE {V.EVENTS_SQL}{_thinned(0.58)} SELECT track_id, round(t, 6) AS t FROM tk WHERE keep AND t <= (SELECT (max(epoch_us(ts)) - 259200000000 - 1704067200000000) / 54000000000.0 FROM events)")
 def k1_stream_thinning(spark, d):
-    """The events as a stream of files, thinned by key with the last kept time as state."""
+    """The events as a stream of eight files, one a batch, whose times overlap: what comes early waits for the watermark, the last kept
+    time is carried over. Times within three days of the newest event are still open."""
     us = F.unix_micros("at") - F.lit(1704067200000000)
-    s = T.event_stream(spark, d).select(F.col("user_id").alias("track_id"), (us / F.lit(54000000000.0)).alias("t"))
-    return T.drained(T.thin_stream(s, "track_id", "t", 0.58)).select("track_id", r6("t", "t"))
+    s = T.event_stream(spark, d, 8).select(F.col("user_id").alias("track_id"), "at", (us / F.lit(54000000000.0)).alias("t"))
+    return T.drained(T.thin_stream(s, "track_id", "at", "t", 0.58, "3 days")).select("track_id", r6("t", "t"))
+
+
+@query(f"WITH {V.FRAMES_SQL} SELECT video_id, CASE WHEN video_id % 2 = 0 THEN 2 ELSE 1 END AS batch, duration + CASE WHEN video_id % 2 = 0 THEN 1 ELSE 0 END AS duration FROM sources")
+def k2_incremental_library(spark, d):
+    """A library kept by signature: all sources arrive, then all again, of which every second has changed; only these are worked on again."""
+    from .scenes import _signed
+
+    first = _signed(spark, d).select("video_id", "signature", "duration")
+    changed = F.col("video_id") % 2 == 0
+    again = first.select("video_id", F.when(changed, F.concat("signature", F.lit("x"))).otherwise(F.col("signature")).alias("signature"), (F.col("duration") + changed.cast("int")).alias("duration"))
+    return T.keep_library(spark, [first, again])
 
 
 @query("""WITH w AS (SELECT event_type, value, (epoch_us(ts) // 10800000000 - k) * 10800 AS start FROM events, (SELECT unnest([0, 1]) AS k)), m AS (SELECT max(epoch_us(ts)) / 1000000 - 86400 AS mark FROM events)
@@ -38,7 +50,7 @@ def k3_stream_energy(spark, d):
  UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= 2.5 OR o.t = 48 THEN o.t ELSE k.last END, o.t - k.last >= 2.5 OR o.t = 48 FROM k JOIN ro o ON o.track_id = k.track_id AND o.rn = k.rn + 1)
 SELECT track_id, t FROM k WHERE keep""")
 def f2_merge_boundaries(spark, d):
-    return O.merge_boundaries(V.beats(spark, d), "track_id", "t", V.DURATION, 2.5).select("track_id", F.explode("bounds").alias("t"))
+    return O.merge_boundaries(V.beats(spark, d), "track_id", "t", V.DURATION, 2.5)
 
 
 @query(f"""WITH RECURSIVE {V.EVENTS_SQL}{_thinned(0.9)}, b AS (SELECT beats.track_id, beat_idx, beats.t, (SELECT max(x.t) FROM tk x WHERE x.keep AND x.track_id = beats.track_id AND x.t <= beats.t) AS p,
@@ -47,13 +59,8 @@ SELECT track_id, beat_idx, round(least(coalesce(t - p, 1e9), coalesce(q - t, 1e9
 def e4_nearest_distance(spark, d):
     """From every beat to the nearest time of a thinned set: both sides in one ordered pass, no join."""
     beats = V.beats(spark, d).select("track_id", "beat_idx", "t")
-    kept = C.thin(beats, "track_id", "t", 0.9).select("track_id", F.lit(None).cast("int").alias("beat_idx"), "t")
-    o = Window.partitionBy("track_id").orderBy("t")
-    mark = F.when(F.col("beat_idx").isNull(), F.col("t"))
-    before, after = (f(mark, True).over(o.rangeBetween(*r)) for f, r in ((F.last, (Window.unboundedPreceding, 0)), (F.first, (0, Window.unboundedFollowing))))
-    got = beats.unionByName(kept).select("track_id", "beat_idx", "t", before.alias("p"), after.alias("q")).where("beat_idx IS NOT NULL")
-    far = F.lit(1e9)
-    return got.select("track_id", "beat_idx", r6(F.least(F.coalesce(F.col("t") - F.col("p"), far), F.coalesce(F.col("q") - F.col("t"), far)), "distance"))
+    got = C.nearest_distance(beats, C.thin(beats, "track_id", "t", 0.9), "track_id", "t", "distance")
+    return got.select("track_id", "beat_idx", r6("distance", "distance"))
 
 
 @query(f"""WITH {V.EVENTS_SQL}, g AS (SELECT track_id, t - lag(t) OVER (PARTITION BY track_id ORDER BY beat_idx) AS x FROM beats)
@@ -78,10 +85,3 @@ def d15_top_facts(spark, d):
     top = F.round(C.percentile(F.col("impact"), 0.88, Window.partitionBy("track_id")), 9)
     strong = _features(spark, d).select("track_id", (F.round("impact", 9) >= top).alias("hit")).groupBy("track_id").agg(F.count_if("hit").alias("strong"))
     return s.join(strong, "track_id")
-
-
-@query("""SELECT o_custkey, count(*) AS planned, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS done, count(*) = count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS complete FROM orders GROUP BY o_custkey""")
-def d17_completeness_gate(spark, d):
-    """A plan passes only if every one of its parts is done."""
-    o = V.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("planned"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
-    return o.withColumn("complete", F.col("planned") == F.col("done"))

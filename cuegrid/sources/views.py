@@ -52,6 +52,39 @@ def moments_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("quality", F.least(F.greatest(quality, F.lit(0.0)), F.lit(1.0)))
 
 
+def _field(name: str, factor: int) -> str:
+    return f"""'"{name}": 0.', (n * {factor}) % 10"""
+
+
+_NUMBERS = ("action_intensity", "beauty_score", "combat", "chase", "explosion", "character_focus", "camera_motion", "visual_quality")
+_SAYS = "CASE n % 5 WHEN 0 THEN 'soft' WHEN 1 THEN ' Tension' WHEN 2 THEN 'HYPE' WHEN 3 THEN 'sad' ELSE 'neutral' END"
+_FOR = "CASE n % 6 WHEN 0 THEN 'drop' WHEN 1 THEN 'soft' WHEN 2 THEN 'build' WHEN 3 THEN 'Transition' WHEN 4 THEN 'flow' ELSE 'filler' END"
+
+
+def _object(numbers: str, says: str = _SAYS, text: str = "concat('moment ', n)") -> str:
+    return f"""concat('{{', {numbers}, ', "emotion": "', {says}, '", "recommended_use": "', {_FOR}, '", "description": "', {text}, '"}}')"""
+
+
+_ALL = ", ', ', ".join(_field(k, 2 * i + 1) for i, k in enumerate(_NUMBERS))
+#: A tagger's reply for the number n, in SQL that Spark and DuckDB both read: seven shapes, four of them valid.
+REPLY = f"""CASE n % 7 WHEN 0 THEN {_object(_ALL)} WHEN 1 THEN concat('```json', chr(10), {_object(_ALL)}, chr(10), '```') WHEN 2 THEN concat('Here: ', {_object(_ALL)}, ' done')
+ WHEN 3 THEN {_object(_ALL.rpartition(", ', ', ")[0])} WHEN 4 THEN {_object(_ALL, "'odd'")} WHEN 5 THEN {_object(_ALL.replace("'\"action_intensity\": 0.'", "'\"action_intensity\": 1.'").replace(_field("beauty_score", 3), "'\"beauty_score\": \"x\"'"))} ELSE {_object(_ALL, text="' '")} END"""
+
+
+def tag_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, id, reply): what a tagger said of some moments, one reply a document."""
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("n"))
+    return docs.select((F.col("n") % 10 + 1).alias("video_id"), F.expr("n div 10 + 1").alias("id"), F.expr(REPLY).alias("reply"))
+
+
+REPLIES_SQL = f"""replies AS (SELECT n % 10 + 1 AS video_id, n // 10 + 1 AS id, n, {REPLY} AS reply FROM (SELECT doc_id AS n FROM documents WHERE doc_id IS NOT NULL)),
+rj AS (SELECT *, regexp_extract(reply, '\\{{.*\\}}', 0, 's') AS j FROM replies),
+rp AS (SELECT video_id, id, n, {', '.join(f"json_extract_string(j, '$.{k}') AS {k}" for k in _NUMBERS)}, lower(trim(json_extract_string(j, '$.emotion'))) AS emotion,
+ lower(trim(json_extract_string(j, '$.recommended_use'))) AS recommended_use, trim(json_extract_string(j, '$.description')) AS description FROM rj),
+valid AS (SELECT video_id, id, n, {', '.join(f"least(greatest(coalesce(TRY_CAST({k} AS DOUBLE), 0.0), 0.0), 1.0) AS {k}" for k in _NUMBERS)}, emotion, recommended_use, substr(description, 1, 160) AS description
+ FROM rp WHERE {' AND '.join(f'{k} IS NOT NULL' for k in _NUMBERS)} AND emotion IN ('soft', 'tension', 'hype', 'sad', 'neutral') AND recommended_use IN ('drop', 'soft', 'build', 'transition', 'flow', 'filler') AND length(description) > 0)"""
+
+
 EVENTS_SQL = """beats AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS beat_idx,
  (epoch_us(ts) - 1704067200000000) / 54000000000.0 AS t, event_type, value, props FROM events),
 curves AS (SELECT track_id, beat_idx, t, value AS rms,

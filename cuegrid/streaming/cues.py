@@ -1,4 +1,4 @@
-"""Streaming forms: thinning by the last kept time, and energy by hopping window."""
+"""Streaming forms: thinning by the last kept time, energy by hopping window, an incremental library."""
 
 from __future__ import annotations
 
@@ -10,45 +10,94 @@ from pyspark.sql import functions as F
 from ..sources.shared import shared_dir
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream, with `at` as a timestamp."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir).withColumn("at", F.col("ts").cast("timestamp"))
+def event_stream(spark: SparkSession, sf_dir: str, files: int = 0) -> DataFrame:
+    """The events table as a file stream, with `at` as a timestamp.
+
+    With `files` the events are first dealt to so many files by time (in the shared folder), each up to two days later than it happened, and a
+    batch reads one of them: neighbouring batches overlap in time, as late data does."""
+    if files:
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
+        to = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
+        when = F.unix_seconds(F.col("ts").cast("timestamp"))
+        first, last = events.agg(F.min(when), F.max(when)).first()
+        no = F.least(F.floor((when + F.pmod(F.xxhash64("event_id"), F.lit(172_800)) - first) / max(1, -(-(last - first) // files))), F.lit(files - 1))
+        for i in range(files):
+            events.where(no == i).coalesce(1).write.mode("append").parquet(to)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(to)
+    else:
+        schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    return stream.withColumn("at", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is available now goes through the stream into a table in the shared folder; its rows."""
+    """All that is available now goes through the stream into a table in the shared folder; its rows. What still waits for the watermark is not among them."""
     spark = stream.sparkSession
     to = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{to}-log").outputMode(mode).trigger(availableNow=True).start(f"{to}-rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{to}-rows")
 
 
-def thin_stream(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame:
-    """(key, t): times at least `gap` after the key's last kept one. The state is that time.
+def thin_stream(stream: DataFrame, key: str, at: str, t: str, gap: float, late: str) -> DataFrame:
+    """(key, t): times at least `gap` after the key's last kept one, whatever the order in which they come.
 
-    Within a batch a key's times are sorted; a time not `gap` after what an earlier batch kept goes, so rows that come late
-    never undo an earlier choice. Times that are null or not finite are dropped.
+    The state is the last kept time and the times that are still within `late` of the newest event: an earlier one may yet come before
+    them. They are decided, in order, once the watermark has passed them, by the next row of the key or by a timer. Rows later than the watermark are
+    dropped by it; null and not finite times are dropped.
     """
     import numpy as np
     import pandas as pd
 
-    def keep(k, parts, state):
-        last = state.get[0] if state.exists else None
-        times = np.sort(np.concatenate([p[t].to_numpy(dtype=float) for p in parts]))
+    def decide(last: float | None, waiting: list[tuple[float, float]], until: float) -> tuple[list[float], float | None, list[tuple[float, float]]]:
         kept = []
-        for x in times[np.isfinite(times)]:
+        waiting = sorted(waiting)
+        ready = [x for x in waiting if x[0] <= until]
+        for _, x in ready:
             if last is None or x - last >= gap:
                 kept.append(x)
                 last = x
-        if last is not None:
-            state.update((last,))
+        return kept, last, waiting[len(ready):]
+
+    def keep(k, parts, state):
+        last, waiting = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (None, [])
+        for p in parts:
+            new = p[np.isfinite(p[t].to_numpy(dtype=float))]
+            waiting += zip((new["__at"].astype("int64")).tolist(), new[t].tolist())
+        mark = state.getCurrentWatermarkMs()
+        kept, last, waiting = decide(last, waiting, mark)
+        if waiting or last is not None:
+            state.update((last, [int(a) for a, _ in waiting], [float(x) for _, x in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(max(waiting[0][0] + 1, mark + 1))
         yield pd.DataFrame({key: [k[0]] * len(kept), t: kept})
 
-    return stream.select(key, t).groupBy(key).applyInPandasWithState(keep, f"{key} long, {t} double", "last double", "append", "NoTimeout")
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.withWatermark(at, late).select(key, t, at, F.unix_millis(at).alias("__at"))
+    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, {t} double", "last double, at array<long>, waiting array<double>", "append", "EventTimeTimeout")
 
 
 def energy_stream(stream: DataFrame, at: str, band: str, value: str, length: str, hop: str, late: str) -> DataFrame:
     """(start, band, energy, n): sums by hopping window and band, each emitted once the watermark has passed its end."""
     w = stream.withWatermark(at, late).groupBy(F.window(at, length, hop).alias("w"), band)
     return w.agg(F.sum(value).alias("energy"), F.count("*").alias("n")).select(F.col("w.start").alias("start"), band, "energy", "n")
+
+
+def keep_library(spark: SparkSession, arrivals: list[DataFrame]) -> DataFrame:
+    """(video_id, batch, duration): a library that a stream of source lists (video_id, signature, duration) keeps up to date.
+
+    Each batch is met with the library by signature: what is known is left out, what is new or changed is worked on and replaces its video's folder.
+    A batch that is run again after a failure finds its own signatures and does nothing."""
+    to = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
+    schema = "signature string, batch long, duration double, video_id long"
+    arrivals[0].limit(0).select("signature", F.lit(0).cast("long").alias("batch"), F.col("duration").cast("double").alias("duration"), F.col("video_id").cast("long").alias("video_id")).write.partitionBy("video_id").parquet(f"{to}-library")
+
+    def upsert(batch: DataFrame, no: int) -> None:
+        known = batch.sparkSession.read.schema(schema).parquet(f"{to}-library").select("signature")
+        new = batch.join(known, "signature", "left_anti").select("signature", F.lit(no + 1).cast("long").alias("batch"), F.col("duration").cast("double").alias("duration"), F.col("video_id").cast("long").alias("video_id"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{to}-library")
+
+    for rows in arrivals:
+        rows.coalesce(1).write.mode("append").parquet(f"{to}-lists")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{to}-lists")
+        stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{to}-log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{to}-library").select("video_id", "batch", "duration")

@@ -3,15 +3,20 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cuegrid.functions.scalars import jitter
+from cuegrid.operators import cuts as K
 from cuegrid.operators import features as O
 from cuegrid.operators import library as L
+from cuegrid.operators import planning as P
 from cuegrid.operators import scenes as N
+from cuegrid.operators import tagging as G
+from cuegrid.sources import ingest as I
 
 
 @pytest.mark.parametrize("times, want", [([], [0.0, 20.0]), ([3.0, 9.9, 12.0], [0.0, 12.0, 20.0]), ([float("nan"), 10.0, 19.0, 25.0], [0.0, 10.0, 20.0])])
 def test_merged_boundaries_keep_the_ends(spark, times, want):
     df = spark.createDataFrame([(1, x) for x in times] + [(1, None)], "k long, t double")
-    assert O.merge_boundaries(df, "k", "t", 20.0, 10.0).first()["bounds"] == want
+    assert sorted(r.t for r in O.merge_boundaries(df, "k", "t", 20.0, 10.0).collect()) == want
 
 
 def test_windows_of_scenes(spark):
@@ -39,10 +44,78 @@ def test_walk_respects_gaps_and_holds(spark):
 
 def test_pruned_plan_equals_full_plan(spark):
     rng = np.random.default_rng(5)
-    m = pd.DataFrame(rng.random((40, 7)), columns=["motion", "contrast", "saturation", "brightness", "sharpness", "colorfulness", "quality"])
-    m["video_id"], m["id"], m["album"], m["duration"] = np.arange(40) % 3, np.arange(40, dtype="int32"), 0, rng.uniform(0.1, 3, 40)
-    moments = L.score_moments(spark.createDataFrame(m).withColumn("id", F.col("id").cast("int")))
+    m = pd.DataFrame(rng.random((90, 7)), columns=["motion", "contrast", "saturation", "brightness", "sharpness", "colorfulness", "quality"])
+    m["video_id"], m["id"], m["album"], m["duration"] = np.arange(90) % 3, np.arange(90, dtype="int32"), 0, rng.uniform(0.1, 3, 90)
+    moments = G.default_tag(L.score_moments(spark.createDataFrame(m).withColumn("id", F.col("id").cast("int"))))
     seg = spark.createDataFrame([(7, i, 0, t, 1.5) for i, t in enumerate(["drop", "soft", "build", "rhythm", "flow"] * 5)], "track_id long, seg_idx int, album long, target string, seconds double")
-    plan = lambda slack: sorted(tuple(r) for r in L.plan_clips(L.candidates(seg, moments, "album", slack)).collect())
-    pruned, whole = plan(L.SLACK), plan(100.0)
+    pairs = L.scored_pairs(seg, moments, "album")
+    assert pairs.count() == 25 * 90 and L.candidates(pairs).count() < pairs.count()
+    plan = lambda prune: sorted(tuple(r) for r in L.plan_clips(L.candidates(pairs, prune=prune)).collect())
+    pruned, whole = plan(True), plan(False)
     assert pruned == whole and len(pruned) == 25 and len({r[3] for r in pruned}) > 10
+    # and a plain walk over all pairs
+    rows = pairs.withColumn("j", L.JITTER * jitter(F.col("track_id"), F.col("seg_idx"), F.col("target"), F.col("video_id"), F.col("id"))).toPandas()
+    said = []
+    for i in range(25):
+        def worth(r):
+            ids, videos = [x[1] for x in said], [x[0] for x in said]
+            lost = 0.28 * (r.id in ids[-10:]) + 0.10 * (r.video_id in videos[-5:]) + min(0.28, 0.10 * ids.count(r.id)) + min(0.18, 0.012 * videos.count(r.video_id))
+            return r.base + r.j - lost
+        best = max(rows[rows.seg_idx == i].itertuples(), key=worth)
+        said.append((best.video_id, best.id))
+    assert said == [(r[2], r[3]) for r in whole]
+
+
+def test_a_tagger_is_asked_again(spark):
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "k long, prompt string").coalesce(1)
+    tag = '{"emotion": "sad", "recommended_use": "flow", "description": "d", ' + ", ".join(f'"{n}": 0.5' for n in G.NUMBERS) + "}"
+
+    def make():
+        seen = {}
+
+        def ask(prompts):
+            out = []
+            for p in prompts:
+                seen[p] = seen.get(p, 0) + 1
+                n = int(p[1:])
+                # odd ones only when asked again; 8 to 15 never in a crowd
+                out.append(tag if (n < 8 and (n % 2 == 0 or seen[p] > 1)) or (8 <= n < 16 and len(prompts) <= 2) else "no" if n != 17 else None)
+            return out
+
+        return ask
+
+    got = {r.k: r.reply for r in G.ask_tagger(df, make, 8).collect()}
+    assert [k for k, v in got.items() if v is None] == [16, 17, 18, 19]
+
+
+def test_replies_and_merge_edges(spark):
+    whole = '{"emotion": "sad", "recommended_use": "drop", "description": "' + "d" * 300 + '", ' + ", ".join(f'"{n}": 0.5' for n in G.NUMBERS) + "}"
+    texts = [whole, whole.replace('"combat": 0.5', '"combat": "nan"'), whole.replace('"chase": 0.5, ', ""), "", None, "no object", "{broken", whole.replace("sad", "odd"), "```\n" + whole + "\n```"]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, r string").select("k", G.parsed(F.col("r")).alias("t")).orderBy("k").select("t.reason", "t.combat", F.length("t.description").alias("n")).collect()
+    assert [r.reason for r in got] == [None, None, "chase", "object", "object", "object", "object", "emotion", None]
+    assert got[1].combat == 0.0 and got[0].n == 160 and got[8].reason is None
+
+
+def test_peaks_tempo_and_clean_up_on_small_curves(spark):
+    x = [0, 1, 0, 0, 5, 0, 0, 4, 0, 0, 0, 6, 0, 0]
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "k long, i int, x double")
+    assert sorted(tuple(r) for r in P.peaks(df, "k", "i", "x", reach=1, wait=4).collect()) == [(1, 1, 0), (1, 7, 6), (1, 11, 10)]
+    beat = spark.createDataFrame([(1, i, 1.0 if i % 4 == 0 else 0.0) for i in range(64)], "k long, i int, x double")
+    assert P.tempo(beat, "k", "i", "x", 8.0).first().tempo == 120.0
+    feat = spark.createDataFrame([(t, i, i * 0.5, 0.5, 0.5, i % 4 == 0, i % 8 == 0) for t in (1, 2) for i in range(40)], "track_id long, beat_idx int, t double, impact double, wave double, bar boolean, phrase boolean")
+    cuts = spark.createDataFrame([(1, i * 0.5 + 0.01) for i in range(40)] + [(2, 3.0)], "track_id long, t double")
+    got = K.clean_up(cuts, feat, 20.0).toPandas()
+    assert len(got[got.track_id == 1]) == 18 and len(got[got.track_id == 2]) == 9
+    assert K.clean_up(cuts.limit(0), feat, 20.0).count() == 0 and K.with_fallback(cuts.limit(0), feat).count() == 20
+
+
+def test_ingest_edges(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        I.media_files(spark, str(tmp_path))
+    for name in ("a.mp4", "b.MKV", "c.txt"):
+        (tmp_path / name).write_bytes(b"x" * 7)
+    assert sorted(r.path[-5:] for r in I.media_files(spark, str(tmp_path)).collect()) == ["a.mp4", "b.MKV"]
+    logs = spark.createDataFrame([(1, "pts_time:1.0"), (1, "pts_time:1.05 x"), (1, "pts_time:1.08"), (1, "none"), (1, "pts_time:1.2.3"), (2, None)], "k long, value string")
+    assert sorted(tuple(r) for r in I.scene_times(logs, "k").collect()) == [(1, 1.0), (1, 1.08)]
+    with pytest.raises(ValueError):
+        I.read_series(spark, str(tmp_path / "s"), "track_id long", "csv", spark.range(1).select(F.col("id").alias("track_id"))) if (spark.range(0).write.csv(str(tmp_path / "s")) is None) else None
