@@ -36,7 +36,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 #: Flags of a word, in the last bits of its hash: a number, a unit, a capitalised word, one that ends a sentence, no word at all.
 IS_NUM, IS_UNIT, IS_NAME, IS_STOP, IS_NONE, FLAGS = 1, 2, 4, 8, 16, 31
 #: Words that a worker remembers.
-MEMO = 150_000
+MEMO = 100_000
 
 
 class _Canon(dict):

@@ -20,7 +20,7 @@ SMALL, DEPTH, BLOCK = 64, 3, 600
 #: A leaf's number starts with that of its run, at this bit.
 RUN_BIT = 58
 #: Rows that a task turns over at once, and words it remembers: bounds of its memory beside one bucket.
-ROWS, MEMO = 1_000, 150_000
+ROWS, MEMO = 1_000, 100_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

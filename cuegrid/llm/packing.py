@@ -19,6 +19,8 @@ from .common import materialise
 #: Windows of one merge group; with OPEN windows from each member a group stays at a few thousand rows.
 FAN_IN = 64
 OPEN = 64
+#: Rows and ids that a task gathers before it hands them on.
+ROWS, IDS = 4096, 1 << 19
 
 
 def encoder(path: str):
@@ -113,11 +115,13 @@ def _pack_partition(tokenizer: str, capacity: int, open_windows: int, end_id: in
                         if closed is not None:
                             out.extend(held.pop(closed))
                         held.setdefault(window, []).append((*row, base + window, offset, False, *tail))
-                if len(out) >= 8192:
+                if len(out) >= ROWS or (keep_ids and sum(r[2] for r in out) >= IDS):
                     yield flush()
         still = len(schema.names) - 1 if not keep_ids else len(schema.names) - 2
         for rows in held.values():
             out.extend((*r[:still], True, *r[still + 1 :]) for r in rows)
+            if len(out) >= ROWS:
+                yield flush()
         if out:
             yield flush()
 

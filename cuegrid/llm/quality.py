@@ -16,8 +16,8 @@ from .suffixes import suffix_order
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Words that are suffix-sorted together.
-CHUNK_WORDS = 1_000_000
+#: Words that are suffix-sorted together, about.
+CHUNK_WORDS = 300_000
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat")
 
 
@@ -90,7 +90,7 @@ def measure(texts: list[str | None], window: int, max_longest: int) -> dict[str,
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Slices of about CHUNK_WORDS words, of one row at least. Rows stay in Arrow, so no id goes through a float."""
+    """Slices of about CHUNK_WORDS words (six characters each), of one row at least. Rows stay in Arrow, so no id goes through a float."""
     for batch in batches:
         size = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
@@ -122,7 +122,7 @@ def repetition_rules(
     Returns doc_id, n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word
     that equal an earlier line), n_repeat_words, base_failed, kept and longest_repeat, one row for each
     input row, repeated rows and null doc_ids included. Null and empty texts have no words and fail. Whole texts are read; other columns are not, whatever their names.
-    An empty table gives an empty table. Memory per task is one batch: the documents of about a million words, or one longer document.
+    An empty table gives an empty table. Memory per task is one batch: the documents of about 300,000 words, or one longer document.
     """
     key = df.schema["doc_id"]
     schema = T.StructType([key, *[T.StructField(n, T.LongType()) for n in MEASURES]])
