@@ -56,9 +56,56 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), 400)
 
 
+def base_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op4_sharding's rows."""
+    return op4_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
+def base_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op3_pii's rows: the base spans of each kind, counted."""
+    return op3_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op8_quality's rows: the base measures and their verdict."""
+    return op8_quality(spark, sf_dir).drop("kept")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op9_secrets' rows: the base spans of each kind, counted."""
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op5_jaccard_join, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)}
+    numbered = (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op5_jaccard_join, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)
+    return {f.__name__: f for f in (*numbered, base_sizes, base_personal, base_quality, base_secrets)}
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+SQL = {
+    "base_sizes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, 'key' AS law FROM documents",
+    "base_personal": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+ [{_DIGITS} for x in regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] AS c, [{_DIGITS} for x in regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')] AS p FROM d)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len([x for x in i if len([q for q in string_split(x, '.') if len(ltrim(q, '0')) > 3 OR CAST(right(q, 3) AS INT) > 255]) = 0]) AS BIGINT) AS n_ip,
+ CAST(len([x for x in c if len(x) BETWEEN 14 AND 19 AND list_sum([CASE WHEN (len(x) - k) % 2 = 1 THEN (2 * CAST(x[k] AS INT)) // 10 + (2 * CAST(x[k] AS INT)) % 10 ELSE CAST(x[k] AS INT) END for k in range(1, len(x) + 1)]) % 10 = 0]) AS BIGINT) AS n_card,
+ CAST(len([x for x in p if len(x) BETWEEN 10 AND 15]) AS BIGINT) AS n_phone FROM m""",
+    "base_quality": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^ 	-
+]+')) AS word, generate_subscripts(regexp_extract_all(t, '[^ 	-
+]+'), 1) AS i FROM d),
+f AS (SELECT doc_id, i, CASE WHEN lead(word, 4) OVER o IS NOT NULL THEN concat_ws(' ', word, lead(word) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o, lead(word, 4) OVER o) END AS five FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, five) AS n FROM f WHERE five IS NOT NULL) WHERE n > 1), r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 5)) AS i FROM g) GROUP BY doc_id),
+l AS (SELECT doc_id, t, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^ 	-
+]')] AS lines FROM d), m AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+v AS (SELECT l.doc_id, coalesce(m.n, 0) AS n_words, CAST(length(regexp_replace(t, '[ 	-
+]', '', 'g')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+ CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM l LEFT JOIN m ON m.doc_id = l.doc_id LEFT JOIN r ON r.doc_id = l.doc_id)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v""",
+    "base_secrets": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id,
+ CAST(len([x for x in regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1) if length(x) >= 6]) AS BIGINT) AS n_assign,
+ CAST(len([x for x in regexp_extract_all(t, 'AKIA[A-Z0-9]+') if length(x) >= 20]) AS BIGINT) AS n_access, CAST(len([x for x in regexp_extract_all(t, '[0-9a-f]+') if length(x) >= 24]) AS BIGINT) AS n_hex FROM d""",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the numbered ones are held to brute force in tests."""
+    return dict(SQL)
