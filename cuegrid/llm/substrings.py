@@ -53,7 +53,7 @@ class _Hashes:
 
 
 def _contexts(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(s1, s2, anchor, anchor hash, context hash): runs of windows of `length` bytes that share an anchor.
+    """(s1, s2, anchor, anchor hash): runs of windows of `length` bytes that share an anchor.
 
     A window's anchor is the gram in it with the least hash, the leftmost on a tie, so equal windows have
     equal anchors at equal places. Windows s1..s2 of a run cover the bytes s1..s2+length-1, the context.
@@ -73,8 +73,16 @@ def _contexts(b: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     s1 = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     s2 = np.append(s1[1:], len(least)) - 1
     anchor = (least[s1] & POS).astype(np.int64)
-    ctx = _mix(h.of(s1, s2 + length) + (anchor - s1).astype(np.uint64))
-    return s1, s2, anchor, full[anchor], ctx
+    return s1, s2, anchor, full[anchor]
+
+
+def _digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Of each context a hash of its very bytes, by another function than the anchors', and of its anchor's place: with the anchor's hash 128 bits tell contexts apart."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    got = np.fromiter((digest(raw[a:z]) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    return _mix(got + (anchors - starts).astype(np.uint64))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -107,9 +115,10 @@ def _scan(length: int):
                 parts = []
                 for lo in range(0, len(b) - length + 1, SEGMENT):
                     part = b[lo : lo + SEGMENT + length - 1]
-                    s1, s2, anchor, ah, ch = _contexts(part, length)
-                    parts.append((s1 + lo, s2 + lo, anchor + lo, ah, ch))
-                s1, s2, anchor, ah, ch = (np.concatenate(x) for x in zip(*parts, strict=True))
+                    s1, s2, anchor, ah = _contexts(part, length)
+                    parts.append((s1 + lo, s2 + lo, anchor + lo, ah))
+                s1, s2, anchor, ah = (np.concatenate(x) for x in zip(*parts, strict=True))
+                ch = _digests(raw, s1, s2 + length, anchor)
                 order = np.lexsort((s1, ch, ah))
                 head = np.ones(len(order), bool)
                 head[1:] = (ah[order][1:] != ah[order][:-1]) | (ch[order][1:] != ch[order][:-1])
@@ -166,10 +175,9 @@ def _halve(length: int):
                     if a > z or lo > hi:
                         continue
                     core = anchor - lo, anchor - hi + length  # in every window of the cell
-                    at = np.array([core[0] - s1, a - s1]), np.array([core[1] - s1, z + length - s1])
-                    new = h.of(*at)
-                    ah2 = _mix(new[:1] + np.uint64(lo) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ah & 0xFFFFFFFFFFFFFFFF))
-                    ch2 = _mix(new[1:] + np.uint64(anchor - a))
+                    new = h.of(np.array([core[0] - s1]), np.array([core[1] - s1]))
+                    ah2 = _mix(new + np.uint64(lo) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ah & 0xFFFFFFFFFFFFFFFF))
+                    ch2 = _digests(raw, np.array([a - s1]), np.array([z + length - s1]), np.array([anchor - s1]))
                     rows.append((key, a, z, anchor, anchor - z, anchor - a, int(_signed(ah2)[0]), int(_signed(ch2)[0]), lo, hi, raw[a - s1 : z + length - s1]))
             yield pd.DataFrame(rows, columns=["key", "s1", "s2", "anchor", "lo", "hi", "ah", "ch", "cell_lo", "cell_hi", "bytes"])
 
@@ -286,6 +294,8 @@ def repeated_stretches(texts: DataFrame, chosen: DataFrame, length: int, hot: in
 def remove_repeats(df: DataFrame, length: int = 400, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove every byte covered by a `length`-byte string (UTF-8) that also starts anywhere else in the corpus.
 
+    Nulls: a null text is empty, a null doc_id an id like any other. Texts of any length are read whole, in segments of a million windows.
+
     1. Texts are keyed by SHA-256; one that occurs twice and has `length` bytes goes whole. 2. Each text is
     cut into contexts: runs of windows of `length` bytes that share their anchor, the 128-byte gram of least
     hash in the window. Equal windows have equal anchors, so equal strings meet under one key. 3. Contexts
