@@ -119,3 +119,12 @@ def test_ingest_edges(spark, tmp_path):
     assert sorted(tuple(r) for r in I.scene_times(logs, "k").collect()) == [(1, 1.0), (1, 1.08)]
     with pytest.raises(ValueError):
         I.read_series(spark, str(tmp_path / "s"), "track_id long", "csv", spark.range(1).select(F.col("id").alias("track_id"))) if (spark.range(0).write.csv(str(tmp_path / "s")) is None) else None
+
+
+def test_extra_cuts_are_rare_and_far(spark):
+    """Forty cuts allow one extra: after the first beat of huge impact whose middle is far from every cut."""
+    beats = [(1, i, i * 1.0, 1.0 if i in (5, 30, 60) else 0.1, 0.95, i % 4 == 0, i % 8 == 0) for i in range(80)]
+    feat = spark.createDataFrame(beats, "track_id long, beat_idx int, t double, impact double, wave double, bar boolean, phrase boolean")
+    cuts = spark.createDataFrame([(1, 5.4)] + [(1, 40.0 + i / 4) for i in range(39)], "track_id long, t double")
+    assert [r.t for r in K.extra_cuts(cuts, feat, 80.0).collect()] == [30.5]
+    assert K.extra_cuts(cuts.limit(10), feat, 80.0).count() == 0 and K.extra_cuts(cuts.limit(0), feat, 80.0).count() == 0
