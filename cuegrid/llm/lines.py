@@ -89,35 +89,38 @@ def _parities(sh: Column) -> list[Column]:
     return [one(k) for k in range(SKETCH)]
 
 
-def _across(members: DataFrame, threshold: float, s: Scratch) -> DataFrame:
-    """Links (a, b) between components: of the pairs of members (h, root, sh) of different roots that are alike, one at least for each member that has one.
-
-    No link is found only if there is none, so called again with the wider components it ends with all of them; each call leaves half of the linked
-    components at most, and of a dense group one.
-    Exact, by prefixes: sets alike at `threshold` share one of the rarest |x| - ceil(threshold |x|) + 1 shingles of
-    each, whatever the one order of all shingles is. Of the members that share such a shingle those outside its largest component meet all others: the
-    pairs grow with the product of the two, not with the square of a group that is one component already. Both sides are dealt to blocks by hash, a row
-    for each pair of blocks; a row gives each pair of roots once, so its links stay few. Sketches of parities rule most pairs out: sets that are alike differ in
-    (1 - threshold) / (1 + threshold) of their sizes' sum at most.
-    """
-    token = members.select("h", F.explode("sh").alias("t"))
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(h, t): of each set (h, sh) the rarest |x| - ceil(threshold |x|) + 1 shingles, in one order of all shingles: sets alike at `threshold` share one of these."""
+    token = sets.select("h", F.explode("sh").alias("t"))
     rank = token.groupBy("t").agg(F.count("*").alias("f"))
     ranked = token.join(rank, "t").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))
     n = F.size("r")
     # less a little: a product that is whole must not round up
     prefix = F.slice("r", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-6).cast("int") + 1)
-    keyed = s(ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t")).join(members.select("h", "root"), "h"))
+    return ranked.select("h", F.explode(F.transform(prefix, lambda x: x["t"])).alias("t"))
+
+
+def _across(prefixes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, s: Scratch) -> DataFrame:
+    """Links (a, b) between components: of the pairs of sets (h, sh, sketch) of different roots that are alike, one at least for each set that has one.
+
+    No link is found only if there is none, so called again with the wider components it ends with all of them; each call leaves half of the linked
+    components at most, and of a dense group one.
+    Exact, by prefixes (h, t). Of the members that share such a shingle those outside its largest component meet all others: the
+    pairs grow with the product of the two, not with the square of a group that is one component already. Both sides are dealt to blocks by hash, a row
+    for each pair of blocks. Sketches of parities rule most pairs out: sets that are alike differ in (1 - threshold) / (1 + threshold) of their sizes' sum at most.
+    """
+    root = F.coalesce("root", "h").alias("root")
+    keyed = s(prefixes.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "t", root))
     by_root = keyed.groupBy("t", "root").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "root")).alias("major"), F.sum("c").alias("n"), F.count("*").alias("roots"))
     mixed = by_root.where("roots > 1").select("t", F.col("major.root").alias("major"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("major.c")) / BLOCK).cast("int").alias("parts"))
     met = s(keyed.join(mixed, "t"))
     mine = lambda n: F.pmod(F.xxhash64("h", F.lit("block")), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # those outside the token's largest component ask, all members answer
-    asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), F.lit(True).alias("asks"))
-    answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), F.lit(False).alias("asks"))
+    asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), "root", F.lit(True).alias("asks"))
+    answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), "root", F.lit(False).alias("asks"))
     row = F.struct("h", "root", "sh", *[f"q{k}" for k in range(SKETCH)])
-    drawn = members.select("h", "root", "sh", *[c.alias(f"q{k}") for k, c in enumerate(_parities(F.col("sh")))])
-    tasks = asks.unionByName(answers).join(drawn, "h").groupBy("t", "part", "block").agg(F.collect_list(F.when(F.col("asks"), row)).alias("x"), F.collect_list(F.when(~F.col("asks"), row)).alias("y"))
+    tasks = asks.unionByName(answers).join(sets, "h").groupBy("t", "part", "block").agg(F.collect_list(F.when(F.col("asks"), row)).alias("x"), F.collect_list(F.when(~F.col("asks"), row)).alias("y"))
 
     def like(x: Column, y: Column) -> Column:
         p, q = F.size(x["sh"]), F.size(y["sh"])
@@ -148,14 +151,15 @@ def linked(member: DataFrame, sets: DataFrame, threshold: float, s: Scratch) ->
     rooted = s(rooted.join(mixed, "band"))
     more = s(_verified(_apart(rooted.where(F.col("n") <= SMALL), threshold), sets, threshold).select("a", "b").distinct())
     roots = _wider(roots, more, s)
-    large = s(rooted.where(F.col("n") > SMALL).select("h").distinct().join(sets, "h"))
-    while not large.isEmpty():
-        members = s(large.join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", F.coalesce("root", "h").alias("root"), "sh"))
-        more = s(_across(members, threshold, s))
+    large = s(rooted.where(F.col("n") > SMALL).select("h").distinct().join(sets, "h").select("h", "sh", *[c.alias(f"q{k}") for k, c in enumerate(_parities(F.col("sh")))]))
+    if large.isEmpty():
+        return roots
+    prefixes = s(_prefixes(large, threshold))
+    while True:
+        more = s(_across(prefixes, large, roots, threshold, s))
         if more.isEmpty():
-            break
+            return roots
         roots = _wider(roots, more, s)
-    return roots
 
 
 def _wider(roots: DataFrame, links: DataFrame, s: Scratch) -> DataFrame:
