@@ -20,7 +20,7 @@ BOUNDS = tuple(i * (1 << 64) // BANDS - (1 << 63) for i in range(BANDS))
 #: Longs of a sketch that rules pairs out before they are compared.
 SKETCH = 4
 #: Buckets up to this size are compared pair by pair; members of larger ones by prefixes, in blocks of so many.
-SMALL, BLOCK = 24, 200
+SMALL, BLOCK = 24, 600
 
 
 def shingles(line: Column, min_chars: int = 0) -> Column:
