@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 #: Flags of a word, in the last bits of its hash: a number, a unit, a capitalised word, one that ends a sentence, no word at all.
 IS_NUM, IS_UNIT, IS_NAME, IS_STOP, IS_NONE, FLAGS = 1, 2, 4, 8, 16, 31
+#: Marks that end most words; those that end a sentence.
+ENDS, STOPS = ".,;:!?", ".:!?"
 #: Words that a worker remembers.
 MEMO = 100_000
 
@@ -46,14 +49,19 @@ class _Canon(dict):
     """
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
-        bare = EDGE.sub("", word)
+        flags, bare = 0, word
+        if not word.isalpha():
+            if word[-1] in ENDS and word[:-1].isalpha():
+                flags, bare = IS_STOP * (word[-1] in STOPS), word[:-1]
+            else:  # whatever is not letters with one mark after them
+                bare = EDGE.sub("", word)
+                low = bare.lower()
+                flags = IS_STOP * bool(STOP.search(word)) | IS_NONE * (not low) | IS_NUM * bool(NUMBER.match(low) or MIXED.match(low))
         low = bare.lower()
-        flags = IS_STOP * bool(STOP.search(word)) | IS_NONE * (not low)
-        if low:
-            flags |= IS_NUM * bool(NUMBER.match(low) or MIXED.match(low)) | IS_UNIT * (low in UNITS)
-            flags |= IS_NAME * (bare[0].isupper() and not bare.isupper() and len(bare) > 1)
+        if low in UNITS:
+            flags |= IS_UNIT
+        if low != bare and bare[0].isupper() and len(bare) > 1 and not bare.isupper():
+            flags |= IS_NAME
         got = self[word] = xxhash.xxh64_intdigest(low) & ~FLAGS | flags
         return got
 

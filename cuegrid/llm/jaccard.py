@@ -7,6 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,6 @@ class _Words(dict):
     """Hashes of words, each made when it is first asked for."""
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
@@ -69,8 +68,6 @@ def _signed(x: np.ndarray) -> list[int]:
 
 def _scan(n: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
             for lo in range(0, len(pdf), ROWS):
                 rows = []
@@ -108,8 +105,6 @@ def _tokens_of(n: int):
     """Token sets by document; a document that only shares the key of the one that was meant is left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
         for pdf in batches:
             for lo in range(0, len(pdf), ROWS):
                 out = pdf[["sid", "w", "leaves"]].iloc[lo : lo + ROWS].copy()
