@@ -130,7 +130,8 @@ def _features(spark, d):
 
 
 def _sections(spark, d, feat=None):
-    return O.sections(_features(spark, d) if feat is None else feat, D)
+    # sections read the features five times: once written, they are computed once
+    return O.sections(written(_features(spark, d)) if feat is None else feat, D)
 
 
 def _cut_beats(spark, d):
