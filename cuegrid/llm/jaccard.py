@@ -166,32 +166,37 @@ def _others(across: bool, rows: list[tuple]) -> np.ndarray:
     return out
 
 
-LIKELY = "sid long, leaf long, ba int, bb int, block int, found int, fresh int"
+LIKELY = "sid long, leaf long, ba int, bb int, block int, fresh int, near int, near_fresh int"
 
 
-def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(sid, leaf, ba, bb, block, found, fresh) of the sets that have partners here whose sample overlaps theirs by half.
+def _likely(threshold: float):
+    """(sid, leaf, ba, bb, block, fresh, near, near_fresh) of the sets that have partners here whose sample overlaps theirs by half.
 
     At similarity 0.8 the samples share about 38 of 48 tokens; fewer than half has a chance under 1e-6. A pair is
-    found in the least leaf of the run that it shares, and fresh if it shares none of an earlier run.
+    found in the least leaf of the run that it shares, and fresh if it shares none of an earlier run. Pairs whose samples reach the
+    threshold are near: what earlier runs missed of these tells their recall.
     """
     names = [c.split()[0] for c in LIKELY.split(", ")]
-    out: list[tuple] = []
-    for (leaf, a, b), rows in _groups(batches, "sample"):
-        size = np.array([len(r[2]) for r in rows], np.float32)
-        both = _overlaps([np.asarray(r[2], np.int64).view(np.uint64) for r in rows])
-        pair = (both >= 0.5 * np.minimum(size[:, None], size[None, :])) & _others(a != b, rows)
-        if pair.any():
-            pair &= ~_shared_before(leaf, rows, leaf >> RUN_BIT << RUN_BIT)
-            found = pair.sum(axis=1)
-            pair &= ~_shared_before(leaf >> RUN_BIT << RUN_BIT, rows)
-            fresh = pair.sum(axis=1)
-            out.extend((rows[i][0], leaf, a, b, rows[i][4], int(found[i]), int(fresh[i])) for i in np.flatnonzero(found).tolist())
-        if len(out) > 20_000:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for (leaf, a, b), rows in _groups(batches, "sample"):
+            size = np.array([len(r[2]) for r in rows], np.float32)
+            both = _overlaps([np.asarray(r[2], np.int64).view(np.uint64) for r in rows])
+            pair = (both >= 0.5 * np.minimum(size[:, None], size[None, :])) & _others(a != b, rows)
+            if pair.any():
+                pair &= ~_shared_before(leaf, rows, leaf >> RUN_BIT << RUN_BIT)
+                near = pair & (both >= threshold * (size[:, None] + size[None, :] - both))
+                fresh = pair & ~_shared_before(leaf >> RUN_BIT << RUN_BIT, rows)
+                counts = [x.sum(axis=1) for x in (fresh, near, near & fresh)]
+                out.extend((rows[i][0], leaf, a, b, rows[i][4], *(int(c[i]) for c in counts)) for i in np.flatnonzero(pair.any(axis=1)).tolist())
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if out:
             yield pd.DataFrame(out, columns=names)
-            out = []
-    if out:
-        yield pd.DataFrame(out, columns=names)
+
+    return run
 
 
 def _compare(threshold: float):
@@ -268,14 +273,14 @@ def _linked(docs: DataFrame, sets: DataFrame, n: int, threshold: float, target:
             .select("sid", "w", "leaves", "sample", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             .select("sid", "w", "leaves", "sample", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
         )
-        got = s(tasks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_likely, LIKELY))
+        got = s(tasks.repartition(*order).sortWithinPartitions(*order).mapInPandas(_likely(threshold), LIKELY))
         likely = got if likely is None else likely.unionByName(got)
-        found, fresh = got.agg(F.sum("found"), F.sum("fresh")).first()
+        near, fresh = got.agg(F.sum("near"), F.sum("near_fresh")).first()
         # a run misses a pair with chance q: what the runs before missed of this one's pairs is about q to their number
-        if run_no and (not found or (fresh / found) ** ((run_no + 1) / run_no) <= 1 - target):
+        if run_no and (not near or (fresh / near) ** ((run_no + 1) / run_no) <= 1 - target):
             break
         run_no += 1
-    likely = s(likely.where("fresh > 0").drop("found", "fresh"))
+    likely = s(likely.where("fresh > 0").drop("fresh", "near", "near_fresh"))
     named = s(of_set.join(sets.select("sid", "w", "d"), "sid").join(likely.select("sid").distinct(), "sid"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     source, _ = thinned(docs.select(doc_key(docs).alias("d"), text.alias("text")), "d", named)
@@ -320,7 +325,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target:
     expected), chosen by a hash all sets share. 3. In each run a set starts 6 expected paths from its sample, other ones in every run: a bucket for each
     token. Buckets over 64 sets are split: each member goes on by tokens chosen by a hash of the path, to
     depth 3. A run misses a pair of similarity 0.8 with a chance under one in a hundred. 4. Members of a bucket whose samples overlap by half are candidates.
-    The share of a run's candidate pairs that the runs before it had missed estimates the recall; runs are repeated until that is `target`.
+    The share of a run's pairs with samples that reach the threshold that the runs before it had missed estimates the recall; runs are repeated until that is `target`.
     5. Candidates are compared by exact similarity of whole token sets; buckets that even the longest
     paths leave large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
     task. A pair counts in the least bucket it shares, buckets of the same members are compared once.
