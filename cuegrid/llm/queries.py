@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lines, packing, pii, quality, secrets, sharding, substrings, toxicity
-from .common import documents
+from . import decontamination, fingerprints, jaccard, lines, packing, periodic, phrases, pii, quality, secrets, sharding, substrings, toxicity
+from .common import documents, text_of
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +56,42 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir), 400)
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) where the text of each tenth id, by CRC, repeats a stretch of its words from some word on. A null id is left as it is."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    n, g = F.size("w"), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), F.lit(1), n - a)
+    words = docs.select("doc_id", text_of().alias("text")).withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^ \t\n\x0B\f\r]+)"), F.lit(1))))
+    return words.select("doc_id", F.when(n > 0, F.array_join(F.concat(F.slice("w", F.lit(1), a), again), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.col("runs")
+    best = F.aggregate(F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), F.get(runs, F.lit(0)), lambda b, x: F.when(x["length"] * b["period"] > b["length"] * x["period"], x).otherwise(b))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    found = periodic.periodic_runs(_planted(documents(spark, sf_dir)), 6)
+    return found.select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform(runs, lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("(1000 * best.length) div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_check(documents(spark, sf_dir))
+
+
+def base_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op13_fingerprints' rows: the lengths and the edited texts."""
+    return op13_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def base_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op4_sharding's rows."""
     return op4_sharding(spark, sf_dir).select("doc_id", "size", "law")
@@ -77,12 +113,23 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op5_jaccard_join, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings)
-    return {f.__name__: f for f in (*numbered, base_sizes, base_personal, base_quality, base_secrets)}
+    numbered = (op1_toxicity, op2_decontamination, op3_pii, op4_sharding, op5_jaccard_join, op6_packing, op7_line_dedup, op8_quality, op9_secrets, op10_substrings, op11_periodic_runs, op12_collocations, op13_fingerprints)
+    return {f.__name__: f for f in (*numbered, base_sizes, base_personal, base_quality, base_secrets, base_edits)}
 
 
 _DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
 SQL = {
+    "op12_collocations": r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM i, (VALUES (1), (2), (3)) t(m) WHERE i + m - 1 <= len(w)), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang), c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c), s AS (SELECT k.lang, k.phrase, k.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
+ FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s), o AS (SELECT lang, a, array_to_string(w[j:j + 1], ' ') AS phrase FROM c, (VALUES (1), (2)) t(j) WHERE m = 3), x AS (SELECT lang, phrase, max(a) AS longer FROM o GROUP BY ALL),
+v AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE cut = 1 AND (longer IS NULL OR 100 * longer < 50 * a))
+SELECT v.lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM v JOIN n ON n.lang = v.lang WHERE rank <= 2000""",
+    "base_edits": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), e AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS a FROM d WINDOW o AS (ORDER BY doc_id DESC))
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substr(t, 1, n - n // 3) || substr(a, 1, n // 3)) AS edited_sha256 FROM e""",
     "base_sizes": "SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, 'key' AS law FROM documents",
     "base_personal": rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
  [{_DIGITS} for x in regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] AS c, [{_DIGITS} for x in regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')] AS p FROM d)
