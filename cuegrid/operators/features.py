@@ -61,15 +61,57 @@ def novelty_boundaries(feat: DataFrame, duration: float, gap: float = 10.0) -> D
     return C.thin(found, "track_id", "t", gap)
 
 
+def ward_starts(x, k: int) -> list[int]:
+    """Where the parts start if rows of x (integers) are merged to k contiguous parts, always the two neighbours that add least to the squares about the means; of equal ones the first.
+
+    Parts are a linked list, costs a heap; a cost that a merge made old is left in the heap and passed by."""
+    import heapq
+
+    n, total = [1] * len(x), [tuple(r) for r in x.tolist()]
+    before, after, age = [i - 1 for i in range(len(x))], [i + 1 for i in range(len(x))], [0] * len(x)
+
+    def cost(i: int) -> tuple:
+        j = after[i]
+        gap = 0.0
+        for a, b in zip(total[i], total[j]):
+            gap += (a / n[i] - b / n[j]) * (a / n[i] - b / n[j])
+        return n[i] * n[j] / (n[i] + n[j]) * gap, i, j, age[i], age[j]
+
+    heap = [cost(i) for i in range(len(x) - 1)]
+    heapq.heapify(heap)
+    left = len(x)
+    while left > k:
+        _, i, j, one, two = heapq.heappop(heap)
+        if age[i] != one or age[j] != two:
+            continue
+        n[i] += n[j]
+        total[i] = tuple(a + b for a, b in zip(total[i], total[j]))
+        after[i] = after[j]
+        age[i] += 1
+        age[j] = -1
+        left -= 1
+        if after[i] < len(x):
+            before[after[i]] = i
+            heapq.heappush(heap, cost(i))
+        if before[i] >= 0:
+            heapq.heappush(heap, cost(before[i]))
+    return [i for i in range(len(x)) if age[i] >= 0]
+
+
 def change_points(feat: DataFrame, duration: float) -> DataFrame:
-    """(track_id, t): starts of k contiguous parts, split where successive feature vectors differ most;
-    k = duration / 32 s, 3 at least and 8 at most. The earlier beat wins a tie."""
+    """(track_id, t): starts of the second to last of k contiguous parts, made by merging neighbours by Ward's rule over wave, novelty, rhythm and impact (in millionths);
+    k = duration / 32 s, 3 at least and 8 at most. A track's beats are one group: four numbers each."""
+    import pandas as pd
+
     k = min(8, max(3, round(duration / 32)))
-    o = Window.partitionBy("track_id").orderBy("beat_idx")
-    gap = sum(((F.col(c) - F.lag(c).over(o)) * (F.col(c) - F.lag(c).over(o)) for c in ("wave", "novelty", "rhythm", "impact")), F.lit(0.0))
-    ranked = feat.select("track_id", "t", "beat_idx", F.round(gap, 9).alias("gap")).where("gap IS NOT NULL")
-    place = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("gap"), "beat_idx"))
-    return ranked.withColumn("place", place).where(F.col("place") < k).select("track_id", "t")
+    names = ("wave", "novelty", "rhythm", "impact")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("beat_idx").reset_index(drop=True)
+        return pdf.loc[ward_starts(pdf[list(names)].to_numpy(), k)[1:], ["track_id", "t"]]
+
+    rows = feat.select("track_id", "beat_idx", "t", *[F.round(F.col(c) * 1000000).cast("long").alias(c) for c in names])
+    return rows.groupBy("track_id").applyInPandas(cut, f"track_id {feat.schema['track_id'].dataType.simpleString()}, t double")
 
 
 def merge_boundaries(times: DataFrame, key: str, t: str, duration: float, gap: float) -> DataFrame:

@@ -43,8 +43,12 @@ _NOVEL = f""", hi AS (SELECT track_id, t, {_high('novelty', .91)} AND {_high('wa
 ho AS MATERIALIZED (SELECT track_id, t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM hi WHERE ok AND t > 0 AND t < 48),
 hk(track_id, rn, t, last, keep) AS (SELECT track_id, rn, t, t, true FROM ho WHERE rn = 1 UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= 10 THEN o.t ELSE k.last END, o.t - k.last >= 10
  FROM hk k JOIN ho o ON o.track_id = k.track_id AND o.rn = k.rn + 1)"""
-_SPLIT = f""", g0 AS (SELECT track_id, t, beat_idx, round({' + '.join(f'({c} - lag({c}) OVER ({_ORDER}))*({c} - lag({c}) OVER ({_ORDER}))' for c in ('wave', 'novelty', 'rhythm', 'impact'))}, 9) AS gap FROM feat),
-split AS (SELECT track_id, t FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY gap DESC, beat_idx) AS place FROM g0 WHERE gap IS NOT NULL) WHERE place < 3)"""
+_WARD = ("wave", "novelty", "rhythm", "impact")
+# Neighbours are merged by recursion until three parts are left: lists of a track's parts, with their counts, sums and starts.
+_SPLIT = f""", w0 AS MATERIALIZED (SELECT track_id, list(t ORDER BY beat_idx) AS T, [CAST(1 AS BIGINT) for x in list(t)] AS N, range(1, count(*) + 1) AS S, {', '.join(f'list(CAST(round({c} * 1000000) AS BIGINT) ORDER BY beat_idx) AS A{i}' for i, c in enumerate(_WARD))} FROM feat GROUP BY track_id),
+ward(track_id, N, S, {', '.join(f'A{i}' for i in range(4))}) AS (SELECT track_id, N, S, {', '.join(f'A{i}' for i in range(4))} FROM w0 UNION ALL SELECT track_id, N[:i - 1] || [N[i] + N[i + 1]] || N[i + 2:], S[:i] || S[i + 2:], {', '.join(f'A{k}[:i - 1] || [A{k}[i] + A{k}[i + 1]] || A{k}[i + 2:]' for k in range(4))}
+ FROM (SELECT *, list_position(cost, list_min(cost)) AS i FROM (SELECT *, [N[i] * N[i + 1] / (N[i] + N[i + 1]) * ({' + '.join(f'(A{k}[i] / N[i] - A{k}[i + 1] / N[i + 1]) * (A{k}[i] / N[i] - A{k}[i + 1] / N[i + 1])' for k in range(4))}) for i in range(1, len(N))] AS cost FROM ward WHERE len(N) > 3))),
+split AS (SELECT w.track_id, w0.T[x] AS t FROM (SELECT track_id, unnest(S[2:]) AS x FROM ward WHERE len(N) <= 3) w JOIN w0 ON w0.track_id = w.track_id)"""
 SECTIONS_SQL = f"""{FEATURES_SQL}{_NOVEL}{_SPLIT}, sp AS (SELECT track_id, round(t, 3) AS t FROM hk WHERE keep UNION SELECT track_id, round(t, 3) FROM split UNION SELECT DISTINCT track_id, 0.0 FROM feat UNION SELECT DISTINCT track_id, 48.0 FROM feat),
 so AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY t) AS rn FROM sp),
 sk(track_id, rn, t, last, keep) AS (SELECT track_id, rn, t, t, true FROM so WHERE rn = 1 UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= 10 OR o.t = 48 THEN o.t ELSE k.last END, o.t - k.last >= 10 OR o.t = 48
@@ -191,7 +195,7 @@ def f3_novelty_boundaries(spark, d):
     return O.novelty_boundaries(_features(spark, d), D).select("track_id", r6("t", "t"))
 
 
-@query(f"WITH {FEATURES_SQL}{_SPLIT} SELECT track_id, round(t, 6) AS t FROM split")
+@query(f"WITH RECURSIVE {FEATURES_SQL}{_SPLIT} SELECT track_id, round(t, 6) AS t FROM split")
 def f5_change_points(spark, d):
     return O.change_points(_features(spark, d), D).select("track_id", r6("t", "t"))
 
@@ -217,10 +221,14 @@ def f11_cut_walk(spark, d):
     return _walked(spark, d).select("track_id", "section_idx", r6("t", "t"))
 
 
-@query(f"WITH RECURSIVE {EXTRA_SQL} SELECT track_id, round(t, 6) AS t FROM extra")
+_EXTRA_AMONG_BEATS = EXTRA_SQL.replace("FROM walked", "FROM tb").replace(", xb AS", f", {_thinned('tb', 'feat', 0.3)}, xb AS", 1)
+
+
+@query(f"WITH RECURSIVE {_EXTRA_AMONG_BEATS} SELECT track_id, round(t, 6) AS t FROM extra")
 def f12_extra_cuts(spark, d):
+    """Extra cuts among all beats 0.30 s apart: these are many enough to allow some."""
     feat = written(_features(spark, d))
-    return K.extra_cuts(written(_walked(spark, d, feat)), feat, D).select("track_id", r6("t", "t"))
+    return K.extra_cuts(written(C.thin(feat, "track_id", "t", 0.3)), feat, D).select("track_id", r6("t", "t"))
 
 
 @query(f"WITH RECURSIVE {FINAL_SQL} SELECT track_id, round(t, 6) AS t FROM clean")
@@ -231,12 +239,14 @@ def f13_cut_cleanup(spark, d):
     return K.clean_up(walked.unionByName(K.extra_cuts(walked, feat, D)), feat, D).select("track_id", r6("t", "t"))
 
 
-@query(f"""WITH RECURSIVE {FEATURES_SQL}, odd AS (SELECT track_id, t FROM feat WHERE track_id % 3 = 0 AND strong_kick), fb AS (SELECT track_id, t FROM feat WHERE bar AND track_id NOT IN (SELECT track_id FROM odd)), {_thinned('back', 'fb', 0.9)}
+@query(f"""WITH RECURSIVE {WALK_SQL}, odd AS (SELECT w.track_id, w.t FROM walked w JOIN sections s ON s.track_id = w.track_id AND s.section_idx = w.section_idx WHERE type IN ('drop', 'finale')), fb AS (SELECT track_id, t FROM feat WHERE bar AND track_id NOT IN (SELECT track_id FROM odd)), {_thinned('back', 'fb', 0.9)}
 SELECT track_id, round(t, 6) AS t FROM odd UNION ALL SELECT track_id, round(t, 6) FROM back""")
 def f14_fallback_cuts(spark, d):
-    """Strong kicks as the cuts of every third track; the others have none and fall back."""
+    """The walked cuts of drops and finales only; tracks without one fall back."""
     feat = written(_features(spark, d))
-    return K.with_fallback(feat.where("track_id % 3 = 0 AND strong_kick").select("track_id", "t"), feat).select("track_id", r6("t", "t"))
+    secs = written(O.sections(feat, D))
+    strong = _walked(spark, d, feat, secs).join(secs.where(F.col("type").isin(*O.STRONG)).select("track_id", "section_idx"), ["track_id", "section_idx"], "left_semi")
+    return K.with_fallback(written(strong.select("track_id", "t")), feat).select("track_id", r6("t", "t"))
 
 
 @query(f"WITH RECURSIVE {CUTS_SQL}, p AS (SELECT track_id, section_idx, t, row_number() OVER (PARTITION BY track_id ORDER BY round(score, 9) DESC, t DESC) AS place FROM cut) SELECT track_id, section_idx, round(t, 6) AS t, row_number() OVER (PARTITION BY track_id ORDER BY t) AS at FROM p WHERE place <= 12")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import planning as P
 from ..sources import ingest as I
 from ..sources import views as V
+from ..sources.catalogue import register, write_files
 from ..sources.shared import shared_dir
 from .base import query, r6
 from .cues import SEGMENTS_SQL, segments
@@ -21,6 +22,25 @@ def _thinned(table: str, key: str, gap: float) -> str:
  UNION ALL SELECT o.{key}, o.rn, o.t, CASE WHEN o.t - k.last >= {gap} THEN o.t ELSE k.last END, o.t - k.last >= {gap} FROM k JOIN o ON o.{key} = k.{key} AND o.rn = k.rn + 1)"""
 
 
+@query("""SELECT s_suppkey AS source, concat('clip', s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '.mp4' WHEN 1 THEN '.MP4' WHEN 2 THEN '.mkv' ELSE '.MKV' END) AS name, 1 + s_suppkey % 97 AS length, CASE WHEN s_suppkey % 3 = 1 THEN 25.0 ELSE 30.0 END AS fps, CASE WHEN s_suppkey % 3 = 0 THEN 10.0 ELSE s_suppkey / 4.0 END AS duration,
+ CASE WHEN s_suppkey % 3 = 0 THEN 1920 ELSE 640 END AS width, s_suppkey % 3 <> 1 AS defaulted FROM supplier WHERE s_suppkey % 5 <> 4 AND 1 + s_suppkey % 97 >= 20""")
+def a1_catalogue(spark, d):
+    """A folder with a file for each supplier, read as a catalogue: media files of twenty bytes or more, with what the documents beside them say. Every third has no document, every other third no rate, every fifth file is none of media."""
+    k = F.col("s_suppkey")
+    suppliers = V.table(spark, d, "supplier")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("mp4", "MP4", "mkv", "MKV", "txt")]), (k % 5 + 1).cast("int"))
+    media = suppliers.select(F.concat(F.lit("clip"), k, F.lit("."), suffix).alias("name"), F.repeat(F.lit("x"), (1 + k % 97).cast("int")).alias("content"))
+    rate = F.when(k % 3 == 1, "25").otherwise("N/A")
+    said = F.to_json(F.struct(rate.alias("rate"), (k / 4).cast("string").alias("duration"), F.lit(640).alias("width"), F.lit(360).alias("height")))
+    to = _place(spark)
+    register(spark)
+    write_files(media.unionByName(suppliers.where(k % 3 != 0).select(F.concat(F.lit("clip"), k, F.lit(".json")).alias("name"), said.alias("content"))), to)
+    files = spark.read.format("catalogue").option("path", to).load().where("length >= 20")
+    p = I.probe(F.coalesce(F.get_json_object("probe", "$.rate"), F.lit("")), F.get_json_object("probe", "$.duration"), F.col("probe"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select(F.regexp_extract(name, r"(\d+)", 1).cast("long").alias("source"), name.alias("name"), "length", p.alias("p")).select("source", "name", "length", "p.fps", "p.duration", "p.width", "p.defaulted")
+
+
 @query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, t, rms FROM curves")
 def a2_series_scan(spark, d):
     """Curves written as CSV by one tool and read with the schema they must have; no track may be lost."""
@@ -92,13 +112,13 @@ def a4_library_documents(spark, d):
     return got.select("id", "moments")
 
 
-@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, id, round(CASE WHEN video_id % 3 = 0 THEN 1 - motion ELSE motion END, 6) AS motion FROM moments WHERE video_id % 5 <> 0 OR video_id % 3 = 0")
+@query(f"WITH {V.MOMENTS_SQL} SELECT video_id, id, round(CASE WHEN video_id % 3 = 0 THEN 1 - motion ELSE motion END, 6) AS motion FROM moments")
 def a5_library_write(spark, d):
-    """A library of moments whose every third video is written again: only that video's folder is replaced, and added if it was not there."""
+    """A library of all moments, whose every third video is then written again: one commit replaces these and no other."""
     m = V.moments_big(spark, d).select("video_id", "id", "motion")
     to = _place(spark)
-    I.write_library(m.where("video_id % 5 <> 0").repartition("video_id"), to, "v2", False)
-    I.write_library(m.where("video_id % 3 = 0").withColumn("motion", 1 - F.col("motion")).repartition("video_id"), to, "v2", True)
+    I.write_library(m, to, "v2", False)
+    I.write_library(m.where("video_id % 3 = 0").withColumn("motion", 1 - F.col("motion")), to, "v2", True)
     got = I.read_library(spark, to, "id int, motion double, version string, ai_enabled boolean, video_id long", "v2", False)
     return got.select("video_id", "id", r6("motion", "motion"))
 

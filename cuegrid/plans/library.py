@@ -7,6 +7,7 @@ from ..operators import library as L
 from ..operators import moments as M
 from ..operators import planning as P
 from ..operators import tagging as G
+from ..operators.ranges import Ranges
 from ..sources import views as V
 from ..sources.shared import written
 from .base import query, r6
@@ -101,12 +102,12 @@ def c11_rank_moments(spark, d):
     return _tagged(spark, d).select("video_id", "id", F.row_number().over(by).alias("place"))
 
 
-@query(f"""WITH {_MERGED} SELECT video_id, list(id ORDER BY place) AS ids FROM (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY round(editorial,9) DESC, id) AS place FROM merged) WHERE place <= 20 GROUP BY video_id""")
+@query(f"WITH {_MERGED} SELECT video_id, id, round(editorial, 9) AS editorial, row_number() OVER (PARTITION BY video_id ORDER BY round(editorial,9) DESC, id) AS place FROM merged")
 def g1_sorted_moments(spark, d):
-    """The report's top twenty moments of each source, in order."""
-    by = Window.partitionBy("video_id").orderBy(F.desc(F.round("editorial", 9)), "id")
-    top = _tagged(spark, d).select("video_id", "id", F.row_number().over(by).alias("place")).where("place <= 20")
-    return top.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+    """All moments of each source from the best to the least, with their place; a source is dealt to as many tasks as its moments need."""
+    m = written(_tagged(spark, d).select("video_id", "id", (-F.round("editorial", 9)).alias("low")))
+    got = Ranges("video_id", ("low", "id"), m).running(m, {"place": ("sum", F.lit(1))})
+    return got.select("video_id", "id", (-F.col("low")).alias("editorial"), "place")
 
 
 @query(f"WITH {_MERGED} SELECT 0 AS part, video_id, id, round(editorial, 9) AS editorial FROM merged WHERE tagged UNION ALL SELECT 1, video_id, id, round(editorial, 9) FROM merged WHERE NOT tagged")
@@ -150,48 +151,28 @@ def g2_quota_sample(spark, d):
     return _quota(spark, d)
 
 
-def _pretender():
-    """A tagger for tests: it reads a moment's number from the prompt and replies as V.REPLY would."""
-    import re
-
-    def reply(n: int) -> str:
-        number = lambda i, k: f'"{k}": 0.{n * (2 * i + 1) % 10}'
-        fields = [number(i, k) for i, k in enumerate(G.NUMBERS)]
-        shape = n % 7
-        if shape == 3:
-            fields.pop()
-        if shape == 5:
-            fields[:2] = [fields[0].replace("0.", "1."), '"beauty_score": "x"']
-        says = "odd" if shape == 4 else ("soft", " Tension", "HYPE", "sad", "neutral")[n % 5]
-        use = ("drop", "soft", "build", "Transition", "flow", "filler")[n % 6]
-        text = " " if shape == 6 else f"moment {n}"
-        whole = "{" + ", ".join([*fields, f'"emotion": "{says}"', f'"recommended_use": "{use}"', f'"description": "{text}"']) + "}"
-        return {1: f"```json\n{whole}\n```", 2: f"Here: {whole} done"}.get(shape, whole)
-
-    return lambda prompts: [reply(int(re.search(r"#(\d+)$", p)[1])) for p in prompts]
-
-
 def _asked(spark, d):
-    number = F.col("video_id") * 1000 + F.col("id")
-    chosen = _quota(spark, d).select("video_id", "id", F.concat(G.prompt(F.lit(None).cast("string")), F.lit(" #"), number).alias("prompt"))
-    return G.ask_tagger(chosen, _pretender, 8, 8).select("video_id", "id", G.parsed(F.col("reply")).alias("tag"))
+    m = _scored(spark, d)
+    said = G.measured(G.prompt(F.lit(None).cast("string")), **{c: F.col(c) for c in ("action", "beauty", "motion", "quality")})
+    chosen = _quota(spark, d).join(m.select("video_id", "id", said.alias("prompt")), ["video_id", "id"])
+    return G.ask_tagger(chosen, G.rule_tagger, 8, 8).select("video_id", "id", "seconds", G.parsed(F.col("reply")).alias("tag"))
 
 
-_ANSWERS = f"""{_QUOTA}, a AS (SELECT video_id, id, video_id * 1000 + id AS n FROM quota), b AS (SELECT *, n % 7 IN (0, 1, 2, 5) AS ok FROM a)"""
+_ANSWERS = f"""{_QUOTA}, b AS (SELECT q.video_id, q.id, round(action, 9) AS a, round(beauty, 9) AS b, round(motion, 9) AS m, round(quality, 9) >= 0.3 AS ok FROM quota q JOIN scored s ON s.video_id = q.video_id AND s.id = q.id)"""
 
 
-@query(f"""WITH {_ANSWERS} SELECT video_id, id, ok, CASE WHEN ok THEN ['soft', 'tension', 'hype', 'sad', 'neutral'][n % 5 + 1] END AS emotion, CASE WHEN ok THEN ['drop', 'soft', 'build', 'transition', 'flow', 'filler'][n % 6 + 1] END AS recommended_use,
- CASE WHEN ok THEN CASE WHEN n % 7 = 5 THEN 1.0 ELSE (n % 10) / 10.0 END END AS action_intensity FROM b""")
+@query(f"""WITH {_ANSWERS} SELECT video_id, id, ok, CASE WHEN ok THEN CASE WHEN a > 0.6 THEN 'hype' WHEN b > 0.6 THEN 'soft' WHEN m > 0.5 THEN 'tension' ELSE 'neutral' END END AS emotion, CASE WHEN ok THEN CASE WHEN a > 0.6 THEN 'drop' WHEN b > 0.6 THEN 'soft' WHEN m > 0.5 THEN 'build' ELSE 'flow' END END AS recommended_use,
+ CASE WHEN ok THEN a END AS action_intensity FROM b""")
 def j1_tagger(spark, d):
-    """Selected moments through a tagger (here a function), in waves with a retry; what stays invalid has no tag."""
+    """Selected moments through a tagger that tags by rule, in waves with a retry; what stays invalid has no tag."""
     ok = F.col("tag.reason").isNull()
-    return _asked(spark, d).select("video_id", "id", ok.alias("ok"), *[F.when(ok, F.col(f"tag.{c}")).alias(c) for c in ("emotion", "recommended_use", "action_intensity")])
+    return _asked(spark, d).select("video_id", "id", ok.alias("ok"), *[F.when(ok, F.col(f"tag.{c}")).alias(c) for c in ("emotion", "recommended_use")], F.when(ok, F.round("tag.action_intensity", 9)).alias("action_intensity"))
 
 
-@query(f"WITH {_ANSWERS} SELECT video_id, count(*) AS selected, sum(CAST(ok AS INT)) AS tagged, round(count(*) * 0.5, 6) AS seconds FROM b GROUP BY video_id")
+@query(f"WITH {_ANSWERS} SELECT video_id, count(*) AS selected, CAST(sum(CAST(ok AS INT)) AS BIGINT) AS tagged, true AS timed FROM b GROUP BY video_id")
 def j2_tag_counters(spark, d):
-    """By source: moments selected and tagged, and the tagger's time at half a second each."""
-    return _asked(spark, d).groupBy("video_id").agg(F.count("*").alias("selected"), F.sum(F.col("tag.reason").isNull().cast("int")).alias("tagged"), r6(F.count("*") * 0.5, "seconds"))
+    """By source: moments selected and tagged, and whether the tagger's time was measured (the seconds themselves differ from run to run)."""
+    return _asked(spark, d).groupBy("video_id").agg(F.count("*").alias("selected"), F.sum(F.col("tag.reason").isNull().cast("int")).alias("tagged"), (F.sum("seconds") > 0).alias("timed"))
 
 
 _SEG = f"""{SEGMENTS_SQL}, {_MERGED}, lib AS (SELECT *, video_id % 50 AS album, 0.2 + quality * 2 AS duration FROM merged),
@@ -206,30 +187,45 @@ pairs AS MATERIALIZED (SELECT g.track_id, g.seg_idx, g.target, f.video_id, f.id,
 @query(f"""WITH RECURSIVE {_SEG} SELECT track_id, seg_idx, target, count(*) AS scored, round(max(base), 6) AS best, round(avg(base), 6) AS mean, count(CASE WHEN round(base, 6) >= round(0.5, 6) THEN 1 END) AS good FROM pairs GROUP BY ALL""")
 def e6_candidate_matches(spark, d):
     """Every segment against every moment of its album: how many, the best and the mean score, and how many are good."""
-    p = L.scored_pairs(_segments(spark, d), _library(spark, d), "album")
-    return p.groupBy("track_id", "seg_idx", "target").agg(F.count("*").alias("scored"), r6(F.max("base"), "best"), r6(F.avg("base"), "mean"), F.count_if(F.round("base", 6) >= 0.5).alias("good"))
+    got = L.segment_matches(_segments(spark, d), written(_library(spark, d)), "album")
+    return got.select("track_id", "seg_idx", "target", "scored", r6("best", "best"), r6("mean", "mean"), "good")
+
+
+# The walk by recursion over all pairs: the state is the lists of moments and of sources that were chosen. A moment's number is unique within its album.
+_NOISE = "CAST('0x' || substr(sha1(concat_ws('|', p.track_id, p.seg_idx, p.target, p.video_id, p.id)), 1, 12) AS BIGINT) / 281474976710656.0"
+_PLAN = f"""{_SEG}, plan(track_id, seg_idx, ms, vs, best) AS (SELECT DISTINCT track_id, CAST(-1 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(video_id BIGINT, id BIGINT, score DOUBLE)) FROM segments
+UNION ALL SELECT track_id, seg_idx, list_append(ms, best.video_id * 1000000 + best.id), list_append(vs, best.video_id), best FROM (SELECT track_id, seg_idx, any_value(ms) AS ms, any_value(vs) AS vs,
+  arg_max(struct_pack(video_id := CAST(video_id AS BIGINT), id := CAST(id AS BIGINT), score := score), struct_pack(s := score, v := -video_id, i := -id)) AS best
+ FROM (SELECT p.track_id, p.seg_idx, l.ms, l.vs, p.video_id, p.id, base + 0.015 * ({_NOISE}) - 0.28 * CAST(list_contains(l.ms[-10:], p.video_id * 1000000 + p.id) AS INT) - 0.10 * CAST(list_contains(l.vs[-5:], p.video_id) AS INT)
+   - least(0.28, 0.10 * len([x for x in l.ms if x = p.video_id * 1000000 + p.id])) - least(0.18, 0.012 * len([x for x in l.vs if x = p.video_id])) AS score
+  FROM plan l JOIN pairs p ON p.track_id = l.track_id AND p.seg_idx = l.seg_idx + 1) GROUP BY track_id, seg_idx)),
+planned AS MATERIALIZED (SELECT p.track_id, p.seg_idx, g.target, best.video_id AS video_id, best.id AS id, best.score AS score, g.seconds FROM plan p JOIN segments g ON g.track_id = p.track_id AND g.seg_idx = p.seg_idx)"""
 
 
 def _plan(spark, d):
     seg, lib = written(_segments(spark, d)), written(_library(spark, d))
-    plan = L.plan_clips(L.candidates(L.scored_pairs(seg, lib, "album")))
+    plan = L.plan_clips(seg, lib, "album")
     plan = plan.join(seg.select("track_id", "seg_idx", "target", "seconds"), ["track_id", "seg_idx"]).join(lib.select("video_id", "id", "start", "center", "peak_time", "video_duration", "tagged"), ["video_id", "id"])
-    return P.complete_plans(plan, seg)
+    return P.complete_plans(written(plan), seg)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAN}, c AS (SELECT p.*, (p.id - 1) * 2.0 AS s0, 0.2 + m.quality * 2 AS length, m.motion, greatest(0.05, seconds) AS dur FROM planned p JOIN merged m ON m.video_id = p.video_id AND m.id = p.id)
+SELECT track_id, seg_idx, target, video_id, id, round(score, 6) AS score, round(greatest(0.0, least(CASE WHEN target IN ('drop', 'build') THEN s0 + motion * length ELSE s0 + length / 2 END - dur * CASE target WHEN 'drop' THEN 0.36 WHEN 'soft' THEN 0.50 WHEN 'build' THEN 0.48 ELSE 0.44 END,
+ greatest(dur, s0 + length + 5) - dur)), 6) AS clip_start FROM c""")
 def f17_diversity_plan(spark, d):
-    """The plan of every track, with where each clip starts. A choice depends on all before it: tests hold it to a plain walk over all pairs."""
+    """The plan of every track, with where each clip starts. The SQL walks over all pairs; the plan reads lists."""
     return _plan(spark, d).select("track_id", "seg_idx", "target", "video_id", "id", r6("score", "score"), r6(L.place_clip(F.col("target"), F.col("seconds")), "clip_start"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAN}, t AS (SELECT p.*, m.tagged FROM planned p JOIN merged m ON m.video_id = p.video_id AND m.id = p.id), k AS (SELECT track_id, target, count(*) AS n FROM t GROUP BY ALL)
+SELECT track_id, count(*) AS clips, (SELECT string_agg(target || '=' || n, ',' ORDER BY target) FROM k WHERE k.track_id = t.track_id) AS targets, CAST(sum(CAST(tagged AS INT)) AS BIGINT) AS tagged, count(DISTINCT video_id) AS sources FROM t GROUP BY track_id""")
 def d9_plan_summary(spark, d):
-    """By track: clips, those of each target as a map, tagged ones, sources."""
+    """By track: clips, those of each target, tagged ones, sources."""
     p = _plan(spark, d)
     each = p.groupBy("track_id", "target").agg(F.count("*").alias("n"), F.sum(F.col("tagged").cast("int")).alias("tagged"), F.collect_set("video_id").alias("v"))
     return each.groupBy("track_id").agg(
-        F.sum("n").alias("clips"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "n")))).alias("targets"), F.sum("tagged").alias("tagged"), F.size(F.array_distinct(F.flatten(F.collect_list("v")))).alias("sources"),
+        F.sum("n").alias("clips"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target", "n"))), lambda x: F.concat_ws("=", x["target"], x["n"])), ",").alias("targets"), F.sum("tagged").alias("tagged"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("v")))).alias("sources"),
     )
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import curves as C
 from ..operators import planning as P
+from ..operators import ranks as R
 from ..sources import views as V
+from ..sources.shared import written
 from . import cues, ingest, library, scenes, streams  # noqa: F401 - they register their queries
 from .base import QUERIES, SQL, by_beat, by_track, query, r6
 
@@ -35,12 +37,14 @@ def cue_timeline(spark, d):
 
 @query(f"WITH RECURSIVE {V.EVENTS_SQL}{_THIN} SELECT track_id, round(t, 6) AS t FROM kept WHERE keep")
 def f1_min_gap_thinning(spark, d):
-    return C.thin(V.beats(spark, d), "track_id", "t", 0.3).select("track_id", r6(F.col("t"), "t"))
+    """Each key dealt to as many tasks as its rows need."""
+    return C.thin_wide(written(V.beats(spark, d).select("track_id", "t")), "track_id", "t", 0.3).select("track_id", r6(F.col("t"), "t"))
 
 
 @query(f"WITH {V.EVENTS_SQL}, p AS (SELECT *, {_PCT} FROM curves) SELECT track_id, beat_idx, round({_NORM}, 6) AS x FROM p")
 def c1_robust_normalise(spark, d):
-    return V.curves(spark, d).select(*K, r6(C.normalise(F.col("rms"), by_track()), "x"))
+    x = F.col("rms")
+    return R.with_percentiles(V.curves(spark, d), "track_id", {"lo": (x, 0.02), "hi": (x, 0.98)}).select(*K, r6(C.scaled(x, F.col("lo"), F.col("hi")), "x"))
 
 
 @query(f"""WITH {V.EVENTS_SQL}, n AS (SELECT *, count(*) OVER g AS n, row_number() OVER o AS rn, first_value(rms) OVER fu AS a, last_value(rms) OVER fu AS z,
@@ -55,9 +59,10 @@ def c2_smooth(spark, d):
  FROM curves WINDOW g AS (PARTITION BY track_id)) SELECT track_id, beat_idx, CASE WHEN round(rms,9) >= p88 THEN 'peak' WHEN round(rms,9) >= p72 THEN 'high' WHEN round(rms,9) <= p30 THEN 'low' ELSE 'medium' END AS level FROM p""")
 def b7_energy_level(spark, d):
     x = F.round("rms", 9)
-    p = lambda q: F.round(C.percentile(F.col("rms"), q, by_track()), 9)
-    level = F.when(x >= p(0.88), "peak").when(x >= p(0.72), "high").when(x <= p(0.30), "low").otherwise("medium")
-    return V.curves(spark, d).select(*K, level.alias("level"))
+    known = R.with_percentiles(V.curves(spark, d), "track_id", {f"p{q}": (F.col("rms"), q / 100) for q in (88, 72, 30)})
+    p = lambda q: F.round(f"p{q}", 9)
+    level = F.when(x >= p(88), "peak").when(x >= p(72), "high").when(x <= p(30), "low").otherwise("medium")
+    return known.select(*K, level.alias("level"))
 
 
 @query(f"""WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(kick,9) >= round(quantile_cont(kick,.72) OVER g,9) AS kick, round(clap,9) >= round(quantile_cont(clap,.74) OVER g,9) AS clap,
@@ -117,9 +122,9 @@ a AS (SELECT q.track_id, q.t, (SELECT max(b.t) FROM curves b WHERE b.track_id=q.
 SELECT a.track_id, round(a.t, 6) AS t, round(CASE WHEN ta IS NULL THEN y.rms WHEN tb IS NULL OR ta=tb THEN x.rms ELSE x.rms+(y.rms-x.rms)*(a.t-ta)/(tb-ta) END, 6) AS rms
 FROM a LEFT JOIN curves x ON x.track_id=a.track_id AND x.t=ta LEFT JOIN curves y ON y.track_id=a.track_id AND y.t=tb""")
 def e3_interpolate(spark, d):
-    curve = V.curves(spark, d)
+    curve = written(V.curves(spark, d).select("track_id", "t", "rms"))
     at = curve.select("track_id").distinct().select("track_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: i + F.lit(0.25).cast("double"))).alias("t"))
-    return C.interpolate(curve, at, "track_id", "t", "rms").select("track_id", r6(F.col("t"), "t"), r6(F.col("rms"), "rms"))
+    return C.interpolate(curve, at, "track_id", "t", "rms", wide=True).select("track_id", r6(F.col("t"), "t"), r6(F.col("rms"), "rms"))
 
 
 @query(f"WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, CAST(round_even(t*30.0,0) AS BIGINT) AS frame, CAST(greatest(round_even((t+0.25)*30.0,0),0) AS BIGINT) AS middle, round(beat_idx*512/22050.0, 6) AS seconds FROM beats")
@@ -183,6 +188,23 @@ def d14_tempo(spark, d):
     return P.tempo(V.curves(spark, d), "track_id", "beat_idx", "flux", 8.0).select("track_id", r6("tempo", "tempo"))
 
 
+_TEMPO = f"""{V.EVENTS_SQL}, o AS (SELECT track_id, beat_idx, flux AS x FROM curves), p AS (SELECT a.track_id, lag AS l, coalesce(sum(a.x * b.x), 0) * 1.0 AS s FROM (SELECT *, unnest(range(2, 25)) AS lag FROM o) a LEFT JOIN o b ON b.track_id = a.track_id AND b.beat_idx = a.beat_idx + lag GROUP BY ALL),
+tempo AS (SELECT track_id, 480.0 / arg_max(l, struct_pack(s := round(s * exp(-0.5 * pow(log2(480.0 / l / 120.0), 2)), 6), k := -l)) AS tempo FROM p GROUP BY track_id)"""
+
+
+@query(f"""WITH RECURSIVE {_TEMPO}, c AS MATERIALIZED (SELECT o.track_id, greatest(1, CAST(round_even(480.0 / any_value(tempo), 0) AS INT)) AS P, list(x ORDER BY beat_idx) AS X, coalesce(stddev_samp(x), 0) AS dev FROM o JOIN tempo t ON t.track_id = o.track_id GROUP BY o.track_id),
+dp(track_id, i, C, B) AS (SELECT track_id, CAST(0 AS BIGINT), CAST([] AS DOUBLE[]), CAST([] AS BIGINT[]) FROM c
+ UNION ALL SELECT track_id, i + 1, list_append(C, CASE WHEN dev > 0 THEN X[i + 1] / dev ELSE 0 END + CASE WHEN top > 0 THEN top ELSE 0 END), list_append(B, CASE WHEN top > 0 THEN lo + list_position(S, top) - 1 ELSE 0 END)
+  FROM (SELECT *, list_max(S) AS top FROM (SELECT c.*, dp.i, dp.C, dp.B, (P + 1) // 2 AS lo, [dp.C[dp.i - lag + 1] - 100.0 * pow(ln(lag / P), 2) for lag in range((P + 1) // 2, least(2 * P, dp.i) + 1)] AS S FROM dp JOIN c ON c.track_id = dp.track_id WHERE dp.i < len(c.X)))),
+e AS MATERIALIZED (SELECT track_id, C, B, [x for x in range(greatest(0, i - P), i)] AS R FROM (SELECT dp.*, c.P FROM dp JOIN c ON c.track_id = dp.track_id WHERE dp.i = len(c.X))),
+back(track_id, f) AS (SELECT track_id, CAST((SELECT arg_max(x, struct_pack(s := C[x + 1], x := x)) FROM unnest(R) t(x)) AS BIGINT) FROM e UNION ALL SELECT b.track_id, f - B[f + 1] FROM back b JOIN e ON e.track_id = b.track_id WHERE B[f + 1] > 0)
+SELECT track_id, f AS frame FROM back""")
+def d14_beats(spark, d):
+    """The beats of the change curve: a chain of frames about a period of the tempo apart with the greatest sum."""
+    curve = written(V.curves(spark, d).select("track_id", "beat_idx", "flux"))
+    return P.track_beats(curve, "track_id", "beat_idx", "flux", 8.0)
+
+
 @query(f"""WITH RECURSIVE {V.EVENTS_SQL}, w AS (SELECT track_id, beat_idx, rms AS x, max(rms) OVER (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS top, avg(rms) OVER (PARTITION BY track_id ORDER BY beat_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS mean,
  lag(rms) OVER g AS a, lead(rms) OVER g AS b FROM curves WINDOW g AS (PARTITION BY track_id ORDER BY beat_idx)),
 v AS (SELECT *, CASE WHEN x <= coalesce(a, x) AND x <= coalesce(b, x) AND (a > x OR b > x) THEN beat_idx END AS low FROM w),

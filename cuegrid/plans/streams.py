@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import curves as C
 from ..operators import features as O
 from ..sources import views as V
+from ..sources.shared import written
 from ..streaming import cues as T
 from .base import by_beat, query, r6
 from .cues import SECTIONS_SQL, _features, _sections
@@ -57,9 +58,9 @@ def f2_merge_boundaries(spark, d):
  (SELECT min(x.t) FROM tk x WHERE x.keep AND x.track_id = beats.track_id AND x.t >= beats.t) AS q FROM beats)
 SELECT track_id, beat_idx, round(least(coalesce(t - p, 1e9), coalesce(q - t, 1e9)), 6) AS distance FROM b""")
 def e4_nearest_distance(spark, d):
-    """From every beat to the nearest time of a thinned set: both sides in one ordered pass, no join."""
-    beats = V.beats(spark, d).select("track_id", "beat_idx", "t")
-    got = C.nearest_distance(beats, C.thin(beats, "track_id", "t", 0.9), "track_id", "t", "distance")
+    """From every beat to the nearest time of a thinned set: both sides in one ordered pass, no join, no key in one task."""
+    beats = written(V.beats(spark, d).select("track_id", "beat_idx", "t"))
+    got = C.nearest_distance(beats, written(C.thin_wide(beats, "track_id", "t", 0.9)), "track_id", "t", "distance", wide=True)
     return got.select("track_id", "beat_idx", r6("distance", "distance"))
 
 

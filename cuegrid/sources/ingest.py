@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import curves as C
+from .manifest import Library
 
 # Suffixes of media files, gaps in seconds of scene times and key frames, what a probe that failed counts as.
 SUFFIXES, SCENE_GAP, FRAME_GAP = ("mp4", "MP4", "mkv", "MKV"), 0.08, 0.20
@@ -72,15 +73,15 @@ def write_edit_lists(plan: DataFrame, to: str) -> None:
     lines.select("track_id", "value").write.mode("overwrite").partitionBy("track_id").text(to)
 
 
-def write_library(moments: DataFrame, to: str, version: str, ai_enabled: bool) -> None:
-    """Moments with their source's video_id and signature, a folder a video; only the videos that are there are replaced, each as a whole."""
+def write_library(moments: DataFrame, to: str, version: str, ai_enabled: bool) -> int:
+    """Moments with their source's video_id and signature as one commit: the videos that are there are replaced, each as a whole, all of them or none. The library's new version."""
     rows = moments.withColumns({"version": F.lit(version), "ai_enabled": F.lit(ai_enabled)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(to)
+    return Library(moments.sparkSession, to).commit(rows)
 
 
 def read_library(spark: SparkSession, path: str, schema: StructType | str, version: str, need_ai: bool) -> DataFrame:
     """Moments of a library that were made by this version and, where tags are asked for, with them."""
-    rows = spark.read.schema(schema).parquet(path).where(F.col("version") == version)
+    rows = Library(spark, path).read(schema).where(F.col("version") == version)
     return rows.where("ai_enabled") if need_ai else rows
 
 

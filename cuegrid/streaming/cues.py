@@ -6,9 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.manifest import Library
 from ..sources.shared import shared_dir
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def event_stream(spark: SparkSession, sf_dir: str, files: int = 0) -> DataFrame:
     """The events table as a file stream, with `at` as a timestamp.
@@ -31,49 +35,70 @@ def event_stream(spark: SparkSession, sf_dir: str, files: int = 0) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that is available now goes through the stream into a table in the shared folder; its rows. What still waits for the watermark is not among them."""
+    """All that is available now goes through the stream into a table in the shared folder; its rows. What still waits for the watermark is not among them.
+
+    States are kept by RocksDB, for this stream only: states with timers need it."""
     spark = stream.sparkSession
     to = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{to}-log").outputMode(mode).trigger(availableNow=True).start(f"{to}-rows").awaitTermination()
+    before = spark.conf.get(_STORE)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{to}-log").outputMode(mode).trigger(availableNow=True).start(f"{to}-rows").awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{to}-rows")
 
 
-def thin_stream(stream: DataFrame, key: str, at: str, t: str, gap: float, late: str) -> DataFrame:
-    """(key, t): times at least `gap` after the key's last kept one, whatever the order in which they come.
+class Thinning(StatefulProcessor):
+    """Times by key, at least `gap` after the last kept one. The state is that time, and a map from each moment that the watermark has not passed to its times, with a timer for each: a batch touches the
+    moments that its rows bring and those that are due, and none of the others."""
+
+    def __init__(self, key: str, t: str, gap: float):
+        self.key, self.t, self.gap = key, t, gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t double")
+        self.waiting = handle.getMapState("waiting", "at long", "times array<double>")
 
-    The state is the last kept time and the times that are still within `late` of the newest event: an earlier one may yet come before
-    them. They are decided, in order, once the watermark has passed them, by the next row of the key or by a timer. Rows later than the watermark are
-    dropped by it; null and not finite times are dropped.
-    """
-    import numpy as np
-    import pandas as pd
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
 
-    def decide(last: float | None, waiting: list[tuple[float, float]], until: float) -> tuple[list[float], float | None, list[tuple[float, float]]]:
+        for pdf in rows:
+            new = pdf[np.isfinite(pdf[self.t].to_numpy(dtype=float))]
+            for at, times in new.groupby("due")[self.t]:
+                moment = (int(at),)
+                known = self.waiting.getValue(moment)
+                if known is None:
+                    self.handle.registerTimer(int(at))
+                self.waiting.updateValue(moment, ([*(known[0] if known else ()), *times.tolist()],))
+        yield pd.DataFrame({self.key: pd.Series(dtype=object), self.t: pd.Series(dtype=float)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        moment = (expiredTimerInfo.getExpiryTimeInMs(),)
+        last = self.last.get()[0] if self.last.exists() else None
         kept = []
-        waiting = sorted(waiting)
-        ready = [x for x in waiting if x[0] <= until]
-        for _, x in ready:
-            if last is None or x - last >= gap:
+        for x in sorted(self.waiting.getValue(moment)[0]):
+            if last is None or x - last >= self.gap:
                 kept.append(x)
                 last = x
-        return kept, last, waiting[len(ready):]
-
-    def keep(k, parts, state):
-        last, waiting = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (None, [])
-        for p in parts:
-            new = p[np.isfinite(p[t].to_numpy(dtype=float))]
-            waiting += zip((new["__at"].astype("int64")).tolist(), new[t].tolist())
-        mark = state.getCurrentWatermarkMs()
-        kept, last, waiting = decide(last, waiting, mark)
-        if waiting or last is not None:
-            state.update((last, [int(a) for a, _ in waiting], [float(x) for _, x in waiting]))
-            if waiting:
-                state.setTimeoutTimestamp(max(waiting[0][0] + 1, mark + 1))
-        yield pd.DataFrame({key: [k[0]] * len(kept), t: kept})
+        self.waiting.removeKey(moment)
+        if kept:
+            self.last.update((last,))
+        yield pd.DataFrame({self.key: [key[0]] * len(kept), self.t: kept})
+
+
+def thin_stream(stream: DataFrame, key: str, at: str, t: str, gap: float, late: str) -> DataFrame:
+    """(key, t): times at least `gap` after the key's last kept one, whatever the order in which they come.
 
+    A time that comes within `late` of the newest event may yet be preceded by another; it is decided once the watermark has passed it, in order, by a timer. Rows later than the
+    watermark are dropped by it; null and not finite times are dropped. The stream must run with RocksDB as its state store, as drained() does."""
     kind = stream.schema[key].dataType.simpleString()
-    rows = stream.withWatermark(at, late).select(key, t, at, F.unix_millis(at).alias("__at"))
-    return rows.groupBy(key).applyInPandasWithState(keep, f"{key} {kind}, {t} double", "last double, at array<long>, waiting array<double>", "append", "EventTimeTimeout")
+    rows = stream.withWatermark(at, late).select(key, t, at, F.unix_millis(at).alias("due"))
+    return rows.groupBy(key).transformWithStateInPandas(Thinning(key, t, gap), f"{key} {kind}, {t} double", "Append", "EventTime")
 
 
 def energy_stream(stream: DataFrame, at: str, band: str, value: str, length: str, hop: str, late: str) -> DataFrame:
@@ -85,19 +110,18 @@ def energy_stream(stream: DataFrame, at: str, band: str, value: str, length: str
 def keep_library(spark: SparkSession, arrivals: list[DataFrame]) -> DataFrame:
     """(video_id, batch, duration): a library that a stream of source lists (video_id, signature, duration) keeps up to date.
 
-    Each batch is met with the library by signature: what is known is left out, what is new or changed is worked on and replaces its video's folder.
+    Each batch is met with the library by signature: what is known is left out, what is new or changed is worked on and replaces its video's rows, as one commit.
     A batch that is run again after a failure finds its own signatures and does nothing."""
     to = f"{shared_dir(spark)}/cuegrid/{uuid.uuid4().hex}"
-    schema = "signature string, batch long, duration double, video_id long"
-    arrivals[0].limit(0).select("signature", F.lit(0).cast("long").alias("batch"), F.col("duration").cast("double").alias("duration"), F.col("video_id").cast("long").alias("video_id")).write.partitionBy("video_id").parquet(f"{to}-library")
+    schema, library = "signature string, batch long, duration double, video_id long", Library(spark, f"{to}-library")
 
     def upsert(batch: DataFrame, no: int) -> None:
-        known = batch.sparkSession.read.schema(schema).parquet(f"{to}-library").select("signature")
-        new = batch.join(known, "signature", "left_anti").select("signature", F.lit(no + 1).cast("long").alias("batch"), F.col("duration").cast("double").alias("duration"), F.col("video_id").cast("long").alias("video_id"))
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").parquet(f"{to}-library")
+        new = batch.join(library.read(schema).select("signature"), "signature", "left_anti")
+        new = new.select("signature", F.lit(no + 1).cast("long").alias("batch"), F.col("duration").cast("double").alias("duration"), F.col("video_id").cast("long").alias("video_id"))
+        library.commit(new)
 
     for rows in arrivals:
         rows.coalesce(1).write.mode("append").parquet(f"{to}-lists")
         stream = spark.readStream.schema(rows.schema).parquet(f"{to}-lists")
         stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{to}-log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{to}-library").select("video_id", "batch", "duration")
+    return library.read(schema).select("video_id", "batch", "duration")
