@@ -15,7 +15,7 @@ from .common import doc_key, materialise, thinned
 
 NUMBER = re.compile(r"^[$€£]?[+-]?\d[\d,.:/]*(?:st|nd|rd|th)?%?$")
 MIXED = re.compile(r"^[$€£]?[+-]?\d[\d,.]*([a-zµ°%]{1,4})$")
-EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
+HEAD, TAIL = re.compile(r"[^\w$€£+-]+"), re.compile(r"[^\w%]+")
 STOP = re.compile(r"[.!?…:][\"')\]]*$")
 # Units that stand after a number.
 UNITS = frozenset(
@@ -28,6 +28,14 @@ UNITS = frozenset(
 FILTER_BITS = 24
 
 
+def _bare(word: str) -> str:
+    """word without outer punctuation. Its end is read backwards: a pattern that ends in $ would be tried from every mark within."""
+    tail = TAIL.match(word[::-1])
+    word = word[: len(word) - tail.end()] if tail else word
+    head = HEAD.match(word)
+    return word[head.end() :] if head else word
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -54,7 +62,7 @@ class _Canon(dict):
             if word[-1] in ENDS and word[:-1].isalpha():
                 flags, bare = IS_STOP * (word[-1] in STOPS), word[:-1]
             else:  # whatever is not letters with one mark after them
-                bare = EDGE.sub("", word)
+                bare = _bare(word)
                 low = bare.lower()
                 flags = IS_STOP * bool(STOP.search(word)) | IS_NONE * (not low) | IS_NUM * bool(NUMBER.match(low) or MIXED.match(low))
         low = bare.lower()
@@ -125,7 +133,7 @@ def _window_rows(key: str, kind: str, width: int, least_literal: int, bits: np.n
                         out["h"].append(int(h[i].astype(np.int64)))
                         out["pos"].append(i)
                         out["width"].append(w)
-                        out["slots"].append([EDGE.sub("", words[i + j]).lower() for j in np.flatnonzero(kinds[i : i + w]).tolist()])
+                        out["slots"].append([_bare(words[i + j]).lower() for j in np.flatnonzero(kinds[i : i + w]).tolist()])
             if out["h"]:
                 yield pd.DataFrame(out)
 
