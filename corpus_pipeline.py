@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuegrid.llm import decontamination, jaccard, lines, packing, quality
-from cuegrid.llm.common import materialise
+from cuegrid.llm.common import Scratch
 
 #: A stage can't be told as SQL (suffix arrays, MinHash, paths, tokenizer); tests hold each to brute force.
 ORACLE_SQL = None
@@ -55,10 +55,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again as the next one's input."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at + 1 < len(STAGES):
-            docs = materialise(docs)
-    return docs
+    """All stages over documents, each written to the shared folder and read again as the next one's input. A stage's input is deleted once its output is written, but for the last one's."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if at:
+            written.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
