@@ -217,6 +217,21 @@ def test_ingest_edges(spark, tmp_path):
         I.read_series(spark, str(tmp_path / "s"), "track_id long", "csv", spark.range(1).select(F.col("id").alias("track_id"))) if (spark.range(0).write.csv(str(tmp_path / "s")) is None) else None
 
 
+def test_points_are_spaced_as_one_by_one(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(k), float(t), float(w)) for k, t, w in zip(rng.integers(0, 3, 300), rng.integers(0, 200, 300) * 0.1, rng.integers(0, 20, 300))] + [(9, i * 0.25, float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "k long, t double, w double")
+    got = sorted(tuple(r) for r in K.spaced(df, "k", "t", "w", 0.58).collect())
+    want = []
+    for key in {r[0] for r in rows}:
+        kept = []
+        for _, t, w in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], -r[1])):
+            if all(abs(t - x) >= 0.58 for x in kept):
+                kept.append(t)
+                want.append((key, t, w))
+    assert got == sorted(want) and K.spaced(df.limit(0), "k", "t", "w", 0.58).count() == 0
+
+
 def test_a_catalogue_is_a_source(spark, tmp_path):
     register(spark)
     for i in range(25):
