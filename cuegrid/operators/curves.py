@@ -28,7 +28,7 @@ def scaled(x: Column, lo: Column, hi: Column, default: float = 0.0) -> Column:
 def smooth(x: Column, key: str, order: str, width: int) -> Column:
     """Centred moving average of odd width whose ends repeat the first and last value.
 
-    Groups of fewer than three rows are returned as they are. The width must not exceed the group.
+    Groups of fewer than three rows are returned as they are. A width over the group's counts the ends as often as it reaches beyond them.
     """
     width += 1 - width % 2
     half = width // 2

@@ -303,12 +303,12 @@ def f16_segment_profiles(spark, d):
 @query(f"""WITH RECURSIVE {SECTIONS_SQL}, q AS (SELECT DISTINCT track_id, unnest(range(0, 48)) + 0.5 AS t FROM feat)
 SELECT q.track_id, q.t, coalesce((SELECT min(section_idx) FROM sections s WHERE s.track_id = q.track_id AND q.t >= s.s AND q.t < s.e), (SELECT max(section_idx) FROM sections s WHERE s.track_id = q.track_id)) AS section_idx FROM q""")
 def e1_section_at(spark, d):
-    """The section of every half second: the first that holds it, else the last one."""
-    s = _sections(spark, d)
+    """The section of every half second: the one that holds it, else the last one. Sections don't overlap, so it is the last to start, if it has not ended; times and starts are one ordered pass, dealt by ranges."""
+    s = written(_sections(spark, d))
     at = s.select("track_id").distinct().select("track_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: i + F.lit(0.5).cast("double"))).alias("t"))
-    hit = (F.col("t") >= F.col("start")) & (F.col("t") < F.col("end"))
-    both = at.join(s.select("track_id", "section_idx", "start", "end"), "track_id").groupBy("track_id", "t")
-    return both.agg(F.coalesce(F.min(F.when(hit, F.col("section_idx"))), F.max("section_idx")).alias("section_idx"))
+    got = C.around(at, s.select("track_id", F.col("start").alias("t"), "end", "section_idx"), "track_id", "t", F.struct("end", "section_idx"), wide=True)
+    last = s.groupBy("track_id").agg(F.max("section_idx").alias("last"))
+    return got.join(last, "track_id").select("track_id", "t", F.coalesce(F.when(F.col("t") < F.col("before.end"), F.col("before.section_idx")), F.col("last")).alias("section_idx"))
 
 
 @query(f"""WITH RECURSIVE {FINAL_SQL}, z AS (SELECT track_id, count(*) AS cuts, CASE WHEN count(*) > 1 THEN (max(t) - min(t)) / (count(*) - 1) ELSE 1.5 END AS gap FROM fin GROUP BY track_id), x AS (SELECT track_id, avg(wave) AS wave, avg(impact) AS impact, avg(rhythm) AS rhythm, avg(CAST(p AS INT)) AS peaks, count(*) AS beats FROM (SELECT *, {_high('wave', .82)} AS p FROM feat) GROUP BY track_id),

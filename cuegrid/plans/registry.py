@@ -68,8 +68,9 @@ def b7_energy_level(spark, d):
 @query(f"""WITH {V.EVENTS_SQL} SELECT track_id, beat_idx, round(kick,9) >= round(quantile_cont(kick,.72) OVER g,9) AS kick, round(clap,9) >= round(quantile_cont(clap,.74) OVER g,9) AS clap,
  round(hihat,9) >= round(quantile_cont(hihat,.82) OVER g,9) AS hihat, round(bass,9) >= round(quantile_cont(bass,.74) OVER g,9) AS bass FROM curves WINDOW g AS (PARTITION BY track_id)""")
 def b8_strong_hits(spark, d):
-    hit = lambda c, q: (F.round(c, 9) >= F.round(C.percentile(F.col(c), q, by_track()), 9)).alias(c)
-    return V.curves(spark, d).select(*K, hit("kick", 0.72), hit("clap", 0.74), hit("hihat", 0.82), hit("bass", 0.74))
+    least = {"kick": 0.72, "clap": 0.74, "hihat": 0.82, "bass": 0.74}
+    known = R.with_percentiles(V.curves(spark, d), "track_id", {f"p_{c}": (F.col(c), q) for c, q in least.items()})
+    return known.select(*K, *[(F.round(c, 9) >= F.round(f"p_{c}", 9)).alias(c) for c in least])
 
 
 @query(f"""WITH {V.EVENTS_SQL}, l AS (SELECT *, lag(rms) OVER w AS a, lead(rms) OVER w AS b FROM curves WINDOW w AS (PARTITION BY track_id ORDER BY beat_idx))

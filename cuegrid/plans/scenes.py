@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import curves as C
+from ..operators import ranks as R
 from ..operators import scenes as O
 from ..sources import views as V
+from ..sources.shared import written
 from .base import query, r6
 
 _CHANGES = """o AS MATERIALIZED (SELECT video_id, round(t, 3) AS t, row_number() OVER (PARTITION BY video_id ORDER BY t) AS rn FROM motions WHERE 2 * motion > 0.30),
@@ -149,13 +151,13 @@ a AS (SELECT q.*, (SELECT max(t) FROM b3 x WHERE x.video_id = q.video_id AND t <
 SELECT a.video_id, qt AS t, {', '.join(f'round(CASE WHEN tb IS NULL OR ta = tb THEN x.{b} ELSE x.{b} + (y.{b} - x.{b}) * (qt - ta) / (tb - ta) END, 6) AS {b}' for b in _BANDS)}
 FROM a JOIN b3 x ON x.video_id = a.video_id AND x.t = ta LEFT JOIN b3 y ON y.video_id = a.video_id AND y.t = tb""")
 def d4_band_curves(spark, d):
-    """Bands smoothed, normalised and read off at beats, here every 0.75 s: one pass over knots and beats for all four."""
-    g = Window.partitionBy("video_id")
+    """Bands smoothed, normalised and read off at beats, here every 0.75 s: one pass over knots and beats for all four, dealt by ranges of time."""
     b = _bands(spark, d)
-    b = b.select("video_id", "frame_idx", "t", *[C.smooth(F.col(c), "video_id", "frame_idx", 3).alias(c) for c in _BANDS])
-    b = b.select("video_id", "t", F.struct("t", *[C.normalise(F.col(c), g).alias(c) for c in _BANDS]).alias("k"))
+    b = written(b.select("video_id", "frame_idx", "t", *[C.smooth(F.col(c), "video_id", "frame_idx", 3).alias(c) for c in _BANDS]))
+    ends = {f"{c}_{n}": (F.col(c), q) for c in _BANDS for n, q in (("lo", 0.02), ("hi", 0.98))}
+    b = written(R.with_percentiles(b, "video_id", ends).select("video_id", "t", F.struct("t", *[C.scaled(F.col(c), F.col(f"{c}_lo"), F.col(f"{c}_hi")).alias(c) for c in _BANDS]).alias("k")))
     beats = V.sources(spark, d).select("video_id", F.explode(F.sequence(F.lit(0), F.floor(F.col("duration") / 0.75).cast("int") - 1)).alias("i")).select("video_id", (F.col("i") * F.lit(0.75).cast("double")).alias("t"))
-    got = C.around(beats, b, "video_id", "t", F.col("k"))
+    got = C.around(beats, b, "video_id", "t", F.col("k"), wide=True)
     share = F.coalesce(F.try_divide(F.col("t") - F.col("before.t"), F.col("after.t") - F.col("before.t")), F.lit(0.0))
     line = lambda c: F.coalesce(F.col(f"before.{c}") + (F.col(f"after.{c}") - F.col(f"before.{c}")) * share, F.col(f"before.{c}"))
     return got.select("video_id", "t", *[r6(line(c), c) for c in _BANDS])
