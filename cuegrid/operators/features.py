@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from . import curves as C
 
 # Minimum gap and longest hold in seconds, from calm to peak energy; anchor bonuses.
@@ -53,12 +54,12 @@ def features(curves: DataFrame, duration: float, width: int = 16) -> DataFrame:
     return df.withColumns({**strong, "bar": at % 4 == 0, "phrase": at % 8 == 0}).drop("slope", "nov0", "slow", "arch")
 
 
-def novelty_boundaries(feat: DataFrame, duration: float, gap: float = 10.0) -> DataFrame:
-    """(track_id, t): beats of high novelty and no low wave, `gap` after the last one taken."""
+def novelty_boundaries(feat: DataFrame, duration: float, gap: float = 10.0, wide: bool = False) -> DataFrame:
+    """(track_id, t): beats of high novelty and no low wave, `gap` after the last one taken; if `wide`, a track's are dealt to several tasks."""
     g = Window.partitionBy("track_id")
     high = lambda c, q: F.round(c, 9) >= F.round(C.percentile(F.col(c), q, g), 9)
     found = feat.select("track_id", "t", (high("novelty", 0.91) & high("wave", 0.45)).alias("ok")).where(F.col("ok") & (F.col("t") > 0) & (F.col("t") < duration))
-    return C.thin(found, "track_id", "t", gap)
+    return C.thin_wide(written(found), "track_id", "t", gap) if wide else C.thin(found, "track_id", "t", gap)
 
 
 def ward_starts(x, k: int) -> list[int]:
@@ -114,13 +115,14 @@ def change_points(feat: DataFrame, duration: float) -> DataFrame:
     return rows.groupBy("track_id").applyInPandas(cut, f"track_id {feat.schema['track_id'].dataType.simpleString()}, t double")
 
 
-def merge_boundaries(times: DataFrame, key: str, t: str, duration: float, gap: float) -> DataFrame:
+def merge_boundaries(times: DataFrame, key: str, t: str, duration: float, gap: float, wide: bool = False) -> DataFrame:
     """(key, t): sorted times in [0, duration] to the millisecond, `gap` after the last one kept; both
-    ends are always kept. Times that are not finite are left out; a key with no finite time has the ends."""
+    ends are always kept. Times that are not finite are left out; a key with no finite time has the ends. If `wide`, a key's times are dealt to several tasks."""
     at = F.round(F.least(F.greatest(F.col(t), F.lit(0.0)), F.lit(float(duration))), 3)
     inner = times.where(C.finite(F.col(t))).select(key, at.alias(t)).where(F.col(t) != float(duration))
     ends = times.select(key).distinct()
-    kept = C.thin(inner.unionByName(ends.select(key, F.lit(0.0).alias(t))).distinct(), key, t, gap)
+    inner = inner.unionByName(ends.select(key, F.lit(0.0).alias(t))).distinct()
+    kept = C.thin_wide(written(inner), key, t, gap) if wide else C.thin(inner, key, t, gap)
     return kept.unionByName(ends.select(key, F.lit(float(duration)).alias(t)))
 
 

@@ -192,7 +192,7 @@ def b5_weighted_blends(spark, d):
 
 @query(f"WITH RECURSIVE {FEATURES_SQL}{_NOVEL} SELECT track_id, round(t, 6) AS t FROM hk WHERE keep")
 def f3_novelty_boundaries(spark, d):
-    return O.novelty_boundaries(_features(spark, d), D).select("track_id", r6("t", "t"))
+    return O.novelty_boundaries(_features(spark, d), D, wide=True).select("track_id", r6("t", "t"))
 
 
 @query(f"WITH RECURSIVE {FEATURES_SQL}{_SPLIT} SELECT track_id, round(t, 6) AS t FROM split")

@@ -51,7 +51,7 @@ def k3_stream_energy(spark, d):
  UNION ALL SELECT o.track_id, o.rn, o.t, CASE WHEN o.t - k.last >= 2.5 OR o.t = 48 THEN o.t ELSE k.last END, o.t - k.last >= 2.5 OR o.t = 48 FROM k JOIN ro o ON o.track_id = k.track_id AND o.rn = k.rn + 1)
 SELECT track_id, t FROM k WHERE keep""")
 def f2_merge_boundaries(spark, d):
-    return O.merge_boundaries(V.beats(spark, d), "track_id", "t", V.DURATION, 2.5)
+    return O.merge_boundaries(written(V.beats(spark, d).select("track_id", "t")), "track_id", "t", V.DURATION, 2.5, wide=True)
 
 
 @query(f"""WITH RECURSIVE {V.EVENTS_SQL}{_thinned(0.9)}, b AS (SELECT beats.track_id, beat_idx, beats.t, (SELECT max(x.t) FROM tk x WHERE x.keep AND x.track_id = beats.track_id AND x.t <= beats.t) AS p,

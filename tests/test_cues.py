@@ -140,6 +140,16 @@ def test_a_tagger_is_asked_again(spark):
     assert [k for k, v in got.items() if v is None] == [16, 17, 18, 19]
 
 
+def test_a_tagger_by_rule(spark):
+    rows = [(1, 0.9, 0.1, 0.2, 0.8), (2, 0.1, 0.7, 0.2, 0.8), (3, 0.1, 0.1, 0.9, 0.3), (4, 0.1, 0.1, 0.1, 0.9), (5, 0.9, 0.9, 0.9, 0.29), (6, None, None, None, 0.5)]
+    m = spark.createDataFrame(rows, "k long, action double, beauty double, motion double, quality double")
+    m = m.withColumn("prompt", G.measured(G.prompt(F.lit("soft")), **{c: F.col(c) for c in ("action", "beauty", "motion", "quality")}))
+    got = {r.k: r for r in G.ask_tagger(m, G.rule_tagger, 4).select("k", "seconds", G.parsed(F.col("reply")).alias("tag")).collect()}
+    assert [(got[k].tag.emotion, got[k].tag.recommended_use) for k in (1, 2, 3, 4, 6)] == [("hype", "drop"), ("soft", "soft"), ("tension", "build"), ("neutral", "flow"), ("neutral", "flow")]
+    assert got[5].tag.reason == "object" and got[1].tag.action_intensity == 0.9 and got[1].tag.combat == 0.4 and all(r.seconds > 0 for r in got.values())
+    assert G.rule_tagger()(["nothing measured"]) == ["no tag"]
+
+
 def test_replies_and_merge_edges(spark):
     whole = '{"emotion": "sad", "recommended_use": "drop", "description": "' + "d" * 300 + '", ' + ", ".join(f'"{n}": 0.5' for n in G.NUMBERS) + "}"
     texts = [whole, whole.replace('"combat": 0.5', '"combat": "nan"'), whole.replace('"chase": 0.5, ', ""), "", None, "no object", "{broken", whole.replace("sad", "odd"), "```\n" + whole + "\n```"]
