@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The texts of a section report.
+HEADING, LINE, MORE = "Sections analyzed and processed:", "      - %s: %d/%d beats (%.1f%%)", "      - ... plus %d more sections"
 
 
 def section_text(rows: DataFrame, most: int = 12) -> DataFrame:
@@ -19,10 +21,10 @@ def section_text(rows: DataFrame, most: int = 12) -> DataFrame:
     n, of = F.coalesce("selected", F.lit(0)).cast("long"), F.coalesce("beats", F.lit(0)).cast("long")
     share = F.coalesce("density", F.try_divide(n, of), F.lit(0.0))
     # half-even on a rounded share: a tie is then the same everywhere
-    line = F.format_string("      - %s: %d/%d beats (%.1f%%)", F.when(name == "", "Section").otherwise(name), n, of, F.bround(F.round(share, 9) * 100, 1))
+    line = F.format_string(LINE, F.when(name == "", "Section").otherwise(name), n, of, F.bround(F.round(share, 9) * 100, 1))
     lines = rows.withColumn("rn", at).groupBy("track_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rn") <= most, F.struct("rn", line.alias("line"))))), lambda x: x["line"]), "\n").alias("lines"),
         F.count("*").alias("m"),
     )
-    more = F.when(F.col("m") > most, F.concat(F.lit("\n"), F.format_string("      - ... plus %d more sections", F.col("m") - most))).otherwise("")
-    return lines.select("track_id", F.concat(F.lit("Sections analyzed and processed:\n"), "lines", more).alias("said"))
+    more = F.when(F.col("m") > most, F.concat(F.lit("\n"), F.format_string(MORE, F.col("m") - most))).otherwise("")
+    return lines.select("track_id", F.concat(F.lit(f"{HEADING}\n"), "lines", more).alias("said"))
