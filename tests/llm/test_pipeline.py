@@ -62,4 +62,4 @@ def test_stages_on_an_empty_table(spark, tmp_path):
 
 
 def test_queries_with_sql_are_registered():
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 14
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 18
