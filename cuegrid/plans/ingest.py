@@ -57,11 +57,11 @@ _LOG = "CASE WHEN event_id % 5 = 0 THEN 'frame dropped' WHEN event_id % 7 = 0 TH
 @query(f"""WITH RECURSIVE l AS (SELECT user_id AS track_id, {_LOG} AS value FROM events), p AS (SELECT DISTINCT track_id, round(TRY_CAST(nullif(regexp_extract(value, 'pts_time:([\\d.]+)', 1), '') AS DOUBLE), 3) AS t FROM l),
 q AS (SELECT * FROM p WHERE t >= 0), {_thinned('q', 'track_id', 0.08)} SELECT track_id, t FROM k WHERE keep""")
 def a6_scene_log(spark, d):
-    """Scene times out of the log lines of a tool."""
-    lines = V.table(spark, d, "events").select(F.col("user_id").alias("track_id"), F.expr(_LOG).alias("value"))
+    """Scene times out of the log lines of a tool. A line begins with its track and a tab, so files are as many as the tasks that wrote them, not as tracks."""
+    lines = V.table(spark, d, "events").select(F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit("\t"), F.expr(_LOG)).alias("value"))
     to = _place(spark)
-    lines.write.partitionBy("track_id").text(to)
-    return I.scene_times(spark.read.schema("value string, track_id long").text(to), "track_id")
+    lines.write.text(to)
+    return I.scene_times(spark.read.text(to).select(F.substring_index("value", "\t", 1).try_cast("long").alias("track_id"), "value"), "track_id")
 
 
 _FRAME = "CASE event_id % 4 WHEN 0 THEN concat('{{\"best_effort_timestamp_time\": \"', {t}, '\"}}') WHEN 1 THEN concat('{{\"best_effort_timestamp_time\": \"\", \"pkt_pts_time\": \"', {t}, '\"}}') WHEN 2 THEN concat('{{\"pkt_dts_time\": \"', {t}, '\"}}') ELSE '{{\"pkt_pts_time\": \"N/A\"}}' END".format(
