@@ -314,11 +314,12 @@ FROM x JOIN y ON y.track_id = x.track_id JOIN z ON z.track_id = x.track_id""")
 def d8_track_profile(spark, d):
     """Means, share of peak beats, cuts and the mean time between them, drop-like sections, the order of types and the preset of each track."""
     feat = written(_features(spark, d))
-    z = _final(spark, d, feat).groupBy("track_id").agg(F.count("*").alias("cuts"), F.when(F.count("*") > 1, (F.max("t") - F.min("t")) / (F.count("*") - 1)).otherwise(1.5).alias("gap"))
+    secs = written(O.sections(feat, D))
+    z = _final(spark, d, feat, secs).groupBy("track_id").agg(F.count("*").alias("cuts"), F.when(F.count("*") > 1, (F.max("t") - F.min("t")) / (F.count("*") - 1)).otherwise(1.5).alias("gap"))
     peak = F.round("wave", 9) >= F.round(C.percentile(F.col("wave"), 0.82, Window.partitionBy("track_id")), 9)
     x = feat.withColumn("p", peak.cast("int")).groupBy("track_id").agg(F.avg("wave").alias("w"), F.avg("impact").alias("i"), F.avg("rhythm").alias("r"), F.avg("p").alias("pk"), F.count("*").alias("beats"))
     drop = F.col("type").isin("drop", "finale", "chorus")
-    y = _sections(spark, d, feat).groupBy("track_id").agg(
+    y = secs.groupBy("track_id").agg(
         F.count("*").alias("sections"), F.count_if(drop).alias("drops"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_idx", "type"))), lambda s: s["type"]), ",").alias("types"),
     )

@@ -79,10 +79,11 @@ FROM sections s JOIN st ON st.track_id = s.track_id GROUP BY s.track_id""")
 def d15_top_facts(spark, d):
     """The longest section, the first five types and the number of strong impacts of each track."""
     length = F.round(F.col("end") - F.col("start"), 6)
-    s = _sections(spark, d).groupBy("track_id").agg(
+    feat = written(_features(spark, d))
+    s = _sections(spark, d, feat).groupBy("track_id").agg(
         F.max_by("type", F.struct(length, -F.col("section_idx"))).alias("longest_type"), F.max(length).alias("longest"),
         F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("section_idx", "type"))), 1, 5), lambda x: x["type"]), ",").alias("first_types"),
     )
     top = F.round(C.percentile(F.col("impact"), 0.88, Window.partitionBy("track_id")), 9)
-    strong = _features(spark, d).select("track_id", (F.round("impact", 9) >= top).alias("hit")).groupBy("track_id").agg(F.count_if("hit").alias("strong"))
+    strong = feat.select("track_id", (F.round("impact", 9) >= top).alias("hit")).groupBy("track_id").agg(F.count_if("hit").alias("strong"))
     return s.join(strong, "track_id")
