@@ -92,9 +92,7 @@ def a8_probe_rows(spark, d):
 def a9_edit_lists(spark, d):
     """The lines of each track's edit list, as they are read back from its file."""
     plan = segments(spark, d).select("track_id", "seg_idx", F.concat(F.lit("C:\\clips\\"), "track_id", F.lit("\\"), "seg_idx", F.lit(".mp4")).alias("path"))
-    to = _place(spark)
-    I.write_edit_lists(plan, to)
-    read = spark.read.schema("value string, track_id long").text(to, wholetext=True)
+    read = I.read_edit_lists(I.write_edit_lists(plan, _place(spark)))
     return read.select("track_id", F.regexp_replace("value", r"\n$", "").alias("said"))
 
 

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import curves as C
+from .catalogue import _place
 from .manifest import Library
+from .shared import written
 
 # Suffixes of media files, gaps in seconds of scene times and key frames, what a probe that failed counts as.
 SUFFIXES, SCENE_GAP, FRAME_GAP = ("mp4", "MP4", "mkv", "MKV"), 0.08, 0.20
 DURATION, FPS, WIDTH, HEIGHT = 10.0, 30.0, 1920, 1080
+# Folders that edit lists are dealt to.
+FOLDERS = 512
 
 
 def media_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,10 +76,63 @@ def edit_list(plan: DataFrame) -> DataFrame:
     return plan.select("track_id", "seg_idx", F.format_string("file '%s'", F.replace(path, F.lit("'"), F.lit("'\\''"))).alias("value"))
 
 
-def write_edit_lists(plan: DataFrame, to: str) -> None:
-    """One text file a track, its lines in segment order."""
-    lines = edit_list(plan).repartition("track_id").sortWithinPartitions("track_id", "seg_idx")
-    lines.select("track_id", "value").write.mode("overwrite").partitionBy("track_id").text(to)
+def write_edit_lists(plan: DataFrame, to: str) -> DataFrame:
+    """One text file a track, its lines in segment order; a table (track_id, path) of the files. A track's lines pass by in order, and a file has its name once it is whole.
+
+    The tasks are as many as a shuffle's: lines are few bytes, but a file costs the same however short, so tasks must not be put together by bytes."""
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = edit_list(plan).repartition(n, "track_id").sortWithinPartitions("track_id", "seg_idx")
+    root = f"{to.rstrip('/')}/{uuid.uuid4().hex}"
+
+    def put(batches):
+        where, at = _place(root)
+        out, now, done = None, object(), []
+
+        def close():
+            if out is not None:
+                out.close()
+                where.move(f"{path}.{mine}", path)
+                done.append((now, f"{root}{path[len(at):]}"))
+
+        def table():
+            return pd.DataFrame({"track_id": pd.Series([k for k, _ in done], dtype="Int64"), "path": pd.Series([p for _, p in done], dtype=object)})
+
+        mine = uuid.uuid4().hex  # of two runs of a task each has its own file until it is whole
+        for pdf in batches:
+            key = pdf["track_id"]
+            starts = np.flatnonzero(~(key.eq(key.shift()) | (key.isna() & key.shift().isna())).to_numpy() | (np.arange(len(pdf)) == 0))
+            for lo, hi in zip(starts, [*starts[1:], len(pdf)]):
+                name = None if key.iloc[lo] != key.iloc[lo] else key.iloc[lo]
+                if name != now:
+                    close()
+                    now, said = name, "null" if name is None else str(int(name))
+                    folder = f"{at}/{zlib.crc32(said.encode()) % FOLDERS:03d}"
+                    where.create_dir(folder)
+                    path = f"{folder}/{said}.txt"
+                    out = where.open_output_stream(f"{path}.{mine}")
+                out.write("".join(f"{line}\n" for line in pdf["value"].iloc[lo:hi]).encode())
+            yield table()
+            done.clear()
+        close()
+        yield table()
+
+    return written(lines.select(F.col("track_id").cast("long").alias("track_id"), "value").mapInPandas(put, "track_id long, path string"))
+
+
+def read_edit_lists(files: DataFrame) -> DataFrame:
+    """(track_id, value): the text of each track's file. The tasks open the files that the table names; no folder is listed."""
+
+    def texts(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                part, said = pdf.iloc[lo : lo + 1000], []
+                for path in part["path"]:
+                    where, at = _place(path)
+                    with where.open_input_stream(at) as f:
+                        said.append(f.read().decode())
+                yield pd.DataFrame({"track_id": part["track_id"].astype("Int64"), "value": pd.Series(said, index=part.index, dtype=object)})
+
+    return files.select("track_id", "path").mapInPandas(texts, "track_id long, value string")
 
 
 def write_library(moments: DataFrame, to: str, version: str, ai_enabled: bool) -> int:
