@@ -38,11 +38,13 @@ def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def moments_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as moments: a video for each supplier, metrics in 0..1."""
-    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
+    # by the column that stays: windows over video_id later need no second exchange
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "video_id")
+    order = Window.partitionBy("video_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_extendedprice")
     motion, contrast = (F.col("l_quantity") - 1) / 49, F.col("l_discount") / 0.10
     saturation, brightness = F.col("l_tax") / 0.08, F.col("l_extendedprice") / 105000
-    base = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("video_id"), F.row_number().over(order).alias("id"),
+    base = lines.select(
+        "video_id", F.row_number().over(order).alias("id"),
         motion.alias("motion"), contrast.alias("contrast"), saturation.alias("saturation"), brightness.alias("brightness"),
         (1 - motion).alias("sharpness"), saturation.alias("colorfulness"),
     )
