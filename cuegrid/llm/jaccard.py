@@ -83,11 +83,11 @@ def _scan(n: int):
 
 
 def _paths(run_no: int):
-    """From (sid, size, sample, path, depth) the longer paths of the set in this run: (sid, path)."""
+    """From (sid, size, sample, path, depth) the longer paths of the set in this run: (sid, above, path), above the path it goes on from."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sids, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sids, above, out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for sid, size, sample, path, depth in zip(pdf["sid"], pdf["size"], pdf["sample"], pdf["path"], pdf["depth"], strict=True):
                 t = np.asarray(sample, np.int64).view(np.uint64)
                 salt = int(path) & 0xFFFFFFFFFFFFFFFF
@@ -96,7 +96,8 @@ def _paths(run_no: int):
                 got = _mix(t + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - RUN_BIT)
                 out.append((got | np.uint64(run_no << RUN_BIT)).view(np.int64))
                 sids.append(np.full(len(got), sid, np.int64))
-            yield pd.DataFrame({"sid": np.concatenate(sids), "path": np.concatenate(out)})
+                above.append(np.full(len(got), path, np.int64))
+            yield pd.DataFrame({"sid": np.concatenate(sids), "above": np.concatenate(above), "path": np.concatenate(out)})
 
     return run
 
@@ -233,16 +234,27 @@ def _compare(threshold: float):
 
 
 def _leaves(sets: DataFrame, run_no: int, s: Scratch) -> DataFrame:
-    """(sid, leaf, m): the buckets of one run that hold two sets or more, m sets each."""
-    large = leaves = None
+    """(sid, leaf, m): the buckets of one run that hold two sets or more, m sets each.
+
+    A large bucket is split only if its parts have fewer pairs together than itself; members that are alike throughout would meet again in
+    each part, and ever more often further down. The bucket has all pairs that its parts have, so none is lost.
+    """
+    large = split = leaves = None
     for depth in range(DEPTH):
         if depth == 0:
             start = sets.select("sid", "size", "sample", F.lit(run_no).cast("long").alias("path"), F.lit(0).alias("depth"))
         else:
-            start = large.join(sets.select("sid", "size", "sample"), "sid").select("sid", "size", "sample", "path", F.lit(depth).alias("depth"))
-        paths = s(start.mapInPandas(_paths(run_no), "sid long, path long"))
-        counts = paths.groupBy("path").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"))
+            some, _ = thinned(sets.select("sid", "size", "sample"), "sid", large)
+            start = large.join(some, "sid").select("sid", "size", "sample", "path", F.lit(depth).alias("depth"))
+        paths = s(start.mapInPandas(_paths(run_no), "sid long, above long, path long"))
+        counts = paths.groupBy("path", "above").agg(F.count("*").alias("m"), F.sum(F.xxhash64("sid").cast("decimal(20,0)")).alias("who"))
         counts = s(counts.where("m > 1"))
+        if depth:
+            # buckets of the same members are one, so they cost once
+            cost = counts.select("above", "m", "who").distinct().groupBy(F.col("above").alias("path")).agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+            whole = s(split.join(cost, "path").where(F.col("cost") >= F.col("m").cast("double") * F.col("m")).select("path", "m"))
+            leaves = leaves.unionByName(large.join(whole, "path").select("sid", F.col("path").alias("leaf"), "m"))
+            counts = s(counts.join(whole.select(F.col("path").alias("above")), "above", "left_anti"))
         last = depth == DEPTH - 1
         # buckets of the same members are one: the least of them stands for all
         ready = counts if last else counts.where(F.col("m") <= SMALL)
@@ -250,8 +262,8 @@ def _leaves(sets: DataFrame, run_no: int, s: Scratch) -> DataFrame:
         got = paths.join(ready, "path").select("sid", F.col("path").alias("leaf"), "m")
         leaves = got if leaves is None else leaves.unionByName(got)
         if not last:
-            kept = counts.where(F.col("m") > SMALL).groupBy("m", "who").agg(F.min("path").alias("path"))
-            large = s(paths.join(kept.select("path"), "path"))
+            split = s(counts.where(F.col("m") > SMALL).groupBy("m", "who").agg(F.min("path").alias("path")))
+            large = s(paths.join(split.select("path"), "path").select("sid", "path"))
             if large.isEmpty():
                 break
     return s(leaves)
@@ -266,10 +278,11 @@ def _linked(docs: DataFrame, sets: DataFrame, n: int, threshold: float, target:
         new = _leaves(sets, run_no, s)
         leaves = new.drop("m") if leaves is None else s(leaves.unionByName(new.drop("m")))
         of_set = leaves.groupBy("sid").agg(F.collect_set("leaf").alias("leaves"))
+        some, _ = thinned(sets.select("sid", "w", "sample"), "sid", new)
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         mine = F.pmod(F.xxhash64("sid", F.lit("block")), blocks).cast("int")
         tasks = (
-            new.join(of_set.join(sets.select("sid", "w", "sample"), "sid"), "sid")
+            new.join(of_set.join(some, "sid"), "sid")
             .select("sid", "w", "leaves", "sample", "leaf", mine.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             .select("sid", "w", "leaves", "sample", "leaf", "block", F.least("block", "other").alias("ba"), F.greatest("block", "other").alias("bb"))
         )
@@ -324,10 +337,10 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, target:
     1. Texts become token sets; equal sets are one from here on. 2. A set keeps a sample of its tokens (48
     expected), chosen by a hash all sets share. 3. In each run a set starts 6 expected paths from its sample, other ones in every run: a bucket for each
     token. Buckets over 64 sets are split: each member goes on by tokens chosen by a hash of the path, to
-    depth 3. A run misses a pair of similarity 0.8 with a chance under one in a hundred. 4. Members of a bucket whose samples overlap by half are candidates.
+    depth 3, unless the parts have more pairs together than the bucket (groups that are alike throughout). A run misses a pair of similarity 0.8 with a chance under one in a hundred. 4. Members of a bucket whose samples overlap by half are candidates.
     The share of a run's pairs with samples that reach the threshold that the runs before it had missed estimates the recall; runs are repeated until that is `target`.
-    5. Candidates are compared by exact similarity of whole token sets; buckets that even the longest
-    paths leave large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
+    5. Candidates are compared by exact similarity of whole token sets; buckets that
+    stay large (groups that are alike throughout) are compared in blocks of 600, a pair of blocks a
     task. A pair counts in the least bucket it shares, buckets of the same members are compared once.
     6. Union-find over the links gives the classes.
 
