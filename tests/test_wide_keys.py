@@ -130,3 +130,16 @@ def test_large_and_small_keys_have_the_same_percentiles(spark):
     rows = lambda big: sorted(map(str, R.with_percentiles(df, "k", wanted, big=big).collect()))
     assert rows(100) == rows(10**6) and len(rows(100)) == df.count()
     assert R.with_percentiles(df.limit(0), "k", wanted).count() == 0
+
+
+def test_bounds_are_read_from_some_rows(spark, monkeypatch):
+    from cuegrid.operators.ranges import DRAWN, Ranges
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 7).alias("k"), F.col("id").alias("t"))
+    seen, kind = [], type(df)
+    exchange = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda self, *a: (seen.append(self.count()), exchange(self, *a))[1])
+    deal = Ranges("k", "t", df, parts=8)
+    assert len(deal.starts) == 8 and seen[0] < 2 * 8 * DRAWN  # before: all 40,000
+    got = deal.running(df, {"n": ("sum", F.lit(1))}).groupBy("k").agg(F.max("n").alias("n"), F.countDistinct("n").alias("d"), F.count("*").alias("c")).collect()
+    assert all(r.n == r.d == r.c for r in got) and sum(r.c for r in got) == 40_000
