@@ -7,9 +7,11 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, doc_key, materialise, thinned
 from .graph import components
@@ -103,14 +105,16 @@ def _paths(run_no: int):
 
 
 def _tokens_of(n: int):
-    """Token sets by document; a document that only shares the key of the one that was meant is left out."""
+    """Token sets instead of texts, the last column; a document that only shares the key of the one that was meant is left out. The rest stays in Arrow."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), ROWS):
-                out = pdf[["sid", "w", "leaves"]].iloc[lo : lo + ROWS].copy()
-                out["toks"] = [tokens(t, n).tobytes() for t in pdf["text"][lo : lo + ROWS]]
-                yield out[[xxhash.xxh3_64_intdigest(t) == s & 0xFFFFFFFFFFFFFFFF for t, s in zip(out["toks"], out["sid"].tolist(), strict=True)]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), ROWS):
+                part = batch.slice(lo, ROWS)
+                toks = [tokens(t, n).tobytes() for t in part.column("text").to_pylist()]
+                meant = [xxhash.xxh3_64_intdigest(t) == s & 0xFFFFFFFFFFFFFFFF for t, s in zip(toks, part.column("sid").to_pylist(), strict=True)]
+                out = pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(toks, pa.binary())], names=[*part.schema.names[:-1], "toks"])
+                yield out.filter(pa.array(meant, pa.bool_()))
 
     return run
 
@@ -293,12 +297,17 @@ def _linked(docs: DataFrame, sets: DataFrame, n: int, threshold: float, target:
         if run_no and (not near or (fresh / near) ** ((run_no + 1) / run_no) <= 1 - target):
             break
         run_no += 1
-    likely = s(likely.where("fresh > 0").drop("fresh", "near", "near_fresh"))
-    named = s(of_set.join(sets.select("sid", "w", "d"), "sid").join(likely.select("sid").distinct(), "sid"))
+    # the tasks of a set travel with it: token sets, which are longer than texts, are shuffled once, to their tasks
+    tasks = likely.where("fresh > 0").groupBy("sid").agg(F.collect_list(F.struct(*order, "block")).alias("tasks"))
+    named = s(of_set.join(sets.select("sid", "w", "d"), "sid").join(tasks, "sid"))
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     source, _ = thinned(docs.select(doc_key(docs).alias("d"), text.alias("text")), "d", named)
-    read = named.join(source, "d").dropDuplicates(["sid"]).select("sid", "w", "leaves", "text").mapInPandas(_tokens_of(n), "sid long, w long, leaves array<long>, toks binary")
-    return s(read.join(likely, "sid").repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "sid long, to long, links long"))
+    # texts by key, repeated rows once before they are shuffled; the join on the same key needs no other shuffle
+    texts = source.groupBy("d").agg(F.collect_set("text").alias("texts"))
+    read = named.join(texts, "d").select("sid", "w", "leaves", "tasks", F.explode("texts").alias("text"))
+    read = read.mapInArrow(_tokens_of(n), T.StructType(read.schema.fields[:-1]).add("toks", T.BinaryType()))
+    met = read.select("sid", "w", "leaves", "toks", F.explode("tasks").alias("task")).select("sid", "w", "leaves", "toks", "task.*")
+    return s(met.repartition(*order).sortWithinPartitions(*order).mapInPandas(_compare(threshold), "sid long, to long, links long"))
 
 
 def _classes(docs: DataFrame, n: int, threshold: float, target: float) -> DataFrame:
@@ -310,8 +319,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, target: float) -> DataFr
         texts_of = scanned.groupBy("sid", "tid").agg(F.min("d").alias("d"), F.count("*").alias("rows"))
         sets = s(
             texts_of.groupBy("sid").agg(F.count("*").alias("w"), F.min("d").alias("d"))
-            .join(scanned.where(F.size("sample") > 0).select("sid", "size", "sample", "d"), ["sid", "d"])
-            .dropDuplicates(["sid"])
+            .join(scanned.where(F.size("sample") > 0).select("sid", "size", "sample", "d").dropDuplicates(["sid", "d"]), ["sid", "d"])
         )
         linked = _linked(docs, sets, n, threshold, target, s)
         roots = components(linked.select(F.col("sid").alias("a"), F.col("to").alias("b")), s)
