@@ -119,18 +119,25 @@ def _across(prefixes: DataFrame, sets: DataFrame, roots: DataFrame, threshold: f
     # those outside the token's largest component ask, all members answer
     asks = met.where(F.col("root") != F.col("major")).select("t", "h", mine("parts").alias("part"), every("blocks").alias("block"), "root", F.lit(True).alias("asks"))
     answers = met.select("t", "h", every("parts").alias("part"), mine("blocks").alias("block"), "root", F.lit(False).alias("asks"))
-    row = F.struct("h", "root", "sh", *[f"q{k}" for k in range(SKETCH)])
+    # what differs at most, of the set and of the largest one that may be like it: told by size alone, so that one part of the sketches rules most pairs out at once
+    apart = (1 - threshold) / (1 + threshold)
+    room = F.floor(F.lit(apart) * (F.size("sh") + F.size("sh") / threshold) + 1e-3).cast("int").alias("room")
+    row = F.struct("root", "sh", F.size("sh").alias("n"), room, *[f"q{k}" for k in range(SKETCH)])
     tasks = asks.unionByName(answers).join(sets, "h").groupBy("t", "part", "block").agg(F.collect_list(F.when(F.col("asks"), row)).alias("x"), F.collect_list(F.when(~F.col("asks"), row)).alias("y"))
 
     def like(x: Column, y: Column) -> Column:
-        p, q = F.size(x["sh"]), F.size(y["sh"])
-        near = (x["root"] != y["root"]) & _near(p, q, threshold)
-        differ = sum((F.bit_count(x[f"q{k}"].bitwiseXOR(y[f"q{k}"])) for k in range(1, SKETCH)), F.bit_count(x["q0"].bitwiseXOR(y["q0"])))
-        near = near & (differ <= F.lit((1 - threshold) / (1 + threshold)) * (p + q) + 1e-6)
+        p, q = x["n"], y["n"]
+        part = [F.bit_count(x[f"q{k}"].bitwiseXOR(y[f"q{k}"])) for k in range(SKETCH)]
+        near = (part[0] <= x["room"]) & (x["root"] != y["root"]) & _near(p, q, threshold)
+        near = near & (sum(part[1:], part[0]) <= F.lit(apart) * (p + q) + 1e-6)
         return near & bind(F.size(F.array_intersect(x["sh"], y["sh"])), lambda both: both >= F.lit(threshold) * (p + q - both))
 
+    def least(x: Column) -> Column:
+        # once a link is known, only what has a lesser root is compared
+        return F.aggregate("y", F.lit(None).cast("long"), lambda known, y: F.when(known <= y["root"], known).when(like(x, y), y["root"]).otherwise(known))
+
     # one link an asking member and row, to the least root it is linked to: every component outside a token's largest that has a link keeps one
-    links = F.transform("x", lambda x: F.struct(x["root"].alias("a"), F.array_min(F.transform(F.filter(F.col("y"), lambda y: like(x, y)), lambda y: y["root"])).alias("b")))
+    links = F.transform("x", lambda x: F.struct(x["root"].alias("a"), least(x).alias("b")))
     found = tasks.select(F.explode(F.filter(links, lambda e: e["b"].isNotNull())).alias("e"))
     return found.select("e.a", "e.b").distinct()
 
