@@ -7,6 +7,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,16 @@ def encoder(path: str):
     A byte-level BPE whose ids follow its merge order is the same thing as a table of ranks, and tiktoken
     applies such a table about three times faster. So where the file is of that kind its own vocabulary is
     handed to tiktoken, and only texts that hold a special token go to tokenizers; any other file is left
-    to tokenizers altogether. Tests compare the two.
+    to tokenizers altogether, which is loaded for the first text that needs it. Tests compare the two.
     """
-    from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    plain = lambda text: model.encode(text, add_special_tokens=False).ids
+    @lru_cache(maxsize=None)
+    def model():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    plain = lambda text: model().encode(text, add_special_tokens=False).ids
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
     bpe, pre = told["model"], told.get("pre_tokenizer") or {}
